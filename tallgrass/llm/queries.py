@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallgrass.llm.minhash import op8_minhash
 from tallgrass.llm.packing import op9_packing
 from tallgrass.llm.token_counts import op3_token_counts
 from tallgrass.llm.token_files import op1_token_files
@@ -10,6 +11,7 @@ from tallgrass.llm.toxicity import op10_toxicity
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_token_counts": op3_token_counts,
+    "op8_minhash": op8_minhash,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
