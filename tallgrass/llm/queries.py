@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tallgrass.llm.ann import op5_nearest
+from tallgrass.llm.ego import op6_linked
 from tallgrass.llm.minhash import op8_minhash
 from tallgrass.llm.packing import op9_packing
 from tallgrass.llm.token_counts import op3_token_counts
@@ -11,6 +13,8 @@ from tallgrass.llm.toxicity import op10_toxicity
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_token_counts": op3_token_counts,
+    "op5_nearest": op5_nearest,
+    "op6_linked": op6_linked,
     "op8_minhash": op8_minhash,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
