@@ -109,3 +109,20 @@ class PolyHash:
             return np.zeros(0, np.uint64)
         with np.errstate(over="ignore"):
             return mix64((prefix[width:] - prefix[:n]) * self.inverse[:n] + np.uint64(width))
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for name in table.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def freed(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of steps whose results are written and whose plans are gone."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()

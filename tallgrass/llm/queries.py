@@ -6,6 +6,7 @@ from tallgrass.llm.ann import op5_nearest
 from tallgrass.llm.ego import op6_linked
 from tallgrass.llm.minhash import op8_minhash
 from tallgrass.llm.packing import op9_packing
+from tallgrass.llm.suffixes import op4_suffixes
 from tallgrass.llm.token_counts import op3_token_counts
 from tallgrass.llm.token_files import op1_token_files
 from tallgrass.llm.toxicity import op10_toxicity
@@ -13,6 +14,7 @@ from tallgrass.llm.toxicity import op10_toxicity
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_token_counts": op3_token_counts,
+    "op4_suffixes": op4_suffixes,
     "op5_nearest": op5_nearest,
     "op6_linked": op6_linked,
     "op8_minhash": op8_minhash,
