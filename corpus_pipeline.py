@@ -1,22 +1,54 @@
-"""The training-data pipeline over ``documents``."""
+"""The training-data pipeline over ``documents``: toxic and near-duplicate documents go, repeated passages are cut from
+later copies, sources are interleaved to their target weights, and the rest is packed.
+
+Each stage takes ``(spark, docs, sf_dir)``; its result is written and read again as the next one's ``docs``. The mixing
+stage decides the order: its files and rows follow the schedule, and packing fills its sequences in that order.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallgrass.llm import toxicity
+from tallgrass.llm import minhash, mixing, packing, suffixes, toxicity
+from tallgrass.llm.common import written
 
 
-def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.remove_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("toxicity", toxic)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.deduplicate(docs, words=5, percent=80)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffixes.remove(docs, keep="first")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.in_order(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash", drop_near_duplicates),
+    ("suffixes", cut_repeats),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+#: A classifier and suffix order have no SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
