@@ -1,7 +1,8 @@
 """Chunk-memoised encoders that give exactly the ids of a ``tokenizers`` file.
 
 Texts are cut where no token can cross, each distinct chunk is encoded once by the library, and a text's ids are
-the concatenation. Texts for which the cuts are not proven go to the library whole.
+the concatenation. Texts for which the cuts are not proven go to the library whole. A new chunk of letters, with
+punctuation after it or not, is made of two pre-tokens that go straight to the library's merge model.
 """
 
 from __future__ import annotations
@@ -11,73 +12,93 @@ from array import array
 
 from tallgrass.llm.common import Memo
 
+#: Letters that the files' normalisers leave alone but for the case, and that are letters to any library.
+PLAIN = re.compile(r"([A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)([.,;:!?]*)\Z")
+
 _LOADED: dict = {}
 
 
-def _library(path: str):
-    import os
+def _byte_letters() -> list[str]:
+    """The letter that byte-level files write for each byte: itself if printable, else the next from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return [chr(b) if b in printable else chr(0x100 + others.index(b)) for b in range(256)]
+
+
+class _Encoder:
+    def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+        self.library = Tokenizer.from_file(path)
+        self.model, self.letters = self.library.model, _byte_letters()
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.after = Memo(self.encode)  # punctuation
+        self.memo = Memo(self.chunk, 900_000)
 
-    return Tokenizer.from_file(path)
+    def encode(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
 
+    def merge(self, word: str) -> bytes:
+        """Ids of one pre-token."""
+        letters = word if word.isascii() and word.isalpha() else "".join([self.letters[b] for b in word.encode()])
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
-class SpaceLedEncoder:
+
+class SpaceLedEncoder(_Encoder):
     """For byte-level files whose pre-tokens take one leading space (`` ?letters``, `` ?digits``, `` ?others``, spaces).
 
     A cut before a lone space is safe; runs of spaces and line ends split as the file's pattern does. Texts with any
     other white space, or with an added token's string, are encoded whole.
     """
 
-    ODD = re.compile(r"[^\S \n]")
+    ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
     CHUNKS = re.compile(r"[ \n]+(?![^ \n])| ?[^ \n]+|[ \n]")
-    RUNS = re.compile(r"  | \n|\n[ \n]|^[ \n]|[ \n]$")
+    RUNS = ("  ", " \n", "\n ", "\n\n")
 
     def __init__(self, path: str):
-        self.library = _library(path)
-        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.memo = Memo(self._encode)
-        self.led = Memo(lambda word: self._encode(" " + word))
-        self.line_end = self._encode("\n")
-
-    def _encode(self, chunk: str) -> bytes:
-        return array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes()
+        super().__init__(path)
+        self.odd = [*self.ODD, *self.added]
+        self.runs = Memo(self.encode)
+        self.line_end = self.encode("\n")
+
+    def chunk(self, key: str) -> bytes:
+        """A word after a space, or a line end and the word after it."""
+        plain = PLAIN.match(key)
+        if plain:
+            return self.merge(" " + plain[1]) + (self.after[plain[2]] if plain[2] else b"")
+        return self.line_end + self.runs[key[1:]] if key[0] == "\n" else self.encode(" " + key)
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.ODD.search(text) or (self.special and self.special.search(text)):
-            return self._encode(text)
-        if self.RUNS.search(text):
-            return b"".join(map(self.memo.__getitem__, self.CHUNKS.findall(text)))
-        led, parts = self.led.__getitem__, []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            if parts:
-                parts.append(self.line_end)
-            parts.append(self.memo[words[0]])
-            parts.extend(map(led, words[1:]))
-        return b"".join(parts)
-
-
-class SpaceFreeEncoder:
-    """For files that drop white space and cut there: each run of other characters is encoded by itself."""
+        if any(c in text for c in self.odd):
+            return self.encode(text)
+        if any(c in text for c in self.RUNS) or text[0] in " \n" or text[-1] in " \n":
+            return b"".join(map(self.runs.__getitem__, self.CHUNKS.findall(text)))
+        first, *words = text.replace("\n", " \n").split(" ")
+        return self.runs[first] + b"".join(map(self.memo.__getitem__, words))
+
+
+class SpaceFreeEncoder(_Encoder):
+    """For files that drop white space, ignore case and cut at spaces: each run of other characters is encoded by itself."""
 
     def __init__(self, path: str):
-        self.library = _library(path)
-        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = [t for t in added if re.search(r"\s", t)]
-        self.memo = Memo(self._encode)
+        super().__init__(path)
+        self.special = [t for t in self.added if re.search(r"\s", t)]
 
-    def _encode(self, chunk: str) -> bytes:
-        return array("I", self.library.encode(chunk, add_special_tokens=False).ids).tobytes() if chunk else b""
+    def chunk(self, key: str) -> bytes:
+        plain = PLAIN.match(key)
+        if plain:
+            return self.merge(plain[1].lower()) + (self.after[plain[2]] if plain[2] else b"")
+        return self.encode(key)
 
     def __call__(self, text: str) -> bytes:
         if any(t in text for t in self.special):
-            return self._encode(text)
+            return self.encode(text)
         return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").split(" ")))
 
 
