@@ -8,6 +8,7 @@ table. Once at most ``SMALL`` edges are left, one task finishes them.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,34 @@ def _union_find(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["label", "to"])
 
 
+def forest(mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links ``mask`` between nodes ``a`` (rows) and ``b`` (columns)."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    rows, columns = place[: len(a)], place[len(a) :]
+    root, us, vs = np.arange(len(nodes)), [], []
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    left = mask
+    while True:
+        left = left & (root[rows][:, None] != root[columns][None])
+        some = np.flatnonzero(left.any(axis=1))
+        if not len(some):
+            return nodes[us], nodes[vs]
+        for r, c in zip(rows[some], columns[left[some].argmax(axis=1)], strict=True):
+            x, y = find(r), find(c)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                us.append(r)
+                vs.append(c)
+        while (root != root[root]).any():
+            root = root[root]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest reachable node) of every node of the edges ``u``, ``v`` (long)."""
     edges = written(edges.select("u", "v").where("u <> v").distinct(), "edges")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.llm.common import written
-from tallgrass.llm.components import components
+from tallgrass.llm.components import components, forest
 from tallgrass.llm.vectors import matrix, sample, usable
 
 SAMPLE, DIMENSIONS = 20_000, 8
@@ -43,34 +43,6 @@ def apart(lo_a, hi_a, lo_b, hi_b) -> np.ndarray:
     return (np.maximum(0, np.maximum(lo_a - hi_b, lo_b - hi_a)) ** 2).sum(-1)
 
 
-def forest(mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links ``mask`` between nodes ``a`` (rows) and ``b`` (columns)."""
-    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    rows, columns = place[: len(a)], place[len(a) :]
-    root, us, vs = np.arange(len(nodes)), [], []
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    left = mask
-    while True:
-        left = left & (root[rows][:, None] != root[columns][None])
-        some = np.flatnonzero(left.any(axis=1))
-        if not len(some):
-            return nodes[us], nodes[vs]
-        for r, c in zip(rows[some], columns[left[some].argmax(axis=1)], strict=True):
-            x, y = find(r), find(c)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                us.append(r)
-                vs.append(c)
-        while (root != root[root]).any():
-            root = root[root]
-
-
 class Block:
     """A sequence interval: class sizes, ids and vectors, with the boxes of its tiles."""
 

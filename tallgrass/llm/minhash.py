@@ -6,11 +6,12 @@
 3. Band buckets propose pairs: first every member with the bucket's smallest member. A pair whose collision-corrected
    similarity, estimated by bit counts on the packed signatures, is more than five standard deviations under the threshold
    is left out; all others are confirmed on the full sets.
-4. In buckets that the confirmed links do not join into one component, all members of different components are compared by
-   their packed signatures (large buckets block by block), and what passes is confirmed as well.
+4. In buckets that the confirmed links do not join into one component, members of different components are compared by
+   their packed signatures (large buckets block by block); a spanning forest of the pairs that agree gives clusters. Inside
+   a cluster, full sets of different components are intersected by blocks, and a spanning forest of the true links is kept.
 5. Links and classes give components.
 
-So a group of m similar documents costs m confirmations, not m * m, and no bucket is capped.
+So a group of m similar documents costs m confirmations, pairs are never listed by m * m, and no bucket is capped.
 
 Defined cases: null text is empty; without words a document links with nothing; rows with a null id link with nothing and
 are kept; rows that share an id are one document (linked if any of its texts is); an empty table gives an empty result;
@@ -27,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.llm.common import mix64, text_or_empty, written
-from tallgrass.llm.components import components
+from tallgrass.llm.components import components, forest
 from tallgrass.llm.shingles import Shingler
 
 BANDS, ROWS, BITS = 32, 4, 4
 MINIMA = BANDS * ROWS
 WORDS64 = MINIMA * BITS // 64
-BUCKET = 1024  #: members that are compared at once
+BUCKET, CLUSTER = 1024, 128  #: signatures and full sets that are compared at once
 
 _rng = np.random.default_rng(20)
 FACTORS = _rng.integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,32 +120,68 @@ def _estimate(batches, least: int):
         yield batch.filter(pa.array(matches(su, sv) >= least)).select([0, 1])
 
 
-def _across(batches, least: int):
-    """Groups of rows (group, side, label, node, signature), sorted by group: pairs of different labels that agree."""
-
-    def pairs(rows):
-        side, label, node = (np.array(x, np.int64) for x in (rows[1], rows[2], rows[3]))
-        sig = np.frombuffer(b"".join(rows[4]), "<u8").reshape(-1, WORDS64)
-        us, vs = [], []
-        left = np.flatnonzero(side != 2)  # side 0: compared among themselves; 1 with 2
-        for i in left:
-            others = np.flatnonzero(side == 2) if side[i] == 1 else np.arange(i + 1, len(node))
-            others = others[label[others] != label[i]]
-            others = others[matches(sig[others], sig[i]) >= least]
-            us += [node[i]] * len(others)
-            vs += node[others].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-
-    held: list[list] = [[] for _ in range(5)]
+def _groups(batches):
+    """Lists of the columns of each run of rows with the same first value."""
+    held: list[list] = []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held[0] and held[0][-1] != row[0]:
-                yield pairs(held)
-                held = [[] for _ in range(5)]
+            if held and held[0][-1] != row[0]:
+                yield held
+                held = []
+            held = held or [[] for _ in row]
             for values, x in zip(held, row, strict=True):
                 values.append(x)
-    if held[0]:
-        yield pairs(held)
+    if held:
+        yield held
+
+
+def _forests(batches, similar):
+    """Groups of rows (group, side, label, node, payload): a spanning forest of the similar pairs of different labels.
+
+    Rows of side 0 are compared among themselves, those of side 1 with those of side 2. ``similar`` gives the matrix.
+    """
+    for _, side, label, node, payload in _groups(batches):
+        side, label, node = (np.array(x, np.int64) for x in (side, label, node))
+        for a, b in ((0, 0), (1, 2)):
+            x, y = np.flatnonzero(side == a), np.flatnonzero(side == b)
+            if len(x) and len(y) and (a != b or len(x) > 1):
+                mask = similar([payload[i] for i in x], [payload[i] for i in y]) & (label[x][:, None] != label[y][None])
+                u, v = forest(mask, node[x], node[y])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def _alike(a: list[bytes], b: list[bytes], least: int) -> np.ndarray:
+    """Which packed signatures agree often enough."""
+    x, y = (np.frombuffer(b"".join(s), "<u8").reshape(-1, WORDS64) for s in (a, b))
+    return np.stack([matches(y, row) >= least for row in x])
+
+
+def _same(a: list[bytes], b: list[bytes], percent: int) -> np.ndarray:
+    """Which full sets have 100 * intersection >= percent * union."""
+    sets = [np.frombuffer(s, "<u8") for s in (*a, *b)]
+    sizes = np.array([len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1  # shingles of one set only have no part in an intersection
+    shared, row = count[column] > 1, np.repeat(np.arange(len(sets)), sizes)
+    column, row = place[column[shared]], row[shared]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    common, step = np.zeros((len(a), len(b)), np.float64), 4096
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        at = slice(*np.searchsorted(column, (c, c + step)))
+        dense = np.zeros((len(sets), step), np.float32)
+        dense[row[at], column[at] - c] = 1
+        common += dense[: len(a)] @ dense[len(a) :].T
+    return 100 * common >= percent * (sizes[: len(a), None] + sizes[None, len(a) :] - common)
+
+
+def _blocks(rows: DataFrame, keys: list[str], size: int, payload: str) -> DataFrame:
+    """Rows (n: of the group) dealt to pairs of blocks of their group, for ``_forests``."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / size).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("long")
+    group = F.concat_ws(":", *keys, F.least("block", "other"), F.greatest("block", "other"))
+    return rows.select(group.alias("group"), side.alias("side"), "label", "node", payload).repartition("group").sortWithinPartitions("group", "side", "node")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -204,17 +241,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     labelled = written(labelled, "labelled")
     open_ = written(labelled.groupBy("band", "h").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band", "h"), "open")
     rest = written(labelled.join(open_, ["band", "h"]).join(reps.select("node", "signature"), "node"), "rest")
-    blocks = F.ceil(F.col("n") / BUCKET).cast("int")
-    rest = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # block i is compared with itself (side 0) and with each later block (sides 1 and 2)
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.withColumn("side", F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("long"))
-    key = F.struct("band", "h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rest = rest.select(key.alias("key"), "side", "label", "node", "signature").withColumn("group", F.concat_ws(":", "key.band", "key.h", "key.i", "key.j"))
-    rest = rest.repartition("group").sortWithinPartitions("group", "side", "node").select("group", "side", "label", "node", "signature")
-    more = rest.mapInArrow(lambda b: _across(b, least), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = written(more.join(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "pairs")
-    more = written(_confirm(more, sets, percent), "links")
+    hints = _blocks(rest, ["band", "h"], BUCKET, "signature").mapInArrow(lambda b: _forests(b, lambda x, y: _alike(x, y, least)), "u long, v long")
+    clusters = written(components(written(hints, "hints")), "clusters")
+    sizes = written(clusters.groupBy("component").agg(F.count("*").alias("n")), "sizes")
+    labels = labelled.select("node", "label").distinct()
+    inside = clusters.join(sizes, "component").join(labels, "node").join(sets.dropDuplicates(["node"]), "node")
+    more = _blocks(inside, ["component"], CLUSTER, "shingles").mapInArrow(lambda b: _forests(b, lambda x, y: _same(x, y, percent)), "u long, v long")
+    more = written(more, "links")
     if not more.isEmpty():
         found = written(components(links.union(more)), "found")
 
