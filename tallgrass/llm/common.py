@@ -40,6 +40,23 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def quoted(names: list[str]) -> list[str]:
+    return [f"`{n.replace('`', '``')}`" for n in names]
+
+
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` for columns of any name: the function gets them by place."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(function, schema)
+
+
 class Memo(dict):
     """``memo[word]`` computes each new word once; keeps at most ``limit`` short words, later ones are computed each time."""
 

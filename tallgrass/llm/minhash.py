@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import mix64, text_or_empty, written
+from tallgrass.llm.common import fresh, mix64, text_or_empty, written
 from tallgrass.llm.components import components, forest
 from tallgrass.llm.shingles import Shingler
 
@@ -258,8 +258,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents of smallest id of each group, with all their columns; rows with a null id stay."""
     found = near_duplicates(docs, words, percent)
-    away = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__away")).distinct(), "away")
-    return docs.join(away, F.col("doc_id").cast("long") == F.col("__away"), "left_anti")
+    name = fresh(docs, "__away")
+    away = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "away")
+    return docs.join(away, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallgrass.llm.common import fresh, quoted
+
 PARTS = 4096
 BLOCK = 16
 
@@ -47,8 +49,8 @@ def schedule(spark: SparkSession, shares: list[int]) -> DataFrame:
     return slots.select("own", "slot", F.expr(before).alias("before")).withColumn("turn", F.expr("before[own]"))
 
 
-def mixed(docs: DataFrame, targets: dict[str, int] = TARGETS, block: int = BLOCK, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with the column ``__mix``: struct of block, slot and position."""
+def mixed(docs: DataFrame, targets: dict[str, int] = TARGETS, block: int = BLOCK, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", column: str = "__mix") -> DataFrame:
+    """``docs`` with one more column ``column``: struct of block, slot and position."""
     spark, names = docs.sparkSession, [n for n in targets if n != ""] + [""]
     if any(targets.get(n, 1) < 1 for n in names):
         raise ValueError("target weights are positive whole numbers")
@@ -62,7 +64,7 @@ def mixed(docs: DataFrame, targets: dict[str, int] = TARGETS, block: int = BLOCK
     for i, name in enumerate(names[:-1]):
         own = F.when(F.col(source_col) == name, i).otherwise(own)
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), own.alias("own"), order.alias("order"))
+    row = docs.select(F.struct(*quoted(docs.columns)).alias("row"), own.alias("own"), order.alias("order"))
     row = row.withColumn("part", F.conv(F.substring("order", 1, 3), 16, 10).cast("int"))
 
     # rows of a source in earlier parts: at most PARTS rows for each named source
@@ -81,13 +83,14 @@ def mixed(docs: DataFrame, targets: dict[str, int] = TARGETS, block: int = BLOCK
     for i, (n, share) in enumerate(zip(total, shares, strict=True)):
         position = position + F.least(F.lit(n), block * (F.col("cycle") * share + F.col("before")[i]))
     mix = F.struct(F.col("block").cast("long").alias("block"), (F.col("cycle") * q + F.col("slot")).cast("long").alias("slot"), position.cast("long").alias("position"))
-    return placed.select("row.*", mix.alias("__mix"))
+    return placed.select("row.*", mix.alias(column))
 
 
 def in_order(docs: DataFrame, targets: dict[str, int] = TARGETS, block: int = BLOCK) -> DataFrame:
     """The documents with their columns only, dealt and sorted by position: files and rows follow the schedule."""
-    ordered = mixed(docs, targets, block).repartitionByRange(F.col("__mix.position"))
-    return ordered.sortWithinPartitions(F.col("__mix.position")).drop("__mix")
+    name = fresh(docs, "__mix")
+    place = F.col(f"{name}.position")
+    return mixed(docs, targets, block, column=name).repartitionByRange(place).sortWithinPartitions(place).drop(name)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import PolyHash, dropped, freed, mix64, text_or_empty, written
+from tallgrass.llm.common import PolyHash, dropped, freed, fresh, mapped, mix64, quoted, text_or_empty, written
 
 LENGTH, GRAM = 200, 64
 SEGMENT = 1 << 19  #: windows handled at once in a long text
@@ -292,10 +292,11 @@ def whole_characters(data: bytes, spans: list[int] | None) -> list[int]:
 def remove(docs: DataFrame, keep: str = "first", length: int = LENGTH) -> DataFrame:
     """The documents with the repeated spans cut out of ``text`` (to whole characters) and ``n_chars`` brought up to date."""
     spans = repeated_spans(docs, keep, length)
-    keyed = docs.withColumns({"__did": F.col("doc_id").cast("long"), "__k1": F.xxhash64(text_or_empty())}).alias("t")
-    joined = keyed.join(spans.alias("s"), F.col("__did").eqNullSafe(F.col("s.did")) & (F.col("__k1") == F.col("s.k1")), "left").select(*(F.col(f"t.`{c}`") for c in docs.columns), F.col("s.spans").alias("__spans"))
+    did, k1, own_spans = (fresh(docs, n) for n in ("__did", "__k1", "__spans"))
+    keyed = docs.withColumns({did: F.col("doc_id").cast("long"), k1: F.xxhash64(text_or_empty())}).alias("t")
+    joined = keyed.join(spans.alias("s"), F.col(f"t.{did}").eqNullSafe(F.col("s.did")) & (F.col(f"t.{k1}") == F.col("s.k1")), "left").select(*(F.col(f"t.{c}") for c in quoted(docs.columns)), F.col("s.spans").alias(own_spans))
     position = docs.columns.index("text")
-    schema = joined.drop("__spans").schema
+    schema = joined.drop(own_spans).schema
 
     def cut(batches):
         for batch in batches:
@@ -307,9 +308,9 @@ def remove(docs: DataFrame, keep: str = "first", length: int = LENGTH) -> DataFr
                 texts.append(text)
             columns = [batch.column(i) for i in range(len(batch.columns) - 1)]
             columns[position] = pa.array(texts, batch.column(position).type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    out = joined.mapInArrow(cut, schema)
+    out = mapped(joined, cut, schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import Memo, text_or_empty
+from tallgrass.llm.common import Memo, fresh, mapped, quoted, text_or_empty
 
 #: Neutral names of groups, by language; a term is swapped for the others of its line.
 IDENTITY_TERMS = (
@@ -165,25 +165,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_chars: i
     return train(texts, marks)
 
 
-def score_documents(docs: DataFrame, model: Toxicity, keep: list[str] | None = None) -> DataFrame:
-    """``score`` of every whole text beside the columns ``keep`` (by default doc_id)."""
+def score_documents(docs: DataFrame, model: Toxicity, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The score of every whole text, called ``name``, beside the columns ``keep`` (by default doc_id)."""
     keep = keep or ["doc_id"]
-    rows = docs.select(*keep, text_or_empty().alias("__text"))
-    schema = docs.select(*keep).withColumn("score", F.lit(0.0)).schema
+    rows = docs.select(*quoted(keep), text_or_empty().alias(fresh(docs, "__text")))
+    schema = docs.select(*quoted(keep), F.lit(0.0).alias(name)).schema
 
     def score(batches):
         one = model.scorer()
         for batch in batches:
             scores = pa.array([one(t) for t in batch.column(len(keep)).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), scores], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), scores], names=[*keep, name])
 
-    return rows.mapInArrow(score, schema)
+    return mapped(rows, score, schema)
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents whose score is below ``threshold``, with all their columns."""
-    model = fit(docs, labels)
-    return score_documents(docs, model, docs.columns).where(F.col("score") < threshold).drop("score")
+    name = fresh(docs, "__score")
+    return score_documents(docs, fit(docs, labels), docs.columns, name).where(F.col(name) < threshold).drop(name)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
