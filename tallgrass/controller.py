@@ -131,8 +131,10 @@ def exact(query: AqpQuery) -> DataFrame:
 
 
 class Controller:
-    def __init__(self, populations: Populations | None = None, clock: Callable[[], float] = time.perf_counter):
-        self.populations, self.clock = populations or Populations(), clock
+    """``patience`` stretches the time budgets: a distributed look costs more than one in a single process."""
+
+    def __init__(self, populations: Populations | None = None, clock: Callable[[], float] = time.perf_counter, patience: float = 10.0):
+        self.populations, self.clock, self.patience = populations or Populations(), clock, patience
 
     # one look
 
@@ -170,7 +172,7 @@ class Controller:
             return self.converge(query, mode, target, total, seed, on_look)
         settings, kind = for_target(mode, target), complexity(query)
         wanted, (ladder, least_seconds) = target_error(mode, target), COMPLEXITY[kind]
-        budget = max(settings.seconds, least_seconds * joins.complexity_multiplier(query.joins))
+        budget = self.patience * max(settings.seconds, least_seconds * joins.complexity_multiplier(query.joins))
         fraction, expected = ladder[0], self.expected_groups(query)
         if query.joins:
             fact_keys = [c for c in query.keys.values()]
@@ -232,7 +234,7 @@ class Controller:
     def converge(self, query: AqpQuery, mode: str, target: float | None, total: int, seed: int, on_look=None) -> Answer:
         """Joins that allow no interval: scaled samples until two looks agree."""
         settings, (ladder, least_seconds) = for_target(mode, target), COMPLEXITY[complexity(query)]
-        budget = max(settings.seconds, least_seconds * joins.complexity_multiplier(query.joins))
+        budget = self.patience * max(settings.seconds, least_seconds * joins.complexity_multiplier(query.joins))
         fraction = max(ladder[0], joins.RATE_FLOOR[min(len(query.joins), 3)])
         keys, began, looks, before = list(query.keys), self.clock(), [], None
         while True:

@@ -124,4 +124,6 @@ def score(engine: Engine, sql: str, policies: dict[str, Callable[..., Answer]] =
         seconds = time.perf_counter() - began
         held, grid = coverage(answer.cells, true, keys, values) if answer.cells is not None else (None, None)
         out.append(Score(name, seconds, answer.looks[-1].fraction, answer.reason, mean_relative_error(true, wide, keys, values), held, grid))
+        wide.unpersist()
+    true.unpersist()
     return out

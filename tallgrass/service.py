@@ -152,6 +152,8 @@ class Engine:
         approx_s = time.perf_counter() - began
         query = self.parse(sql)
         error = mean_relative_error(true, wide, list(query.keys), [a.alias for a in query.aggs])
+        true.unpersist()
+        wide.unpersist()
         return {"exact_seconds": exact_s, "approx_seconds": approx_s, "speedup": exact_s / approx_s if approx_s else None, "error_percent": None if error is None else 100 * error, **answer.report()}
 
     def register_csv(self, path: str, name: str | None = None) -> str:
