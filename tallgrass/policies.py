@@ -127,3 +127,34 @@ def score(engine: Engine, sql: str, policies: dict[str, Callable[..., Answer]] =
         wide.unpersist()
     true.unpersist()
     return out
+
+
+def refined(engine: Engine, sql: str, target: float = 0.05, level: float = 0.95, first: float = 0.01, factor: float = 2.5, seed: int = 1) -> Answer:
+    """Growing samples under the simple bounds (Hoeffding for COUNT and SUM, normal means), up to a full scan; no joins."""
+    query = engine.parse(sql)
+    if query.joins:
+        raise ValueError("the simple bounds do not hold for joins")
+    keys, looks, fraction = [c.alias(k) for k, c in query.keys.items()], [], first
+    while True:
+        stats = estimators.statistics(sampling.bernoulli(query.fact, fraction, seed).rows, keys, query.aggs, query.where).persist()
+        widths = []
+        for a in query.aggs:
+            n, c = F.col(a.alias)["n_domain"], F.col(a.alias)
+            if a.func == "count":
+                widths.append(estimators.bounded_count(n, fraction, level) / (n / fraction))
+            elif a.func == "sum":
+                widths.append(estimators.bounded_sum(n, c["min_x"], c["max_x"], fraction, level) / F.abs(c["sum_x"] / fraction))
+            else:
+                widths.append(estimators.normal_mean(F.sqrt(c["variance"]), n, level) / F.abs(c["sum_x"] / n))
+        worst = stats.agg(*(F.max(w) for w in widths), *(F.coalesce(F.max(w.isNull().cast("int")), F.lit(1)) for w in widths)).first()
+        width = None if any(worst[len(widths) :]) else max(worst[: len(widths)])
+        looks.append(Look(fraction, 0, 0.0, 0.0, level, 0.0 if fraction >= 1 else width))
+        if fraction >= 1 or (width is not None and width <= target):
+            wide = finish(query, joins.scaled(stats_rows(query, fraction, seed), keys, query.aggs, fraction))
+            return Answer(wide, None, "bound_within_target" if fraction < 1 else "progression_exhausted", looks, fraction >= 1)
+        fraction = min(1.0, fraction * factor)
+
+
+def stats_rows(query: AqpQuery, fraction: float, seed: int) -> DataFrame:
+    rows = sampling.bernoulli(query.fact, fraction, seed).rows
+    return rows if query.where is None else rows.where(query.where)
