@@ -20,7 +20,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallgrass.llm.common import written
@@ -120,8 +120,6 @@ def linked(table: DataFrame, cosine: float = 0.95) -> DataFrame:
     blocks = written(ordered.mapInArrow(cut, "part long, nth long, lo array<double>, hi array<double>, ids binary, sizes binary, vectors binary"), "blocks", "lz4")
 
     # place of each block in the sequence: parts in order, blocks of a part in order (one row for each part is summed up)
-    from pyspark.sql import Window
-
     parts = blocks.groupBy("part").agg(F.count("*").alias("n"))
     parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     placed = blocks.join(F.broadcast(parts), "part").withColumn("b", F.col("base") + F.col("nth")).drop("part", "nth", "base")
@@ -139,8 +137,7 @@ def linked(table: DataFrame, cosine: float = 0.95) -> DataFrame:
     while level > 0:
         level -= 1
         level_boxes = boxes if not level else boxes.groupBy((F.col("b") / FAN**level).cast("long").alias("b")).agg(fold("lo", F.min).alias("lo"), fold("hi", F.max).alias("hi"))
-        children = F.transform(F.sequence(F.lit(0), F.lit(FAN * FAN - 1)), lambda c: c)
-        pairs = pairs.withColumn("c", F.explode(children)).select((F.col("i") * FAN + (F.col("c") / FAN).cast("long")).alias("i"), (F.col("j") * FAN + F.col("c") % FAN).alias("j")).where("i <= j")
+        pairs = pairs.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(FAN * FAN - 1)))).select((F.col("i") * FAN + (F.col("c") / FAN).cast("long")).alias("i"), (F.col("j") * FAN + F.col("c") % FAN).alias("j")).where("i <= j")
         pairs = pairs.join(level_boxes.withColumnRenamed("b", "i"), "i").join(level_boxes.select(F.col("b").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "j")
         pairs = written(pairs.where(far <= 2 - 2 * cosine + 1e-9).select("i", "j"), "intervals")
 

@@ -377,8 +377,7 @@ def sets_of(texts, words):
     return out
 
 
-@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
-def test_near_duplicates(spark, words, percent):
+def check_near_duplicates(spark, words, percent):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
     texts = []
@@ -404,10 +403,15 @@ def test_near_duplicates(spark, words, percent):
     assert got == {i: (len(s), root(i)) for i, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
+def test_near_duplicates(spark, words, percent):
+    check_near_duplicates(spark, words, percent)
+
+
 def test_unresolved_buckets_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BUCKET", 3)
     monkeypatch.setattr(minhash, "CLUSTER", 2)
-    test_near_duplicates.__wrapped__(spark, 3, 85) if hasattr(test_near_duplicates, "__wrapped__") else test_near_duplicates(spark, 3, 85)
+    check_near_duplicates(spark, 3, 85)
 
 
 def test_estimate_is_corrected_for_chance():
