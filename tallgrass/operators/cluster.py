@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallgrass.functions.quantiles import t_column
-from tallgrass.operators.estimators import AVG, COUNT, EFFECT_RANGE, FIELDS, Agg
+from tallgrass.operators.estimators import AVG, COUNT, EFFECT_RANGE, FIELDS, Agg, only
 from tallgrass.operators.sampling import BLOCK
 
 #: Blocks under which a cell is not allowed to stop a ladder, and from which its interval is trusted.
@@ -43,11 +43,11 @@ def block_summary(totals: DataFrame, keys: list[str], aggs: list[Agg]) -> DataFr
     return totals.groupBy(*keys).agg(F.count("*").alias("n_blocks"), *(sums(F.col(a.alias)).alias(a.alias) for a in aggs))
 
 
-def cluster_intervals(cells: DataFrame, m: int, total: int, level: float = 0.95) -> DataFrame:
+def cluster_intervals(cells: DataFrame, m: int, total: int, level: float = 0.95, funcs: set[str] | None = None) -> DataFrame:
     """Rows with ``func`` and the block sums of a cell, with ``FIELDS`` added. m, total: sampled and all blocks."""
     col, grow, rest = F.col, total / max(m, 1), max(0.0, 1 - m / total) if total else 0.0
-    is_avg, census = col("func") == AVG, m >= total
-    sum_, squares = (F.when(col("func") == COUNT, col(a)).otherwise(col(b)) for a, b in (("k", "t"), ("kk", "tt")))
+    is_avg, is_count, census = only(AVG, funcs), only(COUNT, funcs), m >= total
+    sum_, squares = (F.when(is_count, col(a)).otherwise(col(b)) for a, b in (("k", "t"), ("kk", "tt")))
     steps = cells.withColumns({"__t": sum_, "__tt": squares})
     steps = steps.withColumn("estimate", F.when(is_avg, F.when(col("k") > 0, col("t") / col("k"))).otherwise(grow * col("__t")))
     residual = col("tt") - 2 * col("estimate") * col("tk") + col("estimate") * col("estimate") * col("kk")
@@ -61,7 +61,7 @@ def cluster_intervals(cells: DataFrame, m: int, total: int, level: float = 0.95)
     note = F.lit(None).cast("string") if census else F.lit("undefined: fewer than two blocks") if m < 2 else F.when(col("half_width").isNull(), "degenerate: no spread between blocks").when(few, "few blocks")
     steps = steps.withColumns({
         "df": F.lit(float(m - 1)),
-        "ci_low": F.when(col("func") == COUNT, F.greatest(F.lit(0.0), low)).otherwise(low),
+        "ci_low": F.when(is_count, F.greatest(F.lit(0.0), low)).otherwise(low),
         "ci_high": col("estimate") + col("half_width"),
         "relative_half_width": F.when(col("half_width") == 0, 0.0).when(col("estimate") != 0, col("half_width") / F.abs("estimate")),
         "method": F.lit("census" if census else "cluster"),
@@ -80,7 +80,7 @@ def long_sums(summary: DataFrame, keys: list[str], aggs: list[Agg]) -> DataFrame
 
 def cluster_grid(summary: DataFrame, keys: list[str], aggs: list[Agg], m: int, total: int, level: float = 0.95) -> DataFrame:
     """One row for each cell, with the columns of the row-sample grid."""
-    cells = cluster_intervals(long_sums(summary, keys, aggs), m, total, level)
+    cells = cluster_intervals(long_sums(summary, keys, aggs), m, total, level, {a.func for a in aggs})
     return cells.select(*keys, "alias", "func", F.col("k").cast("long").alias("n_domain"), *FIELDS)
 
 
@@ -94,7 +94,7 @@ def row_variance(n: float, total: float) -> Column:
 
 def design_effects(summary: DataFrame, keys: list[str], aggs: list[Agg], m: int, total_blocks: int, n: int, total_rows: int) -> DataFrame:
     """Cell: design effect (cluster against row variance), its clamped value, and the correlation within blocks."""
-    cells = cluster_intervals(long_sums(summary, keys, aggs), m, total_blocks)
+    cells = cluster_intervals(long_sums(summary, keys, aggs), m, total_blocks, funcs={a.func for a in aggs})
     cells = cells.select(*keys, "alias", (F.col("variance") / row_variance(float(n), float(total_rows))).alias("design_effect"))
     clamped = F.least(F.greatest(F.col("design_effect"), F.lit(EFFECT_RANGE[0])), F.lit(EFFECT_RANGE[1]))
     return cells.withColumn("clamped", clamped).withColumn("block_correlation", (F.col("design_effect") - 1) / F.lit(max(n / max(m, 1) - 1, 1e-9)))

@@ -130,15 +130,24 @@ def observations_needed(skewness: Column) -> Column:
 FIELDS = ("estimate", "variance", "df", "ci_low", "ci_high", "half_width", "relative_half_width", "method", "note")
 
 
-def intervals(cells: DataFrame, n: int, total: int, level: float = 0.95, method: str | None = None) -> DataFrame:
+def only(func: str, funcs: set[str] | None) -> Column:
+    """Whether a cell is of this function; a literal where the functions at hand settle it, so that the optimizer drops the
+    branches of the others."""
+    if funcs is None or (func in funcs and len(funcs) > 1):
+        return F.col("func") == func
+    return F.lit(func in funcs)
+
+
+def intervals(cells: DataFrame, n: int, total: int, level: float = 0.95, method: str | None = None, funcs: set[str] | None = None) -> DataFrame:
     """Rows with ``func``, ``effect`` (design effect), ``known`` (a COUNT of the whole table) and the statistics of a cell, with
     ``FIELDS`` added. n, total: rows of the sample and of the population; ``method``: "clt", "bernstein", "hoeffding", or None
-    to choose for each cell. The work is laid out in steps, so that each expression is evaluated once.
+    to choose for each cell; ``funcs``: all functions at hand, if known. The work is laid out in steps, so that each expression
+    is evaluated once.
     """
     f, rest = n / total if total else 1.0, max(0.0, 1 - n / total) if total else 0.0
     size, whole, census = F.lit(float(n)), float(total), n >= total
     col, none = F.col, F.lit(None).cast("double")
-    is_count, is_sum = col("func") == COUNT, col("func") == SUM
+    is_count, is_sum = only(COUNT, funcs), only(SUM, funcs)
     c = {k: col(k) for k in STATISTICS}
     d = col("__d")
     steps = cells.withColumn("__d", col("n_domain").cast("double"))
@@ -195,7 +204,7 @@ def grid(stats: DataFrame, keys: list[str], aggs: list[Agg], n: int, total: int,
 
     ``level`` is that of a single cell; use ``adjusted_level`` for all cells together. ``effects`` by alias.
     """
-    return intervals(long_cells(stats, keys, aggs, effects, universe), n, total, level, method).select(*keys, "alias", "func", "n_domain", *FIELDS)
+    return intervals(long_cells(stats, keys, aggs, effects, universe), n, total, level, method, {a.func for a in aggs}).select(*keys, "alias", "func", "n_domain", *FIELDS)
 
 
 def widest(cells: DataFrame) -> tuple[int, int, float | None]:

@@ -23,7 +23,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def same(name: str, text: str, oracle: str | None = None) -> None:
@@ -308,7 +308,7 @@ def _clustered(spark, sf_dir, agg: Agg, joined_to_customer: bool = False) -> tup
         key = "c_mktsegment"
         rows = joins.joined(rows, [joins.Join(read(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey")), joins.Join(read(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))])
     summary = cluster.block_summary(cluster.block_totals(rows, [F.col(key)], [agg]), [key], [agg])
-    cells = cluster.cluster_intervals(cluster.long_sums(summary, [key], [agg]), m, sample.total_blocks)
+    cells = cluster.cluster_intervals(cluster.long_sums(summary, [key], [agg]), m, sample.total_blocks, funcs={agg.func})
     return cells, key
 
 

@@ -20,8 +20,21 @@ def safe_identifier(name: str) -> str:
     return clean if clean[0].isalpha() else f"t_{clean}"
 
 
+_schemas: dict = {}
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. The job that infers the schema runs once for each state (time, length) of the path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+    key = (path, status.getModificationTime(), status.getLen())
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
+
+
 def register_parquet(spark: SparkSession, path: str, name: str) -> DataFrame:
-    df = spark.read.parquet(path)
+    df = read_parquet(spark, path)
     df.createOrReplaceTempView(name)
     return df
 
