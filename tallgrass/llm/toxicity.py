@@ -4,8 +4,8 @@ A logistic model over the words of a text and their beginnings (stems carry infl
 pays for every labelled sentence that names a group: the identity terms are swapped for others, and the squared change of
 the score is penalised. The model therefore gives all group names the same weight, and a neutral mention adds nothing.
 
-Labels are learned from at most ``max_rows`` labelled rows (the smallest hashes of doc_id), the one bounded sample here;
-every whole text is scored.
+Labels are learned from at most ``max_rows`` labelled documents (the smallest hashes of doc_id), the one bounded sample
+here; every whole text is scored.
 
 Defined cases: null and empty texts get the score of no evidence; a null id is never held out nor learned from; a doc_id
 with several labels counts as toxic if any says so, null labels are ignored; without both classes in the labels the score
@@ -15,6 +15,7 @@ is the share of toxic labels (0 without labels); every row is scored, equal rows
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import Memo, fresh, mapped, quoted, text_or_empty
+from tallgrass.llm.common import Memo, fresh, mapped, quoted, text_or_empty, written
 
 #: Neutral names of groups, by language; a term is swapped for the others of its line.
 IDENTITY_TERMS = (
@@ -38,88 +39,79 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 BEGINNINGS = (4, 5, 6)
 
 
-def features(word: str) -> list[str]:
-    """A lower-case word and its beginnings."""
-    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
+def features(word: str) -> list[int]:
+    """Codes of a lower-case word and of its beginnings."""
+    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in (word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n))]
 
 
-def words_of(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+def codes_of(words) -> np.ndarray:
+    """Sorted distinct codes of the words."""
+    return np.unique(np.array([c for w in set(words) for c in features(w)], np.uint32))
 
 
-def swapped(words: list[str], partner: dict[str, str]) -> list[str]:
-    return [partner.get(w, w) for w in words]
+def lines_of(terms) -> tuple[dict[str, str], np.ndarray]:
+    """The term that each identity term is swapped for, and the codes of all terms."""
+    return {w: line[(i + 1) % len(line)] for line in terms for i, w in enumerate(line)}, codes_of([w for line in terms for w in line])
+
+
+def twins(text: str, partner: dict[str, str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each sentence with an identity term: codes that it has and its swapped twin has not, and the other way round."""
+    low = text.lower()
+    out = []
+    if not partner.keys().isdisjoint(WORD.findall(low)):
+        for sentence in SENTENCE.findall(low):
+            words = WORD.findall(sentence)
+            if not partner.keys().isdisjoint(words):
+                own, twin = codes_of(words), codes_of([partner.get(w, w) for w in words])
+                out.append((np.setdiff1d(own, twin), np.setdiff1d(twin, own)))
+    return out
 
 
 @dataclass
 class Toxicity:
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[int, float] = field(default_factory=dict)
     bias: float = 0.0
 
     def scorer(self):
-        names = list(self.weights)
-        index = {f: i for i, f in enumerate(names)}
-        values = [self.weights[f] for f in names]
+        weights = self.weights
 
         def active(chunk: str) -> tuple[int, ...]:
-            return tuple({index[f] for w in WORD.findall(chunk.lower()) for f in features(w) if f in index})
+            return tuple({c for w in WORD.findall(chunk.lower()) for c in features(w) if c in weights})
 
         memo = Memo(active, 400_000)
 
         def score(text: str) -> float:
-            found = {i for chunk in set(text.split()) for i in memo[chunk]}
-            z = self.bias + sum(values[i] for i in sorted(found))
+            found = {c for chunk in set(text.split()) for c in memo[chunk]}
+            z = self.bias + sum(weights[c] for c in sorted(found))
             return float(1 / (1 + np.exp(-max(-40.0, min(40.0, z)))))
 
         return score
 
 
-def train(texts: list[str], labels: list[int], terms=IDENTITY_TERMS, least: int = 4, most: int = 30_000, l2: float = 1e-4, swap: float = 1.0, steps: int = 250) -> Toxicity:
-    """Fit the classifier. ``swap`` weighs the counterfactual penalty, ``most`` bounds the features."""
-    y = np.array(labels, np.float64)
-    if not len(y) or y.min() == y.max():
-        p = y.mean() if len(y) else 0.0
+def constant(labels) -> Toxicity | None:
+    """The model of labels that hold one class only, or none."""
+    if not len(labels) or min(labels) == max(labels):
+        p = float(np.mean(labels)) if len(labels) else 0.0
         return Toxicity({}, float(np.clip(np.log((p + 1e-9) / (1 - p + 1e-9)), -40, 40)))
-    group = {w: k for k, line in enumerate(terms) for w in line}
-    partner = {w: line[(i + 1) % len(line)] for line in terms for i, w in enumerate(line)}
-
-    codes: dict[str, int] = {}
-    of_word = Memo(lambda w: [codes.setdefault(f, len(codes)) for f in features(w)], 1 << 62, 1 << 62)
-    docs, pairs = [], []
-    for text in texts:
-        words = words_of(text)
-        docs.append(np.unique(np.array([c for w in words for c in of_word[w]], np.int64)))
-        if not words.isdisjoint(group):
-            for sentence in SENTENCE.findall(text.lower()):
-                own = WORD.findall(sentence)
-                if not group.keys().isdisjoint(own):
-                    pairs.append(tuple(np.unique([c for w in x for c in of_word[w]]) for x in (own, swapped(own, partner))))
-    forced = sorted({c for w in group if w in of_word for c in of_word[w]})
-
-    # the features told apart best by the labels, and all those of identity terms
-    flat, owner = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    seen = np.bincount(flat, minlength=len(codes)).astype(np.float64)
-    toxic = np.bincount(flat, weights=y[owner], minlength=len(codes))
-    share = y.mean()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        lift = np.where(seen >= least, np.abs(toxic - seen * share) / np.sqrt(seen * share * (1 - share)), 0)
-    chosen = np.unique(np.concatenate([_best(lift, most, 2.5), np.array(forced, np.int64)])).astype(np.int64)
-    slot = np.full(len(codes), -1, np.int64)
-    slot[chosen] = np.arange(len(chosen))
-    keep = slot[flat] >= 0
-    column, row = slot[flat[keep]], owner[keep]
-
-    # differences between a sentence and its swapped twin
-    d_column, d_row, d_value = [], [], []
-    for k, (own, twin) in enumerate(pairs):
-        for code, value in [*((c, 1.0) for c in np.setdiff1d(own, twin)), *((c, -1.0) for c in np.setdiff1d(twin, own))]:
-            if slot[code] >= 0:
-                d_column.append(slot[code])
-                d_row.append(k)
-                d_value.append(value)
-    d_column, d_row, d_value = np.array(d_column, np.int64), np.array(d_row, np.int64), np.array(d_value)
-
-    n, m = len(docs), len(chosen)
+    return None
+
+
+def optimised(chosen: np.ndarray, docs: list[np.ndarray], labels, pairs: list[tuple[np.ndarray, np.ndarray]], l2: float, swap: float, steps: int) -> Toxicity:
+    """Weights of the sorted codes ``chosen``; docs and pairs hold codes, of which only chosen ones count."""
+    y = np.array(labels, np.float64)
+
+    def place(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, owner = np.concatenate([*parts, np.zeros(0, np.uint32)]), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        at = np.minimum(np.searchsorted(chosen, flat), len(chosen) - 1)
+        known = chosen[at] == flat
+        return at[known], owner[known]
+
+    column, row = place(docs)
+    sides = [place([pair[k] for pair in pairs]) for k in (0, 1)]
+    d_column, d_row = (np.concatenate([side[k] for side in sides]) for k in (0, 1))
+    d_value = np.repeat([1.0, -1.0], [len(side[0]) for side in sides])
+
+    n, m, share = len(docs), len(chosen), y.mean()
     w, b = np.zeros(m), float(np.log(share / (1 - share)))
     first, second, b1, b2 = np.zeros(m), np.zeros(m), 0.0, 0.0
     for step in range(1, steps + 1):
@@ -135,13 +127,27 @@ def train(texts: list[str], labels: list[int], terms=IDENTITY_TERMS, least: int
         up, down = 1 - 0.9**step, 1 - 0.999**step
         w -= 0.1 * (first / up) / (np.sqrt(second / down) + 1e-8)
         b -= 0.1 * (b1 / up) / (np.sqrt(b2 / down) + 1e-8)
-    names = list(codes)
-    return Toxicity({names[c]: float(v) for c, v in zip(chosen, w, strict=True) if abs(v) > 1e-3}, float(b))
+    return Toxicity({int(c): float(v) for c, v in zip(chosen, w, strict=True) if abs(v) > 1e-3}, float(b))
+
 
+LEAST, MOST, LIFT, L2, SWAP, STEPS = 4, 30_000, 2.5, 1e-4, 1.0, 250
 
-def _best(lift: np.ndarray, most: int, least: float) -> np.ndarray:
-    order = np.argsort(-lift, kind="stable")[:most]
-    return order[lift[order] > least]
+
+def train(texts: list[str], labels: list[int], terms=IDENTITY_TERMS, swap: float = SWAP) -> Toxicity:
+    """Fit the classifier to a few texts on the driver; ``swap`` weighs the counterfactual penalty."""
+    if found := constant(labels):
+        return found
+    partner, forced = lines_of(terms)
+    docs = [codes_of(WORD.findall(t.lower())) for t in texts]
+    codes, seen = np.unique(np.concatenate(docs), return_counts=True)
+    mine, toxic = np.unique(np.concatenate([d for d, y in zip(docs, labels, strict=True) if y]), return_counts=True)
+    toxic = np.where(np.isin(codes, mine), toxic[np.minimum(np.searchsorted(mine, codes), len(mine) - 1)], 0)
+    share = np.mean(labels)
+    lift = np.abs(toxic - seen * share) / np.sqrt(seen * share * (1 - share))
+    lift[seen < LEAST] = 0
+    best = np.argsort(-lift, kind="stable")[:MOST]
+    chosen = np.union1d(codes[best[lift[best] > LIFT]], forced)
+    return optimised(chosen, docs, labels, [p for t in texts for p in twins(t, partner)], L2, swap, STEPS)
 
 
 def held_out(column: str = "doc_id"):
@@ -149,20 +155,47 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_chars: int = 1 << 27) -> Toxicity:
-    """Learn from at most ``max_rows`` labelled rows, of ``max_chars`` characters in all."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, terms=IDENTITY_TERMS, swap: float = SWAP) -> Toxicity:
+    """Learn from at most ``max_rows`` labelled documents (of rows that share an id, the smallest text).
+
+    Features are counted and chosen by Spark; the driver gets at most ``MOST`` features and, for each document of the sample,
+    the codes of those that it has.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(known), "doc_id")
-    # an id may have many rows: the bound holds for rows and characters, not only for ids
-    texts, marks, chars = [], [], 0
-    for batch in rows.select("text", "toxic").limit(max_rows).toArrow().to_batches(max_chunksize=1000):
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if chars + len(text) <= max_chars:
-                chars += len(text)
-                texts.append(text)
-                marks.append(toxic)
-    return train(texts, marks)
+    rows = written(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "labelled")
+    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < positive < n:
+        return constant([1] * positive + [0] * (n - positive))
+    partner, forced = lines_of(terms)
+
+    def count(batches):
+        for batch in batches:
+            for a in range(0, len(batch), 500):
+                part = batch.slice(a, 500)
+                codes = [codes_of(WORD.findall(t.lower())) for t in part.column(0).to_pylist()]
+                flat = np.concatenate([*codes, np.zeros(0, np.uint32)])
+                marks = np.repeat(np.array(part.column(1).to_pylist(), np.int64), [len(c) for c in codes])
+                found, at = np.unique(flat, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(np.bincount(at, minlength=len(found))), pa.array(np.bincount(at, weights=marks, minlength=len(found)).astype(np.int64))], ["code", "n", "t"])
+
+    counts = rows.select("text", "toxic").mapInArrow(count, "code long, n long, t long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("n") >= LEAST)
+    share = positive / n
+    lift = F.abs(F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
+    best = counts.select("code", lift.alias("lift")).where(F.col("lift") > LIFT).orderBy(F.desc("lift"), "code").limit(MOST).select("code").toArrow().column(0).to_numpy()
+    chosen = np.union1d(best.astype(np.uint32), forced)
+
+    def sparse(batches):
+        for batch in batches:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = [np.intersect1d(codes_of(WORD.findall(text.lower())), chosen, assume_unique=True), *(c for pair in twins(text, partner) for c in pair)]
+                yield pa.RecordBatch.from_pydict({"toxic": pa.array([toxic], pa.int32()), "codes": pa.array([[c.tobytes() for c in found]], pa.list_(pa.binary()))})
+
+    collected = rows.select("text", "toxic").mapInArrow(sparse, "toxic int, codes array<binary>").toArrow()
+    marks = collected.column(0).to_pylist()
+    parts = [[np.frombuffer(c, np.uint32) for c in codes] for codes in collected.column(1).to_pylist()]
+    return optimised(chosen, [p[0] for p in parts], marks, [(p[i], p[i + 1]) for p in parts for i in range(1, len(p), 2)], L2, swap, STEPS)
 
 
 def score_documents(docs: DataFrame, model: Toxicity, keep: list[str] | None = None, name: str = "score") -> DataFrame:
