@@ -36,7 +36,7 @@ class _Encoder:
         self.model, self.letters = self.library.model, _byte_letters()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.after = Memo(self.encode)  # punctuation
-        self.memo = Memo(self.chunk, 900_000)
+        self.memo = Memo(self.chunk, 500_000)
 
     def encode(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
