@@ -3,7 +3,9 @@
 Lists come from balanced bisection of a bounded sample, so that they have like sizes; list centroids are linked in a graph
 that is searched in memory, best first. A vector is replicated to every list whose centroid is nearly as close as its
 closest one (boundary vectors, ``REPLICAS`` lists at most); every vector is in a list. A query reads the lists whose
-distance is within ``PRUNE`` of its closest centroid's. Largest inner product becomes smallest distance by one further
+distance is within ``PRUNE`` of its closest centroid's, and a number of its closest lists in any case. That number is set
+on the table itself: the ``CALIBRATION`` queries of the smallest id hashes are answered by brute force, and it is the least
+for which they find ``TARGET`` of their neighbours. Largest inner product becomes smallest distance by one further
 component, ``sqrt(M^2 - |x|^2)``, with M the largest norm of all rows.
 
 Lists that have grown large (copies of one vector cannot be told apart) are dealt out in chunks of vectors and of queries;
@@ -17,6 +19,9 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,6 +33,7 @@ from tallgrass.llm.common import written
 SAMPLE, LIST, LISTS = 20_000, 256, 4096
 REPLICAS, REPLICATE = 4, 1.10
 PRUNE, BEAM = 1.10, 512
+CALIBRATION, TARGET = 256, 0.95
 CHUNK, HELD = 8192, 100_000
 
 
@@ -97,6 +103,15 @@ class CentroidGraph:
         return np.take_along_axis(index, order, 1), np.take_along_axis(far, order, 1)
 
 
+    def closest(self, points: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """As ``search``, for queries: beyond ``BEAM`` lists all distances cost less than a search."""
+        if most <= BEAM < len(self.centroids):
+            return self.search(points, BEAM)
+        far = squared(points, self.centroids)
+        order = np.argsort(far, axis=1, kind="stable")
+        return order, np.take_along_axis(far, order, 1)
+
+
 def merged(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best of each row by score, then id; an id counts once. -inf marks empty places."""
     order = np.lexsort((ids, -scores), axis=1)
@@ -175,7 +190,65 @@ def build_index(rows: DataFrame) -> tuple[CentroidGraph, float] | None:
     return CentroidGraph(balanced_centroids(points, min(LISTS, max(1, n // LIST)))), top
 
 
-def postings(rows: DataFrame, graph: CentroidGraph, top: float, is_query: str) -> DataFrame:
+def lists_of(graph: CentroidGraph, top: float, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Up to ``REPLICAS`` lists of each vector, and which of them hold it."""
+    extra = np.sqrt(np.maximum(top - (x**2).sum(1), 0))
+    lists, far = graph.search(np.concatenate([x, extra[:, None]], axis=1), 4 * REPLICAS)
+    lists, far = lists[:, :REPLICAS], far[:, :REPLICAS]
+    return lists, (lists >= 0) & (far <= far[:, :1] * REPLICATE**2 + 1e-12)
+
+
+def lists_read(graph: CentroidGraph, q: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists by distance from each query, and which of them it reads."""
+    lists, far = graph.closest(np.concatenate([q, np.zeros((len(q), 1))], axis=1), least)
+    return lists, (lists >= 0) & ((far <= far[:, :1] * PRUNE**2 + 1e-12) | (np.arange(lists.shape[1]) < least))
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.distinct().withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+
+
+def exact(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
+    """The k nearest of a few queries by brute force: every task compares its rows with all of them."""
+    names = ["cell", "kind", "id", "v"]
+
+    def cell(ids: pa.Array, v: pa.Array, kind: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int64)), pa.array(np.full(len(ids), kind, np.int32)), ids, v], names)
+
+    def scan(batches):
+        flat = pa.array(q.ravel(), pa.float64())
+        asked = cell(pa.array(q_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * q.shape[1], pa.int32()), flat), 0)
+        own = (cell(b.column(0).slice(a, CHUNK), b.column(1).slice(a, CHUNK), 1) for b in batches for a in range(0, len(b), CHUNK))
+        yield from _scan(itertools.chain([asked], own), k)
+
+    return ranked(rows.select("vec_id", "v").mapInArrow(scan, "query_id long, vec_id long, score double"), k)
+
+
+def lists_to_read(rows: DataFrame, graph: CentroidGraph, top: float, is_query: str, k: int) -> int:
+    """How many of its closest lists each query has to read for ``TARGET`` of the neighbours of the calibration queries."""
+    asked = rows.where(is_query).orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION).toArrow().combine_chunks()
+    if not len(asked):
+        return 1
+    q_ids, first = np.unique(asked["vec_id"].to_numpy(), return_index=True)
+    q = matrix(asked["v"].combine_chunks())[first]
+    # at most k rows of each calibration query; rows that share an id are told apart by their scores
+    truth = exact(rows, q_ids, q, k).withColumnRenamed("score", "wanted")
+    near = F.broadcast(truth).join(rows.select("vec_id", "v"), "vec_id").select("query_id", "vec_id", "wanted", "v").distinct().toArrow().combine_chunks()
+    if not len(near):
+        return 1
+    owner, x = np.searchsorted(q_ids, near["query_id"].to_numpy()), matrix(near["v"].combine_chunks())
+    same = np.isclose((q[owner] * x).sum(1), near["wanted"].to_numpy(), rtol=1e-9, atol=1e-12)
+    owner, x = owner[same], x[same]
+    order, _ = lists_read(graph, q, len(graph.centroids))
+    place = np.empty_like(order)  # of each list in the order of each query
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None], 1)
+    lists, holds = lists_of(graph, top, x)
+    need = np.where(holds, place[owner[:, None], lists], len(graph.centroids)).min(1) + 1
+    return int(np.sort(need)[math.ceil(TARGET * len(need)) - 1])
+
+
+def postings(rows: DataFrame, graph: CentroidGraph, top: float, is_query: str, least: int) -> DataFrame:
     """(list, kind, id, v): every vector in its lists (kind 1), every query in the lists that it reads (kind 0)."""
 
     def assign(batches):
@@ -183,18 +256,18 @@ def postings(rows: DataFrame, graph: CentroidGraph, top: float, is_query: str) -
             for a in range(0, len(batch), 1024):
                 part = batch.slice(a, 1024)
                 ids, v, asks = part.column(0).to_numpy(zero_copy_only=False), matrix(part.column(1)), np.array(part.column(2).to_pylist(), bool)
-                for kind, chosen, beam, ratio, most in ((1, slice(None), 4 * REPLICAS, REPLICATE, REPLICAS), (0, asks, BEAM, PRUNE, BEAM)):
+                for kind, chosen in ((1, slice(None)), (0, asks)):
                     x = v[chosen]
                     if not len(x):
                         continue
-                    extra = np.sqrt(np.maximum(top - (x**2).sum(1), 0)) if kind else np.zeros(len(x))
-                    lists, far = graph.search(np.concatenate([x, extra[:, None]], axis=1), beam)
-                    lists, far = lists[:, :most], far[:, :most]
-                    near = (lists >= 0) & (far <= far[:, :1] * ratio**2 + 1e-12)
-                    owner, at = np.nonzero(near)
-                    flat = pa.array(x[owner].ravel(), pa.float64())
-                    v_out = pa.ListArray.from_arrays(pa.array(np.arange(len(owner) + 1) * x.shape[1], pa.int32()), flat)
-                    yield pa.RecordBatch.from_arrays([pa.array(lists[owner, at], pa.int32()), pa.array(np.full(len(owner), kind), pa.int32()), pa.array(ids[chosen][owner], pa.int64()), v_out], ["list", "kind", "id", "v"])
+                    lists, near = lists_of(graph, top, x) if kind else lists_read(graph, x, least)
+                    owners, at = np.nonzero(near)
+                    own = ids[chosen]
+                    for b in range(0, len(owners), CHUNK):
+                        owner, cells = owners[b : b + CHUNK], lists[owners[b : b + CHUNK], at[b : b + CHUNK]]
+                        flat = pa.array(x[owner].ravel(), pa.float64())
+                        v_out = pa.ListArray.from_arrays(pa.array(np.arange(len(owner) + 1) * x.shape[1], pa.int32()), flat)
+                        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(np.full(len(owner), kind), pa.int32()), pa.array(own[owner], pa.int64()), v_out], ["list", "kind", "id", "v"])
 
     return rows.select("vec_id", "v", F.expr(is_query)).mapInArrow(assign, "list int, kind int, id long, v array<double>")
 
@@ -206,7 +279,8 @@ def nearest(table: DataFrame, k: int = 20, is_query: str = "vec_id % 20 = 0") ->
     index = build_index(rows)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lists = written(postings(rows, *index, is_query), "postings")
+    least = lists_to_read(rows, *index, is_query, k)
+    lists = written(postings(rows, *index, is_query, least), "postings")
     # LISTS rows at most
     sizes = lists.groupBy("list").agg(F.ceil(F.sum("kind") / CHUNK).cast("int").alias("vs"), F.ceil(F.sum(1 - F.col("kind")) / CHUNK).cast("int").alias("qs"))
     dealt = lists.join(F.broadcast(sizes), "list").where("vs > 0 and qs > 0")
@@ -215,9 +289,7 @@ def nearest(table: DataFrame, k: int = 20, is_query: str = "vec_id % 20 = 0") ->
     v_chunk, q_chunk = (F.when(F.col("kind") == 1, F.col(a)).otherwise(F.col(b)).cast("long") for a, b in (("own", "other"), ("other", "own")))
     dealt = dealt.select((F.col("list").cast("long") * (1 << 40) + v_chunk * (1 << 20) + q_chunk).alias("cell"), "kind", "id", "v")
     found = dealt.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(lambda b: _scan(b, k), "query_id long, vec_id long, score double")
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.distinct().withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
-    return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return ranked(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

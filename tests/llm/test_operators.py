@@ -10,6 +10,7 @@ from array import array
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -271,6 +272,26 @@ def test_recall_over_many_lists(spark, monkeypatch):
     assert hits / (60 * 20) >= 0.9
 
 
+@pytest.mark.parametrize("lists", [1024, 4096])
+def test_recall_holds_as_lists_grow(spark, monkeypatch, lists):
+    """Many small lists of vectors without structure: the share of lists read grows until recall reaches its target."""
+    n = 16_384
+    monkeypatch.setattr(ann, "LIST", n // lists)
+    x = np.random.default_rng(8).normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)})).repartition(4)
+    rows = ann.usable(df)
+    graph, _ = ann.build_index(rows)
+    assert len(graph.centroids) == lists
+    got = {(r["query_id"], r["vec_id"]) for r in ann.nearest(df, 20, "vec_id % 50 = 7").collect()}
+    hits, asked = 0, range(7, n, 50)
+    for i in asked:
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        hits += sum((i, int(j)) in got for j in np.argsort(-scores)[:20])
+    assert hits / (len(asked) * 20) >= 0.9
+
+
 def test_linked(vectors, monkeypatch):
     monkeypatch.setattr(ego, "BLOCK", 1100)
     monkeypatch.setattr(ego, "TILE", 50)
