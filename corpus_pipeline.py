@@ -2,7 +2,8 @@
 later copies, sources are interleaved to their target weights, and the rest is packed.
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written and read again as the next one's ``docs``. The mixing
-stage decides the order: its files and rows follow the schedule, and packing fills its sequences in that order.
+stage decides the order. Files are not read again in the order they were written in, so packing works out the same
+positions (they depend on ids and sources only), deals its tasks ranges of them, and fills its sequences in that order.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(mixing.in_order(docs), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

@@ -6,7 +6,8 @@ largest pieces of shorter tiers that fit; a piece is cut only where none fits. T
 laid into windows of falling powers of two, so that nothing is padded. Windows of one tier form step groups of equal
 tokens.
 
-Each task packs the rows it reads in groups of bounded size, so there is no shuffle, memory is bounded, and a lost task
+Each task packs the rows it reads in groups of bounded size; groups follow the rows, and so do the windows of a group, each
+by its first document. Sequence ids rise in that order from task to task. So there is no shuffle, memory is bounded, and a lost task
 packs the same rows the same way again.
 
 Defined cases: null text is empty (one piece: the end id); every row is packed, rows that share an id or are equal
@@ -104,7 +105,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str
         def flush():
             nonlocal sequence
             out: list[list] = [[] for _ in range(9)]
-            for size, inside in pack_group([len(x) // 4 for x in ids], tiers):
+            windows = pack_group([len(x) // 4 for x in ids], tiers)
+            # sequences follow the rows: a window stands where its first document does
+            for size, inside in sorted(windows, key=lambda w: min((d, start) for d, start, _ in w[1])):
                 step = seen.get(size, 0) // max(1, step_ids // size)
                 seen[size], offset = seen.get(size, 0) + 1, 0
                 for d, start, n in inside:

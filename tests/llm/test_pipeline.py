@@ -1,6 +1,7 @@
 """The pipeline: stages keep the columns of documents, take effect, and agree with brute force on the whole."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallgrass.llm import minhash, mixing
@@ -49,6 +50,28 @@ def test_mixing_is_an_order_of_the_rows(stages):
     assert sorted(rows, key=placed.get) == sorted(placed, key=placed.get)
 
 
+def test_sequences_follow_the_schedule(spark, tmp_path):
+    """Files of rising size are read largest first; sequences follow the positions all the same."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "source").withColumn("text", F.lit("a few words"))
+    place = F.col("__mix.position")
+    rows = mixing.mixed(docs).withColumn("text", F.concat("text", F.repeat(F.sha2(place.cast("string"), 512), place.cast("int"))))
+    total = rows.count()
+    for a, b in ((0, total // 8), (total // 8, total // 2), (total // 2, total)):
+        rows.where(place >= a).where(place < b).orderBy(place).drop("__mix").coalesce(1).write.mode("append").parquet(str(tmp_path / "files"))
+    read = spark.read.parquet(str(tmp_path / "files"))
+    assert len(read.inputFiles()) == 3
+    placed = {r["doc_id"]: r["p"] for r in mixing.mixed(read).selectExpr("doc_id", "__mix.position as p").collect()}
+    pieces = corpus_pipeline.pack(spark, read, SMALL).select("sequence_id", "doc_id").collect()
+    first, tasks = {}, {}
+    for r in pieces:
+        first[r["sequence_id"]] = min(first.get(r["sequence_id"], total), placed[r["doc_id"]])
+        tasks.setdefault(r["sequence_id"] >> 36, []).append(placed[r["doc_id"]])
+    order = [first[i] for i in sorted(first)]
+    assert order[0] == 0 and order == sorted(order)
+    edges = [(min(v), max(v)) for _, v in sorted(tasks.items())]
+    assert all(a[1] < b[0] for a, b in zip(edges, edges[1:]))
+
+
 def test_run_gives_the_last_stage(spark, stages):
     got = corpus_pipeline.run(spark, SMALL)
     total = lambda df: sorted((r["doc_id"], r["n"]) for r in df.groupBy("doc_id").agg({"length": "sum"}).toDF("doc_id", "n").collect())
