@@ -4,7 +4,8 @@ A document's ids are first cut into full windows of the longest tier. What is le
 holds it. Tiers are packed from long to short: a window opens with a piece of its own tier and its gap is filled with the
 largest pieces of shorter tiers that fit; a piece is cut only where none fits. The rest of a group that fills no window is
 laid into windows of falling powers of two, so that nothing is padded. Windows of one tier form step groups of equal
-tokens.
+tokens. A step group belongs to one task, whose number is in its high bits; the last group of each tier in each task may
+hold fewer tokens (merging them would need a shuffle).
 
 Each task packs the rows it reads in groups of bounded size; groups follow the rows, and so do the windows of a group, each
 by its first document. Sequence ids rise in that order from task to task. So there is no shuffle, memory is bounded, and a lost task
@@ -98,7 +99,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str
 
     def pack(batches):
         encode, end = encoder(SpaceFreeEncoder, tokenizer), struct.pack("<I", end_id)
-        sequence = TaskContext.get().partitionId() << 36
+        sequence = base = TaskContext.get().partitionId() << 36
         seen: dict[int, int] = {}  # windows so far, by size
         doc_ids, ids, held = [], [], 0
 
@@ -108,7 +109,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str
             windows = pack_group([len(x) // 4 for x in ids], tiers)
             # sequences follow the rows: a window stands where its first document does
             for size, inside in sorted(windows, key=lambda w: min((d, start) for d, start, _ in w[1])):
-                step = seen.get(size, 0) // max(1, step_ids // size)
+                step = base + seen.get(size, 0) // max(1, step_ids // size)
                 seen[size], offset = seen.get(size, 0) + 1, 0
                 for d, start, n in inside:
                     row = (doc_ids[d], start, n, zlib.crc32(memoryview(ids[d])[4 * start : 4 * (start + n)]), len(ids[d]) // 4, sequence, offset, size, step)

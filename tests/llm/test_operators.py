@@ -133,6 +133,16 @@ def test_packing(docs, nothing):
     assert packing.pack_documents(nothing, WORDS).count() == 0
 
 
+def test_step_groups_are_unique_over_tasks(docs):
+    pieces = packing.pack_documents(docs.repartition(3), WORDS, group_ids=1 << 12, step_ids=1 << 13).collect()
+    tasks, held = collections.defaultdict(set), collections.Counter()
+    for p in pieces:
+        tasks[p["tier"], p["step_group"]].add(p["sequence_id"] >> 36)
+        held[p["tier"], p["step_group"]] += p["length"]
+    assert len({t for x in tasks.values() for t in x}) > 1
+    assert all(len(x) == 1 for x in tasks.values()) and max(held.values()) <= 1 << 13
+
+
 # 2: mixing
 
 
