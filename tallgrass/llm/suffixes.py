@@ -6,16 +6,18 @@ question, and not needed:
 
 1. *Cells.* Every window of ``length`` bytes has an anchor, its minimal ``GRAM``-gram by hash; equal windows have equal
    anchors at equal places. A cell is a run of windows with one anchor. An anchor seen once has no repeated window.
-2. Of the repeated anchors, each distinct cell is looked at once. A cell that occurs twice is repeated as a whole.
-3. *Suffix order.* The distinct cells of an anchor are put one after the other in corpus order, and their window suffixes
-   are sorted by prefix doubling to ``length`` bytes. Suffixes that agree that far stand next to each other, in order of
-   position; there the previous smaller position of each but the first is its neighbour, so its longest previous factor
-   reaches ``length`` (and the longest next factor does for each but the last). Nowhere else do they.
+2. Of the repeated anchors, each distinct cell (by 128 bits: the hashes of its anchor and of its bytes) is looked at once. A
+   cell that occurs twice is repeated as a whole.
+3. *Suffix order.* The distinct cells of an anchor are put one after the other in corpus order, their window suffixes are
+   sorted by their bytes, and the common prefixes of neighbours are measured (up to ``length``). For each suffix the
+   previous and the next smaller position in suffix order are found; the longer prefix shared with one of the two is its
+   longest previous factor. Where that reaches ``length`` the window has been met before, at that smaller position.
 4. Spans of cells are carried to all their occurrences and joined for each document.
 
-Anchors with more than ``HOT`` distinct cells do not fit one task: their windows are dealt out one by one by a 128-bit hash
-and their first places are found by an aggregate; the outcome is the same. Shuffled rows are cells, about one for each
-``(length - GRAM) / 2`` bytes, and only repeated ones go further than the first count.
+Anchors with more than ``CELLS_HELD`` distinct cells are too large for one task's memory. Spark sorts their windows (ranges of
+the same suffix order, over all tasks), and a pass over the sorted rows finds the same: among suffixes that agree on all
+``length`` bytes and stand in corpus order, the previous smaller position is the row before. Shuffled rows are cells, about
+one for each ``(length - GRAM) / 2`` bytes, and only repeated ones go further than the first count.
 
 Defined cases: null text is empty; texts shorter than ``length`` lose nothing; rows that share an id are ordered by text
 hash; rows that share id and text are occurrences of their own, but with ``keep="first"`` they are told apart by nothing
@@ -32,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import PolyHash, dropped, freed, fresh, mapped, mix64, quoted, text_or_empty, written
+from tallgrass.llm.common import PolyHash, arrow, bounded, dropped, fresh, mix64, quoted, text_or_empty, written
 
 LENGTH, GRAM = 200, 64
 SEGMENT = 1 << 19  #: windows handled at once in a long text
-HOT = 4096
+CELLS_HELD = 4096  #: cells of an anchor that one task sorts in memory
 BATCH = 1 << 20  #: bytes of cells that are sorted at once
 
 
@@ -70,36 +72,69 @@ def cells_of(data: np.ndarray, poly: PolyHash, length: int = LENGTH, gram: int =
     return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
-def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of the suffixes at ``starts`` by their first ``length`` bytes: equal ranks, equal bytes."""
-    n = len(data)
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    rank = np.zeros(n, np.uint64)
-    for k in range(8):
-        rank = (rank << np.uint64(8)) | padded[k : k + n]
-    _, rank = np.unique(rank, return_inverse=True)
-    span = 8
-    while 2 * span <= length:
-        later = np.zeros(n, np.int64)
-        later[: n - span] = rank[span:] + 1
-        _, rank = np.unique(rank * (n + 1) + later, return_inverse=True)
-        span *= 2
-    tail = np.minimum(starts + max(0, length - span), n - 1)
-    return np.unique(rank[starts] * (n + 1) + rank[tail], return_inverse=True)[1]
+def suffix_order(data: bytes, starts: list[int], edges: list[int], length: int) -> np.ndarray:
+    """Indices of ``starts`` in suffix order (``length`` bytes, then position), within each group ``edges[i]:edges[i+1]``."""
+    order: list[int] = []
+    for a, b in zip(edges, edges[1:], strict=False):
+        suffixes = [data[at : at + length] for at in starts[a:b]]
+        order += [a + i for i in sorted(range(b - a), key=suffixes.__getitem__)]
+    return np.array(order, np.int64)
+
 
+def common_prefixes(data: bytes, starts: np.ndarray, length: int, step: int = 1 << 14) -> np.ndarray:
+    """Bytes that the suffix at each place shares with the one before it, ``length`` at most (0 for the first)."""
+    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), length)
+    out = np.zeros(len(starts), np.int64)
+    for a in range(1, len(starts), step):
+        own = rows[starts[a - 1 : a + step]]
+        differ = own[1:] != own[:-1]
+        out[a : a + step] = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
+    return out
 
-def factors(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the longest previous (next) factor of each suffix, within its group, reaches ``length``.
 
-    In suffix order with ties by position, neighbours of one run agree on ``length`` bytes; within a run positions rise, so
-    the previous smaller position is the neighbour before, and the next smaller position lies behind the run.
+def smaller_before(position: np.ndarray, shared: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the closest place before it with a smaller position (-1: none), and the prefix shared with that one.
+
+    ``shared`` is the prefix shared with the place before. Minima over 1, 2, 4, ... places are tabulated; each search jumps
+    back over runs of larger positions, longest runs first. No search goes back ``longest`` places or more.
+    """
+    tables = [(position, shared)]
+    while 1 << len(tables) < longest:
+        span, (p, s) = 1 << (len(tables) - 1), tables[-1]
+        tables.append(tuple(np.concatenate((x[:span], np.minimum(x[span:], x[:-span]))) for x in (p, s)))
+    at, least = np.arange(len(position)) - 1, shared.copy()
+    for k in reversed(range(len(tables))):
+        p, s = tables[k]
+        jump = (at >= (1 << k) - 1) & (p[at] > position)
+        least = np.where(jump, np.minimum(least, s[at]), least)
+        at = np.where(jump, at - (1 << k), at)
+    found = (at >= 0) & (position[at] < position)
+    return np.where(found, at, -1), np.where(found, least, 0)
+
+
+def previous_factors(position: np.ndarray, shared: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous factor of the suffix at each place of the suffix order, and the place of the earlier match (-1: none)."""
+    last = len(position) - 1
+    before, by_before = smaller_before(position, shared, longest)
+    after, by_after = smaller_before(position[::-1], np.concatenate((shared[:1] * 0, shared[:0:-1])), longest)
+    after, by_after = np.where(after >= 0, last - after, -1)[::-1], by_after[::-1]
+    factor = np.maximum(by_before, by_after)
+    return factor, np.where(factor > 0, np.where(by_before >= by_after, before, after), -1)
+
+
+def factors(data: bytes, starts: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous factor of each suffix within its group, up to ``length``, and the index of its earlier match (-1: none).
+
+    ``starts`` rise, ``group`` too.
     """
-    rank = suffix_ranks(data, starts, length)
-    order = np.lexsort((starts, rank, group))
-    agree = (rank[order[1:]] == rank[order[:-1]]) & (group[order[1:]] == group[order[:-1]])
-    before, after = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-    before[order[1:]], after[order[:-1]] = agree, agree
-    return before, after
+    edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+    order = suffix_order(data, starts.tolist(), edges.tolist(), length)
+    shared = common_prefixes(data, starts[order], length)
+    shared[edges[:-1]] = 0
+    found, match = previous_factors(order, shared, int(np.diff(edges).max()))
+    factor, source = np.zeros(len(starts), np.int64), np.full(len(starts), -1)
+    factor[order], source[order] = found, np.where(match >= 0, order[match], -1)
+    return factor, source
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,18 +173,16 @@ def repeated_spans(docs: DataFrame, keep: str = "none", length: int = LENGTH) ->
                 owner = pa.array(np.repeat(np.arange(a, a + len(some)), sizes[a : a + 256]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(flat[0].view(np.int64)), pa.array(flat[1].view(np.int64)), pa.array(flat[2]), pa.array(flat[3])], [x.split()[0] for x in CELLS.split(", ")])
 
-    cells = written(texts.mapInArrow(find, CELLS), "cells")
+    cells = written(arrow(texts, find, CELLS), "cells")
     anchors = written(cells.groupBy("anchor").agg(F.count("*").alias("n"), F.min("cell").alias("a"), F.max("cell").alias("b")).where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchors")
-    freed(spark)
     seen = written(cells.join(anchors, "anchor"), "seen")
     dropped(cells, anchors)
-    freed(spark)
     place = F.struct("did", "k1", "start", "count")
     distinct = written(seen.groupBy("anchor", "cell").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"), F.min(place).alias("first")), "distinct")
-    sizes = written(distinct.where("mixed").groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("anchor", F.lit(True).alias("hot")), "hot")
+    sizes = written(distinct.where("mixed").groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > CELLS_HELD).select("anchor", F.lit(True).alias("large")), "large")
 
     # bytes of each distinct cell of a mixed anchor, cut from the first text that has it
-    wanted = distinct.where("mixed").join(sizes, "anchor", "left").select("first.did", "first.k1", F.struct("anchor", "cell", F.col("first.start").alias("start"), F.col("first.count").alias("count"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("c"))
+    wanted = distinct.where("mixed").join(sizes, "anchor", "left").select("first.did", "first.k1", F.struct("anchor", "cell", F.col("first.start").alias("start"), F.col("first.count").alias("count"), F.coalesce("large", F.lit(False)).alias("large")).alias("c"))
     wanted = wanted.groupBy("did", "k1").agg(F.collect_list("c").alias("cells"))
     cut = texts.alias("t").join(wanted.alias("w"), F.col("t.did").eqNullSafe(F.col("w.did")) & (F.col("t.k1") == F.col("w.k1"))).select("t.did", "t.k1", "text", "cells")
 
@@ -161,12 +194,11 @@ def repeated_spans(docs: DataFrame, keep: str = "none", length: int = LENGTH) ->
                 for did, k1, text, own in zip(*(c.slice(r, 64).to_pylist() for c in batch.columns), strict=True):
                     data = text.encode()
                     for c in own:
-                        for values, x in zip(out, (c["anchor"], c["cell"], did, k1, c["start"], c["hot"], data[c["start"] : c["start"] + c["count"] + length - 1]), strict=True):
+                        for values, x in zip(out, (c["anchor"], c["cell"], did, k1, c["start"], c["large"], data[c["start"] : c["start"] + c["count"] + length - 1]), strict=True):
                             values.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["anchor", "cell", "did", "k1", "start", "hot", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["anchor", "cell", "did", "k1", "start", "large", "data"])
 
-    strings = written(cut.mapInArrow(take, "anchor long, cell long, did long, k1 long, start long, hot boolean, data binary"), "strings")
-    freed(spark)
+    strings = written(arrow(cut, take, "anchor long, cell long, did long, k1 long, start long, large boolean, data binary"), "strings")
 
     def sort(batches):
         held, size = [], 0
@@ -179,15 +211,19 @@ def repeated_spans(docs: DataFrame, keep: str = "none", length: int = LENGTH) ->
                 last = (row[0], row[1])
             # corpus order within an anchor
             rows.sort(key=lambda r: (r[0], r[2] is not None, r[2] or 0, r[3], r[4]))
-            data = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
+            data = b"".join([r[5] for r in rows])
             edges = np.cumsum([0, *(len(r[5]) for r in rows)])
             counts = np.array([len(r[5]) - length + 1 for r in rows])
             own = np.repeat(np.arange(len(rows)), counts)
             starts = edges[own] + np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
-            _, group = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
-            before, after = factors(data, starts, group[own], length)
+            anchors = np.array([r[0] for r in rows])
+            group = np.cumsum(np.concatenate(([False], anchors[1:] != anchors[:-1])))
+            factor, source = factors(data, starts, group[own], length)
+            before = factor >= length
+            either = before.copy()
+            either[source[before]] = True
             ends = np.cumsum(counts)
-            found = [(r[0], r[1], _pairs(before[e - c : e]), _pairs((before | after)[e - c : e])) for r, c, e in zip(rows, counts.tolist(), ends.tolist(), strict=True)]
+            found = [(r[0], r[1], _pairs(before[e - c : e]), _pairs(either[e - c : e])) for r, c, e in zip(rows, counts.tolist(), ends.tolist(), strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())], strict=True)], ["anchor", "cell", "before", "either"])
 
         for batch in batches:
@@ -200,28 +236,52 @@ def repeated_spans(docs: DataFrame, keep: str = "none", length: int = LENGTH) ->
         if held:
             yield solve()
 
-    cool = strings.where("not hot").select("anchor", "cell", "did", "k1", "start", "data").repartition("anchor").sortWithinPartitions("anchor", "cell")
-    spans = written(cool.mapInArrow(sort, SPANS), "spans")
+    small = strings.where("not large").select("anchor", "cell", "did", "k1", "start", "data").repartition("anchor").sortWithinPartitions("anchor", "cell")
+    spans = written(arrow(small, sort, SPANS), "spans")
 
-    hot = strings.where("hot")
-    if not hot.isEmpty():
+    large = strings.where("large").dropDuplicates(["anchor", "cell"])
+    if not strings.where("large").isEmpty():
 
         def deal(batches):
-            one, two = PolyHash(), PolyHash(8)
             for batch in batches:
                 for r in range(len(batch)):
-                    data = np.frombuffer(batch.column(5)[r].as_buffer(), np.uint8)
+                    data = batch.column(5)[r].as_py()
                     n = len(data) - length + 1
-                    at = np.arange(n)
-                    w1, w2 = (h.spans(h.prefix(data), at, at + length).view(np.int64) for h in (one, two))
                     same = [pa.repeat(batch.column(c)[r], n) for c in range(4)]
-                    yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), *same, pa.array(at + batch.column(4)[r].as_py()), pa.array(at)], ["w1", "w2", "anchor", "cell", "did", "k1", "at", "off"])
+                    windows = pa.array([data[i : i + length] for i in range(n)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n) + batch.column(4)[r].as_py()), pa.array(np.arange(n)), windows], ["anchor", "cell", "did", "k1", "at", "off", "window"])
 
-        windows = hot.dropDuplicates(["anchor", "cell"]).select("anchor", "cell", "did", "k1", "start", "data").mapInArrow(deal, "w1 long, w2 long, anchor long, cell long, did long, k1 long, at long, off long")
-        windows = written(windows, "windows")
-        firsts = written(windows.groupBy("w1", "w2").agg(F.min(F.struct("did", "k1", "at")).alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
-        met = windows.join(firsts, ["w1", "w2"]).select("anchor", "cell", "off", F.col("first").eqNullSafe(F.struct("did", "k1", "at")).alias("first"))
-        met = met.groupBy("anchor", "cell").agg(F.collect_list(F.when(~F.col("first"), F.col("off"))).alias("before"), F.collect_list("off").alias("either"))
+        def meet(batches):
+            """Of rows in suffix order: whether a window equals the one before it, and whether it equals one of its neighbours."""
+
+            def out(cells, before, either):
+                return pa.RecordBatch.from_arrays([*cells, pa.array(before), pa.array(either)], ["anchor", "cell", "off", "before", "either"])
+
+            wait = None  # the last row waits for the next batch
+            for batch in batches:
+                n, same = len(batch), np.zeros(len(batch) + 1, bool)
+                if not n:
+                    continue
+                first, last = ([c[i].as_py() for c in batch.columns] for i in (0, n - 1))
+                same[1:n] = True
+                for k in (0, 6):
+                    x = batch.column(k)
+                    same[1:n] &= pa.compute.equal(x.slice(1), x.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+                if wait is not None:
+                    held, before = wait
+                    same[0] = held[0] == first[0] and held[6] == first[6]
+                    yield out([pa.array([held[k]], pa.int64()) for k in (0, 1, 5)], [before], [bool(before or same[0])])
+                yield out([batch.column(k).slice(0, n - 1) for k in (0, 1, 5)], same[: n - 1], same[: n - 1] | same[1:n])
+                wait = last, bool(same[n - 1])
+            if wait is not None:
+                held, before = wait
+                yield out([pa.array([held[k]], pa.int64()) for k in (0, 1, 5)], [before], [before])
+
+        columns = "anchor long, cell long, did long, k1 long, at long, off long, window binary"
+        windows = arrow(large.select("anchor", "cell", "did", "k1", "start", "data"), deal, columns)
+        sorted_ = windows.repartitionByRange("anchor", "window").sortWithinPartitions("anchor", "window", "did", "k1", "at")
+        met = arrow(sorted_, meet, "anchor long, cell long, off long, before boolean, either boolean").where("either")
+        met = met.groupBy("anchor", "cell").agg(F.collect_list(F.when(F.col("before"), F.col("off"))).alias("before"), F.collect_list("off").alias("either"))
 
         def gather(batches):
             for batch in batches:
@@ -235,12 +295,11 @@ def repeated_spans(docs: DataFrame, keep: str = "none", length: int = LENGTH) ->
                     out.append(pa.array(flat, pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out], ["anchor", "cell", "before", "either"])
 
-        spans = spans.union(written(met.mapInArrow(gather, SPANS), "spans"))
+        spans = spans.union(written(arrow(met, gather, SPANS), "spans"))
 
     # from cells to their occurrences
     info = written(distinct.join(spans, ["anchor", "cell"], "left").select("anchor", "cell", "n", "first", "before", "either"), "info")
     dropped(strings, distinct)
-    freed(spark)
     met = seen.drop("mixed").join(info, ["anchor", "cell"])
     whole = F.array(F.lit(0).cast("long"), F.col("count"))
     if keep == "first":
@@ -265,9 +324,8 @@ def repeated_spans(docs: DataFrame, keep: str = "none", length: int = LENGTH) ->
                 out.append(flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["did", "k1", "spans"])
 
-    result = written(met.mapInArrow(join_runs, "did long, k1 long, spans array<long>"), "removed")
+    result = written(arrow(met, join_runs, "did long, k1 long, spans array<long>"), "removed")
     dropped(seen, info, spans)
-    freed(spark)
     return result
 
 
@@ -289,28 +347,28 @@ def whole_characters(data: bytes, spans: list[int] | None) -> list[int]:
     return out
 
 
+def without_whole_characters(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    out = []
+    for text, own in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+        data = None if text is None else text.encode()
+        out.append(None if text is None else without(data, whole_characters(data, own)).decode())
+    return pa.array(out, pa.string())
+
+
 def remove(docs: DataFrame, keep: str = "first", length: int = LENGTH) -> DataFrame:
-    """The documents with the repeated spans cut out of ``text`` (to whole characters) and ``n_chars`` brought up to date."""
+    """The documents with the repeated spans cut out of ``text`` (to whole characters) and ``n_chars`` brought up to date.
+
+    Python gets the texts that lose something, and nothing else.
+    """
+    bounded(docs.sparkSession)
     spans = repeated_spans(docs, keep, length)
-    did, k1, own_spans = (fresh(docs, n) for n in ("__did", "__k1", "__spans"))
+    did, k1, own = (fresh(docs, n) for n in ("__did", "__k1", "__spans"))
     keyed = docs.withColumns({did: F.col("doc_id").cast("long"), k1: F.xxhash64(text_or_empty())}).alias("t")
-    joined = keyed.join(spans.alias("s"), F.col(f"t.{did}").eqNullSafe(F.col("s.did")) & (F.col(f"t.{k1}") == F.col("s.k1")), "left").select(*(F.col(f"t.{c}") for c in quoted(docs.columns)), F.col("s.spans").alias(own_spans))
-    position = docs.columns.index("text")
-    schema = joined.drop(own_spans).schema
-
-    def cut(batches):
-        for batch in batches:
-            texts = []
-            for text, own in zip(batch.column(position).to_pylist(), batch.column(len(batch.columns) - 1).to_pylist(), strict=True):
-                if own:
-                    data = text.encode()
-                    text = without(data, whole_characters(data, own)).decode()
-                texts.append(text)
-            columns = [batch.column(i) for i in range(len(batch.columns) - 1)]
-            columns[position] = pa.array(texts, batch.column(position).type)
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
-
-    out = mapped(joined, cut, schema)
+    joined = keyed.join(spans.alias("s"), F.col(f"t.{did}").eqNullSafe(F.col("s.did")) & (F.col(f"t.{k1}") == F.col("s.k1")), "left")
+    joined = joined.select(*(F.col(f"t.{c}") for c in quoted(docs.columns)), F.col("s.spans").alias(own))
+    hit, kind = F.col(own).isNotNull(), docs.schema["text"].dataType
+    text = F.when(hit, F.arrow_udf(without_whole_characters, "string")(F.when(hit, F.col("text").cast("string")), F.col(own)).cast(kind)).otherwise(F.col("text"))
+    out = joined.withColumn("text", text).drop(own)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -329,4 +387,4 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     values.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(out, [pa.int64()] * 3 + [pa.string()], strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return arrow(joined, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

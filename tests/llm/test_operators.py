@@ -197,7 +197,7 @@ def brute_spans(texts, length, keep):
 
 @pytest.mark.parametrize(("keep", "hot"), [("none", 4096), ("none", 0), ("first", 4096), ("first", 0)])
 def test_repeated_spans(spark, monkeypatch, keep, hot):
-    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "CELLS_HELD", hot)
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
     passages = [" ".join(word() for _ in range(60)) for _ in range(4)]
