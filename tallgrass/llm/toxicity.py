@@ -1,11 +1,15 @@
 """Counterfactual-regularised toxicity classifier.
 
 A logistic model over the words of a text and their beginnings (stems carry inflected forms). Besides the usual loss it
-pays for every labelled sentence that names a group: the identity terms are swapped for others, and the squared change of
-the score is penalised. The model therefore gives all group names the same weight, and a neutral mention adds nothing.
+pays for counterfactual twins of labelled sentences: in a sentence that names a group, each identity term in turn is swapped
+for another; a labelled document that names none gets one term put into its first sentence. The squared change of the score
+is penalised. So all group names weigh alike, a neutral mention adds nothing, and this holds on corpora whose labels hardly
+name a group as well as on such that blame one. The terms are a parameter; ``Toxicity`` tells how many twins of each kind
+there were.
 
 Labels are learned from at most ``max_rows`` labelled documents (the smallest hashes of doc_id), the one bounded sample
-here; every whole text is scored.
+here; every whole text is scored. The driver gets at most ``MOST`` features, for each document of the sample the codes of
+those that it has, and the distinct twins (a document has at most one for each term, of chosen codes).
 
 Defined cases: null and empty texts get the score of no evidence; a null id is never held out nor learned from; a doc_id
 with several labels counts as toxic if any says so, null labels are ignored; without both classes in the labels the score
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import Memo, fresh, mapped, quoted, text_or_empty, written
+from tallgrass.llm.common import Memo, arrow, bounded, fresh, quoted, text_or_empty, trimmed, written
 
 #: Neutral names of groups, by language; a term is swapped for the others of its line.
 IDENTITY_TERMS = (
@@ -54,23 +59,33 @@ def lines_of(terms) -> tuple[dict[str, str], np.ndarray]:
     return {w: line[(i + 1) % len(line)] for line in terms for i, w in enumerate(line)}, codes_of([w for line in terms for w in line])
 
 
-def twins(text: str, partner: dict[str, str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each sentence with an identity term: codes that it has and its swapped twin has not, and the other way round."""
+SWAPPED, PUT = 0, 1  #: kinds of twins
+
+
+def twins(text: str, partner: dict[str, str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, codes that a sentence has and its twin has not, the other way round) for each twin of a text."""
     low = text.lower()
-    out = []
-    if not partner.keys().isdisjoint(WORD.findall(low)):
-        for sentence in SENTENCE.findall(low):
-            words = WORD.findall(sentence)
-            if not partner.keys().isdisjoint(words):
-                own, twin = codes_of(words), codes_of([partner.get(w, w) for w in words])
-                out.append((np.setdiff1d(own, twin), np.setdiff1d(twin, own)))
-    return out
+    names = partner.keys() & set(WORD.findall(low))
+    if not names:
+        own = codes_of(WORD.findall(next(iter(SENTENCE.findall(low)), "")))
+        term = sorted(partner)[zlib.crc32(text.encode("utf-8", "surrogatepass")) % len(partner)] if partner else None
+        return [(PUT, np.zeros(0, np.uint32), np.setdiff1d(codes_of([term]), own))] if term else []
+    out = {}  # one of each term: further sentences of a document differ by the same codes, but for its other words
+    for sentence in SENTENCE.findall(low):
+        words = set(WORD.findall(sentence))
+        for name in sorted(names & words):
+            if name not in out:
+                own, twin = codes_of(words), codes_of(words - {name} | {partner[name]})
+                out[name] = (SWAPPED, np.setdiff1d(own, twin), np.setdiff1d(twin, own))
+    return list(out.values())
 
 
 @dataclass
 class Toxicity:
     weights: dict[int, float] = field(default_factory=dict)
     bias: float = 0.0
+    swapped: int = 0  #: twins by swapped terms that it was trained with
+    put: int = 0  #: twins by a term put into a sentence
 
     def scorer(self):
         weights = self.weights
@@ -78,7 +93,7 @@ class Toxicity:
         def active(chunk: str) -> tuple[int, ...]:
             return tuple({c for w in WORD.findall(chunk.lower()) for c in features(w) if c in weights})
 
-        memo = Memo(active, 400_000)
+        memo = Memo(active, 200_000)
 
         def score(text: str) -> float:
             found = {c for chunk in set(text.split()) for c in memo[chunk]}
@@ -96,7 +111,10 @@ def constant(labels) -> Toxicity | None:
     return None
 
 
-def optimised(chosen: np.ndarray, docs: list[np.ndarray], labels, pairs: list[tuple[np.ndarray, np.ndarray]], l2: float, swap: float, steps: int) -> Toxicity:
+Twins = list[tuple[np.ndarray, np.ndarray, int]]  #: codes of the sentence only, of the twin only, how often
+
+
+def optimised(chosen: np.ndarray, docs: list[np.ndarray], labels, pairs: Twins, l2: float, swap: float, steps: int) -> Toxicity:
     """Weights of the sorted codes ``chosen``; docs and pairs hold codes, of which only chosen ones count."""
     y = np.array(labels, np.float64)
 
@@ -110,6 +128,8 @@ def optimised(chosen: np.ndarray, docs: list[np.ndarray], labels, pairs: list[tu
     sides = [place([pair[k] for pair in pairs]) for k in (0, 1)]
     d_column, d_row = (np.concatenate([side[k] for side in sides]) for k in (0, 1))
     d_value = np.repeat([1.0, -1.0], [len(side[0]) for side in sides])
+    often = np.array([pair[2] for pair in pairs], np.float64)
+    often /= max(1.0, often.sum())
 
     n, m, share = len(docs), len(chosen), y.mean()
     w, b = np.zeros(m), float(np.log(share / (1 - share)))
@@ -119,8 +139,8 @@ def optimised(chosen: np.ndarray, docs: list[np.ndarray], labels, pairs: list[tu
         error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
         gradient = np.bincount(column, weights=error[row], minlength=m) + l2 * w
         if len(d_row):
-            change = np.bincount(d_row, weights=d_value * w[d_column], minlength=len(pairs))
-            gradient += swap * 2 / len(pairs) * np.bincount(d_column, weights=d_value * change[d_row], minlength=m)
+            change = often * np.bincount(d_row, weights=d_value * w[d_column], minlength=len(pairs))
+            gradient += swap * 2 * np.bincount(d_column, weights=d_value * change[d_row], minlength=m)
         slope = error.sum()
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         b1, b2 = 0.9 * b1 + 0.1 * slope, 0.999 * b2 + 0.001 * slope**2
@@ -130,7 +150,7 @@ def optimised(chosen: np.ndarray, docs: list[np.ndarray], labels, pairs: list[tu
     return Toxicity({int(c): float(v) for c, v in zip(chosen, w, strict=True) if abs(v) > 1e-3}, float(b))
 
 
-LEAST, MOST, LIFT, L2, SWAP, STEPS = 4, 30_000, 2.5, 1e-4, 1.0, 250
+LEAST, MOST, LIFT, L2, SWAP, STEPS = 4, 30_000, 2.5, 1e-4, 20.0, 250
 
 
 def train(texts: list[str], labels: list[int], terms=IDENTITY_TERMS, swap: float = SWAP) -> Toxicity:
@@ -147,7 +167,15 @@ def train(texts: list[str], labels: list[int], terms=IDENTITY_TERMS, swap: float
     lift[seen < LEAST] = 0
     best = np.argsort(-lift, kind="stable")[:MOST]
     chosen = np.union1d(codes[best[lift[best] > LIFT]], forced)
-    return optimised(chosen, docs, labels, [p for t in texts for p in twins(t, partner)], L2, swap, STEPS)
+    pairs = [p for t in texts for p in twins(t, partner)]
+    model = optimised(chosen, docs, labels, [(a, b, 1) for _, a, b in pairs], L2, swap, STEPS)
+    return told(model, [kind for kind, _, _ in pairs], [1] * len(pairs))
+
+
+def told(model: Toxicity, kinds: list[int], counts: list[int]) -> Toxicity:
+    """The model with the number of its twins."""
+    model.swapped, model.put = (sum(n for k, n in zip(kinds, counts, strict=True) if k == kind) for kind in (SWAPPED, PUT))
+    return model
 
 
 def held_out(column: str = "doc_id"):
@@ -180,37 +208,56 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, terms=IDENTI
                 found, at = np.unique(flat, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(np.bincount(at, minlength=len(found))), pa.array(np.bincount(at, weights=marks, minlength=len(found)).astype(np.int64))], ["code", "n", "t"])
 
-    counts = rows.select("text", "toxic").mapInArrow(count, "code long, n long, t long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("n") >= LEAST)
+    counts = arrow(rows.select("text", "toxic"), count, "code long, n long, t long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("n") >= LEAST)
     share = positive / n
     lift = F.abs(F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
     best = counts.select("code", lift.alias("lift")).where(F.col("lift") > LIFT).orderBy(F.desc("lift"), "code").limit(MOST).select("code").toArrow().column(0).to_numpy()
     chosen = np.union1d(best.astype(np.uint32), forced)
 
     def sparse(batches):
+        """The chosen codes of each document, and those of its twins."""
+
+        def row(kind, toxic, own, twin=()):
+            for values, x in zip(out, (kind, toxic, np.asarray(own, np.uint32).tobytes(), np.asarray(twin, np.uint32).tobytes()), strict=True):
+                values.append(x)
+
         for batch in batches:
+            out: list[list] = [[], [], [], []]
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = [np.intersect1d(codes_of(WORD.findall(text.lower())), chosen, assume_unique=True), *(c for pair in twins(text, partner) for c in pair)]
-                yield pa.RecordBatch.from_pydict({"toxic": pa.array([toxic], pa.int32()), "codes": pa.array([[c.tobytes() for c in found]], pa.list_(pa.binary()))})
+                row(-1, toxic, np.intersect1d(codes_of(WORD.findall(text.lower())), chosen, assume_unique=True))
+                for kind, own, twin in twins(text, partner):
+                    row(kind, None, np.intersect1d(own, chosen), np.intersect1d(twin, chosen))
+            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["kind", "toxic", "own", "twin"])
 
-    collected = rows.select("text", "toxic").mapInArrow(sparse, "toxic int, codes array<binary>").toArrow()
-    marks = collected.column(0).to_pylist()
-    parts = [[np.frombuffer(c, np.uint32) for c in codes] for codes in collected.column(1).to_pylist()]
-    return optimised(chosen, [p[0] for p in parts], marks, [(p[i], p[i + 1]) for p in parts for i in range(1, len(p), 2)], L2, swap, STEPS)
+    found = written(arrow(rows.select("text", "toxic"), sparse, "kind int, toxic int, own binary, twin binary"), "codes")
+    sentences = found.where("kind >= 0").groupBy("kind", "own", "twin").agg(F.count("*").alias("n")).toArrow().to_pydict()
+    marked = found.where("kind < 0").select("toxic", "own").toArrow().to_pydict()
+    codes = lambda name, of: [np.frombuffer(x, np.uint32) for x in of[name]]
+    pairs = list(zip(codes("own", sentences), codes("twin", sentences), sentences["n"], strict=True))
+    return told(optimised(chosen, codes("own", marked), marked["toxic"], pairs, L2, swap, STEPS), sentences["kind"], sentences["n"])
 
 
-def score_documents(docs: DataFrame, model: Toxicity, keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """The score of every whole text, called ``name``, beside the columns ``keep`` (by default doc_id)."""
-    keep = keep or ["doc_id"]
-    rows = docs.select(*quoted(keep), text_or_empty().alias(fresh(docs, "__text")))
-    schema = docs.select(*quoted(keep), F.lit(0.0).alias(name)).schema
+def scoring(model: Toxicity):
+    """The model as a function of a text column. Only the text goes to Python; the other columns stay in the JVM."""
 
-    def score(batches):
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         one = model.scorer()
-        for batch in batches:
-            scores = pa.array([one(t) for t in batch.column(len(keep)).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), scores], names=[*keep, name])
+        try:
+            for texts in batches:
+                yield pa.array([one(t) for t in texts.to_pylist()], pa.float64())
+        finally:
+            del one
+            trimmed()
+
+    return score
 
-    return mapped(rows, score, schema)
+
+def score_documents(docs: DataFrame, model: Toxicity, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The score of every whole text, called ``name``, beside the columns ``keep`` (by default doc_id)."""
+    bounded(docs.sparkSession)
+    return docs.select(*quoted(keep or ["doc_id"]), scoring(model)(text_or_empty()).alias(name))
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
