@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallgrass.llm.vectors import matrix, sample, usable
-from tallgrass.llm.common import written
+from tallgrass.llm.common import arrow, written
 
 SAMPLE, LIST, LISTS = 20_000, 256, 4096
 REPLICAS, REPLICATE = 4, 1.10
@@ -222,7 +222,7 @@ def exact(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int) -> DataFram
         own = (cell(b.column(0).slice(a, CHUNK), b.column(1).slice(a, CHUNK), 1) for b in batches for a in range(0, len(b), CHUNK))
         yield from _scan(itertools.chain([asked], own), k)
 
-    return ranked(rows.select("vec_id", "v").mapInArrow(scan, "query_id long, vec_id long, score double"), k)
+    return ranked(arrow(rows.select("vec_id", "v"), scan, "query_id long, vec_id long, score double"), k)
 
 
 def lists_to_read(rows: DataFrame, graph: CentroidGraph, top: float, is_query: str, k: int) -> int:
@@ -269,7 +269,7 @@ def postings(rows: DataFrame, graph: CentroidGraph, top: float, is_query: str, l
                         v_out = pa.ListArray.from_arrays(pa.array(np.arange(len(owner) + 1) * x.shape[1], pa.int32()), flat)
                         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(np.full(len(owner), kind), pa.int32()), pa.array(own[owner], pa.int64()), v_out], ["list", "kind", "id", "v"])
 
-    return rows.select("vec_id", "v", F.expr(is_query)).mapInArrow(assign, "list int, kind int, id long, v array<double>")
+    return arrow(rows.select("vec_id", "v", F.expr(is_query)), assign, "list int, kind int, id long, v array<double>")
 
 
 def nearest(table: DataFrame, k: int = 20, is_query: str = "vec_id % 20 = 0") -> DataFrame:
@@ -288,7 +288,7 @@ def nearest(table: DataFrame, k: int = 20, is_query: str = "vec_id % 20 = 0") ->
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == 1, F.col("qs")).otherwise(F.col("vs")) - 1)))
     v_chunk, q_chunk = (F.when(F.col("kind") == 1, F.col(a)).otherwise(F.col(b)).cast("long") for a, b in (("own", "other"), ("other", "own")))
     dealt = dealt.select((F.col("list").cast("long") * (1 << 40) + v_chunk * (1 << 20) + q_chunk).alias("cell"), "kind", "id", "v")
-    found = dealt.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(lambda b: _scan(b, k), "query_id long, vec_id long, score double")
+    found = arrow(dealt.repartition("cell").sortWithinPartitions("cell", "kind"), lambda b: _scan(b, k), "query_id long, vec_id long, score double")
     return ranked(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 

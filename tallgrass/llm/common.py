@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only where driver and executors are one process (local mode)
+    and it is unset, a temporary folder stands in; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallgrass-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -29,13 +36,29 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    This cuts the lineage: after an executor is lost nothing before the table is computed again.
+    This cuts the lineage: after an executor is lost nothing before the table is computed again. The shuffle files that
+    made the table are removed as soon as it is written.
     """
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Statements that run inside leave no shuffle files behind (executors remove them when a statement ends)."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -52,9 +75,44 @@ def quoted(names: list[str]) -> list[str]:
     return [f"`{n.replace('`', '``')}`" for n in names]
 
 
+#: Bytes of an Arrow batch on its way to a Python worker: texts may be long, and rows alone do not bound a batch.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Batches to Python workers are bounded by bytes, for the session (unless it has a smaller bound already)."""
+    if not 0 < spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
+def arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with batches of bounded bytes, whose workers give back what they have used."""
+    bounded(df.sparkSession)
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            trimmed()
+
+    return df.mapInArrow(run, schema)
+
+
 def mapped(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` for columns of any name: the function gets them by place."""
-    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(function, schema)
+    """``arrow`` for columns of any name: the function gets them by place."""
+    return arrow(df.toDF(*(f"c{i}" for i in range(len(df.columns)))), function, schema)
+
+
+def trimmed() -> None:
+    """Give freed memory back to the system: workers are used again and again, and each would keep its peak."""
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 class Memo(dict):
@@ -135,11 +193,3 @@ def dropped(*tables: DataFrame) -> None:
         for name in table.inputFiles()[:1]:
             path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def freed(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps whose results are written and whose plans are gone."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import written
+from tallgrass.llm.common import arrow, written
 
 SMALL = 10_000
 
@@ -71,7 +71,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         count = edges.count()
         if count <= SMALL:
-            last = written(edges.coalesce(1).mapInArrow(_union_find, "label long, to long"), "roots") if count else None
+            last = written(arrow(edges.coalesce(1), _union_find, "label long, to long"), "roots") if count else None
         else:
             order = lambda c: F.struct(F.xxhash64(F.lit(rounds), c).alias("p"), F.col(c).alias("to"))  # noqa: B023, E731
             both = edges.select("u", "v").union(edges.select("v", "u"))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import written
+from tallgrass.llm.common import arrow, written
 from tallgrass.llm.components import components, forest
 from tallgrass.llm.vectors import matrix, sample, usable
 
@@ -95,7 +95,7 @@ def linked(table: DataFrame, cosine: float = 0.95) -> DataFrame:
 
     # one row of each class, in epsilon grid order
     reps = keyed.withColumnRenamed("vec_id", "node").join(classes, ["k1", "k2", "node"]).dropDuplicates(["k1", "k2"])
-    ordered = written(reps.select("node", "size", "v").mapInArrow(project, "node long, size long, v array<double>, cells array<int>"), "cells")
+    ordered = written(arrow(reps.select("node", "size", "v"), project, "node long, size long, v array<double>, cells array<int>"), "cells")
     ordered = ordered.repartitionByRange("cells", "node").sortWithinPartitions("cells", "node").select("node", "size", "v")
 
     def cut(batches):
@@ -117,7 +117,7 @@ def linked(table: DataFrame, cosine: float = 0.95) -> DataFrame:
         if held:
             yield flush()
 
-    blocks = written(ordered.mapInArrow(cut, "part long, nth long, lo array<double>, hi array<double>, ids binary, sizes binary, vectors binary"), "blocks", "lz4")
+    blocks = written(arrow(ordered, cut, "part long, nth long, lo array<double>, hi array<double>, ids binary, sizes binary, vectors binary"), "blocks", "lz4")
 
     # place of each block in the sequence: parts in order, blocks of a part in order (one row for each part is summed up)
     parts = blocks.groupBy("part").agg(F.count("*").alias("n"))
@@ -162,7 +162,7 @@ def linked(table: DataFrame, cosine: float = 0.95) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(block.ids[at]), pa.array(np.full(len(at), -1)), pa.array(counts[at])], ["u", "v", "n"])
                 yield pa.RecordBatch.from_arrays([pa.array(us), pa.array(vs), pa.array(np.zeros(len(us), np.int64))], ["u", "v", "n"])
 
-    found = written(both.toDF("i", "j", "a1", "a2", "a3", "b1", "b2", "b3").mapInArrow(compare, "u long, v long, n long"), "found")
+    found = written(arrow(both.toDF("i", "j", "a1", "a2", "a3", "b1", "b2", "b3"), compare, "u long, v long, n long"), "found")
     counts = found.where("n > 0").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     groups = components(found.where("n = 0").select("u", "v"))
     # a class's rows link with each other and with all rows of the classes it is linked with

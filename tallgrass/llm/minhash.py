@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import fresh, mix64, text_or_empty, written
+from tallgrass.llm.common import arrow, fresh, mix64, text_or_empty, written
 from tallgrass.llm.components import components, forest
 from tallgrass.llm.shingles import Shingler
 
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                         bands[i], sigs[i] = row, sig.astype("<u8").tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], [x.split()[0] for x in SIGNATURE.split(", ")])
 
-    return rows.mapInArrow(make, SIGNATURE)
+    return arrow(rows, make, SIGNATURE)
 
 
 def _estimate(batches, least: int):
@@ -200,7 +200,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return both.select("u", "v", "su", "sv").mapInArrow(confirm, "u long, v long")
+    return arrow(both.select("u", "v", "su", "sv"), confirm, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     hubs = reps.select(F.col("node").alias("hub"), F.col("signature").alias("su"))
     pairs = members.where("node <> hub").select("hub", "node").distinct().join(hubs, "hub").join(reps.select("node", F.col("signature").alias("sv")), "node")
-    pairs = written(pairs.select(F.col("hub").alias("u"), F.col("node").alias("v"), "su", "sv").mapInArrow(lambda b: _estimate(b, least), "u long, v long").distinct(), "pairs")
+    pairs = written(arrow(pairs.select(F.col("hub").alias("u"), F.col("node").alias("v"), "su", "sv"), lambda b: _estimate(b, least), "u long, v long").distinct(), "pairs")
 
     # full sets of every document that may still be compared
     needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(members.where("n > 2").select("node")).distinct()
@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
                 raw = memoryview(shingles.astype("<u8").tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([raw[8 * x : 8 * y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())], ["node", "shingles"])
 
-    sets = written(sets.mapInArrow(full, "node long, shingles binary"), "sets", "lz4")
+    sets = written(arrow(sets, full, "node long, shingles binary"), "sets", "lz4")
     links = written(_confirm(pairs, sets, percent), "links")
     found = written(components(links), "found")
 
@@ -241,12 +241,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     labelled = written(labelled, "labelled")
     open_ = written(labelled.groupBy("band", "h").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band", "h"), "open")
     rest = written(labelled.join(open_, ["band", "h"]).join(reps.select("node", "signature"), "node"), "rest")
-    hints = _blocks(rest, ["band", "h"], BUCKET, "signature").mapInArrow(lambda b: _forests(b, lambda x, y: _alike(x, y, least)), "u long, v long")
+    hints = arrow(_blocks(rest, ["band", "h"], BUCKET, "signature"), lambda b: _forests(b, lambda x, y: _alike(x, y, least)), "u long, v long")
     clusters = written(components(written(hints, "hints")), "clusters")
     sizes = written(clusters.groupBy("component").agg(F.count("*").alias("n")), "sizes")
     labels = labelled.select("node", "label").distinct()
     inside = clusters.join(sizes, "component").join(labels, "node").join(sets.dropDuplicates(["node"]), "node")
-    more = _blocks(inside, ["component"], CLUSTER, "shingles").mapInArrow(lambda b: _forests(b, lambda x, y: _same(x, y, percent)), "u long, v long")
+    more = arrow(_blocks(inside, ["component"], CLUSTER, "shingles"), lambda b: _forests(b, lambda x, y: _same(x, y, percent)), "u long, v long")
     more = written(more, "links")
     if not more.isEmpty():
         found = written(components(links.union(more)), "found")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import text_or_empty
+from tallgrass.llm.common import arrow, text_or_empty
 from tallgrass.llm.encoders import SpaceFreeEncoder, encoder
 
 TIERS = (4096, 2048, 1024, 512, 256)
@@ -133,7 +133,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str
         if ids:
             yield flush()
 
-    return rows.mapInArrow(pack, PIECES)
+    return arrow(rows, pack, PIECES)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import freed, new_path
+from tallgrass.llm.common import new_path
 
 TARGET, FAN_IN, FILES = 64 << 20, 4, 10_000
 
@@ -169,7 +169,6 @@ class ShardStore:
             fresh = self._write(rows, found["version"] + 1)
             gone = set(old)
             self._commit(found["version"] + 1, found["schema"], [*(s for s in shards if s not in gone), *fresh])
-            freed(self.spark)
 
     def vacuum(self) -> None:
         """Delete shards that the newest version does not name (no reader may still use an older one)."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import Memo, text_or_empty
+from tallgrass.llm.common import Memo, arrow, text_or_empty
 
 SPACE = "▁"
 _LOADED: dict = {}
@@ -123,7 +123,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
             sizes = pa.compute.binary_length(texts.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary())).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(tokens, pa.int64()), pa.array([t > limit for t in tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow(rows, count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

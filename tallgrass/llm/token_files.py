@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import new_path, text_or_empty
+from tallgrass.llm.common import arrow, new_path, text_or_empty
 from tallgrass.llm.encoders import SpaceLedEncoder, encoder
 
 MAGIC, STEP = b"TGIDSEF1", 256
@@ -144,7 +144,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if ids:
             yield flush()
 
-    rows.mapInArrow(build, SEGMENTS).write.option("compression", "zstd").parquet(path)
+    arrow(rows, build, SEGMENTS).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -170,7 +170,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     "ids_crc32": pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.int64()),
                 })
 
-    read = segments.select("part", "data").mapInArrow(unpack, "part long, " + READ)
+    read = arrow(segments.select("part", "data"), unpack, "part long, " + READ)
     return read.join(F.broadcast(parts), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
