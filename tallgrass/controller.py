@@ -11,13 +11,14 @@ import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallgrass.functions.quantiles import adjusted_level, look_alpha
 from tallgrass.operators import cluster, estimators, joins, sampling
 from tallgrass.plans.frontend import AqpQuery, finish
-from tallgrass.sources.tables import Populations
+from tallgrass.sources.tables import Populations, below_views, leaves_of
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,8 @@ RUNGS = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 1.00)
 GROWTH = ((50, 4.0), (70, 2.0), (90, 1.5), (math.inf, 1.25))
 
 INCOMPLETE_LOOKS, GROUP_CEILING, LEAST_ROWS = 4, 50_000, 20_000
+#: From so many files on a table is sampled by whole files: looks then read no more than their share of it.
+FILES_FROM = 100
 
 
 def for_target(mode: str, target: float | None) -> Mode:
@@ -106,6 +109,12 @@ class Answer:
     looks: list[Look] = field(default_factory=list)
     complete: bool = True
     downgraded: str | None = None  #: why there are no intervals, where they were wanted
+    held: list[DataFrame] = field(default_factory=list)  #: persisted statistics that the results are made of
+
+    def close(self) -> None:
+        """Free the statistics; results that are used afterwards are computed again."""
+        for table in self.held:
+            table.unpersist()
 
     def report(self) -> dict:
         last = self.looks[-1] if self.looks else None
@@ -115,6 +124,16 @@ class Answer:
         }
 
 
+@dataclass(frozen=True)
+class Seen:
+    """What one look gives."""
+
+    cells: DataFrame
+    n: int
+    groups: int
+    table: DataFrame
+
+
 def widened(query: AqpQuery, cells: DataFrame) -> DataFrame:
     """Cells as one row for each group, with the HAVING, ORDER BY and LIMIT of the statement."""
     keys = [F.col(k) for k in query.keys]
@@ -136,22 +155,30 @@ class Controller:
     def __init__(self, populations: Populations | None = None, clock: Callable[[], float] = time.perf_counter, patience: float = 10.0):
         self.populations, self.clock, self.patience = populations or Populations(), clock, patience
 
-    # one look
+    # one look: cells, units of the sample (rows, blocks or files), groups, and the table behind the cells
 
-    def row_cells(self, query: AqpQuery, fraction: float, total: int, level: float, seed: int) -> tuple[DataFrame, int, int]:
-        """Cells of a Bernoulli look at one table, rows of the sample and groups."""
-        sample = sampling.bernoulli(query.fact, fraction, seed)
-        n = sample.rows.count() if fraction < 1 else total
+    def row_cells(self, query: AqpQuery, fraction: float, total: int, level: float, seed: int) -> Seen:
+        """A Bernoulli look at one table. The sample is counted and summed up in one pass; a full look lets the predicate
+        into the scan."""
         keys = [c.alias(k) for k, c in query.keys.items()]
-        stats = estimators.statistics(sample.rows, keys, query.aggs, query.where).persist()
-        groups = stats.count()
+        if fraction >= 1:
+            found = estimators.statistics(query.fact, keys, query.aggs, query.where).persist()
+            n, groups, stats = total, found.count(), found
+        else:
+            rows = sampling.bernoulli(query.fact, fraction, seed).rows
+            if query.subquery:  # cannot be counted beside the rows that it leaves out
+                found = estimators.statistics(rows, keys, query.aggs, query.where).persist()
+                n, groups = rows.count(), found.count()
+                one = adjusted_level(level, max(1, groups) * len(query.aggs))
+                return Seen(estimators.grid(found, list(query.keys), query.aggs, n, total, one), n, groups, found)
+            found = estimators.counted_statistics(rows, keys, query.aggs, query.where).persist()
+            n, groups = found.agg(F.coalesce(F.sum("n_bucket"), F.lit(0)), F.count_if(F.col("n_rows") > 0)).first()
+            stats = found.where("n_rows > 0") if keys else found
         one = adjusted_level(level, max(1, groups) * len(query.aggs))
-        return estimators.grid(stats, list(query.keys), query.aggs, n, total, one, universe=query.universe), n, groups
+        return Seen(estimators.grid(stats, list(query.keys), query.aggs, n, total, one, universe=query.universe), n, groups, found)
 
-    def block_cells(self, query: AqpQuery, fraction: float, total: int, level: float, seed: int, block_rows: int) -> tuple[DataFrame, int, int]:
-        """Cells of a block look at the first table of a join."""
-        sample = sampling.blocks(query.fact, fraction, block_rows, seed, total)
-        m = sample.rows.select(sampling.BLOCK).distinct().count() if fraction < 1 else total
+    def cluster_cells(self, query: AqpQuery, sample: sampling.Sample, m: int, total: int, level: float) -> Seen:
+        """A look at whole blocks or files of the (first) table, m of total."""
         rows = joins.joined(sample.rows, query.joins)
         rows = rows if query.where is None else rows.where(query.where)
         keys = [c.alias(k) for k, c in query.keys.items()]
@@ -159,42 +186,64 @@ class Controller:
         summary = cluster.block_summary(totals, list(query.keys), query.aggs).persist()
         groups = summary.count()
         one = adjusted_level(level, max(1, groups) * len(query.aggs))
-        return cluster.cluster_grid(summary, list(query.keys), query.aggs, m, total, one), m, groups
+        return Seen(cluster.cluster_grid(summary, list(query.keys), query.aggs, m, total, one), m, groups, summary)
+
+    def block_cells(self, query: AqpQuery, fraction: float, total: int, level: float, seed: int, block_rows: int) -> Seen:
+        """Blocks of successive rows: for tables of few files, which are read as a whole."""
+        sample = sampling.blocks(query.fact, fraction, block_rows, seed, total)
+        m = sample.rows.select(sampling.BLOCK).distinct().count() if fraction < 1 else total
+        return self.cluster_cells(query, sample, m, total, level)
+
+    def file_cells(self, query: AqpQuery, fraction: float, total: int, level: float, seed: int) -> Seen:
+        """Whole files: only those are read, and the predicate reaches their scan."""
+        m = sampling.picked_files(query.fact, fraction, seed)[0] if fraction < 1 else total
+        return self.cluster_cells(query, sampling.files(query.fact, fraction, seed), m, total, level)
 
     # the loop
 
     def run(self, query: AqpQuery, mode: str = "balanced", target: float | None = None, alpha: float = 0.05, seed: int = 1, block_rows: int = sampling.BLOCK_ROWS, on_look: Callable[[Look], None] | None = None, least_rows: int = LEAST_ROWS) -> Answer:
         """The answer within the target, as far as the mode's ladder and time budget go."""
-        total = self.populations.rows(query.fact)
-        if query.distinct or total < least_rows:  # distinct counts do not scale; small tables are read at once
+        files = self.files(query.fact)
+        by_file = files >= FILES_FROM
+        total = files if by_file else self.populations.rows(query.fact)
+        if query.distinct or (not by_file and total < least_rows):  # distinct values do not scale; small tables are read at once
             return Answer(exact(query), None, "single_pass", [Look(1.0, total, 0.0, 0.0)])
         if query.joins and not joins.interval_is_defensible(query.joins):
-            return self.converge(query, mode, target, total, seed, on_look)
+            return self.converge(query, mode, target, self.populations.rows(query.fact), seed, on_look)
         settings, kind = for_target(mode, target), complexity(query)
         wanted, (ladder, least_seconds) = target_error(mode, target), COMPLEXITY[kind]
         budget = self.patience * max(settings.seconds, least_seconds * joins.complexity_multiplier(query.joins))
-        fraction, expected = ladder[0], self.expected_groups(query)
-        if query.joins:
-            fact_keys = [c for c in query.keys.values()]
-            rows = joins.joined(query.fact, query.joins)
-            guess = joins.approximate_groups(rows, fact_keys) if fact_keys else 1
-            fraction = max(fraction, joins.starting_rate(total, guess, len(query.joins)))
+        fraction, expected = ladder[0], None if by_file else self.expected_groups(query)
+        if by_file:
+            fraction = max(fraction, min(1.0, 2 * cluster.LEAST_BLOCKS / files))
+        elif query.joins:
+            fraction = max(fraction, joins.starting_rate(total, self.guessed_groups(query, total), len(query.joins)))
             blocks = sampling.count_blocks(query.fact, block_rows)
-        began, looks, before = self.clock(), [], None
+        began, looks, before, seen, recounted = self.clock(), [], None, None, False
         while True:
-            level, start = 1 - look_alpha(alpha, len(looks) + 1), self.clock()
+            level, start, last = 1 - look_alpha(alpha, len(looks) + 1), self.clock(), seen
             try:
-                if query.joins:
-                    cells, n, groups = self.block_cells(query, fraction, blocks, level, seed, block_rows)
+                if by_file:
+                    seen = self.file_cells(query, fraction, total, level, seed)
+                elif query.joins:
+                    seen = self.block_cells(query, fraction, blocks, level, seed, block_rows)
                 else:
-                    cells, n, groups = self.row_cells(query, fraction, total, level, seed)
+                    seen = self.row_cells(query, fraction, total, level, seed)
+                cells, n, groups = seen.cells, seen.n, seen.groups
                 count, open_, width = estimators.widest(cells)
             except Exception as e:  # intervals that cannot be made do not fail the query; the answer says so
-                answer = self.converge(query, mode, target, total, seed, on_look)
+                answer = self.converge(query, mode, target, self.populations.rows(query.fact), seed, on_look)
                 return replace(answer, downgraded=f"{type(e).__name__}: {str(e)[:200]}")
+            finally:
+                if last is not None:
+                    last.table.unpersist()
+            if not by_file and not query.joins and fraction < 1 and not recounted and abs(n - fraction * total) > 8 * math.sqrt(max(1.0, fraction * (1 - fraction) * total)):
+                self.populations.clear()  # the table is not of the remembered size
+                total, expected, recounted = self.populations.rows(query.fact), self.expected_groups(query), True
+                continue
             missing = fraction < 1 and bool(query.keys) and (groups < expected if expected is not None else before is None or groups != before)
             met = count > 0 and open_ == 0 and width is not None and width <= wanted
-            if query.joins and fraction < 1 and n < cluster.LEAST_BLOCKS:
+            if (by_file or query.joins) and fraction < 1 and n < cluster.LEAST_BLOCKS:
                 met = False
             look = Look(fraction, n, self.clock() - start, self.clock() - began, level, width, open_, groups, missing, met)
             looks.append(look)
@@ -206,9 +255,34 @@ class Controller:
                 following = next_fraction(fraction, confidence)
                 reason = "progression_exhausted" if following is None else None
             if reason:
-                return Answer(widened(query, cells), cells, reason, looks, not missing)
+                return Answer(widened(query, cells), cells, reason, looks, not missing, held=[seen.table])
             fraction, before = following, groups
 
+    @staticmethod
+    def files(fact: DataFrame) -> int:
+        """Files of a table that can be sampled by them, 0 if it cannot."""
+        leaves = leaves_of(fact._jdf.queryExecution().analyzed())
+        if [leaf.getClass().getSimpleName() for leaf in leaves] != ["LogicalRelation"] or len(found := fact._jdf.inputFiles()) < FILES_FROM:
+            return 0
+        try:
+            below_views(fact).select("_metadata.file_path")
+        except AnalysisException:  # a view that computes more than columns
+            return 0
+        return len(found)
+
+    def guessed_groups(self, query: AqpQuery, total: int) -> int:
+        """About how many groups a join has: distinct values of each key in the table that owns it, never of the join."""
+        groups = 1
+        for key in query.keys.values():
+            for table in (query.fact, *(j.table for j in query.joins)):
+                try:
+                    table.select(key)
+                except AnalysisException:
+                    continue
+                groups *= max(1, joins.approximate_groups(table, [key]))
+                break
+        return min(groups, total)
+
     @staticmethod
     def stop(query: AqpQuery, looks: list[Look], budget: float) -> str | None:
         last = looks[-1]
@@ -244,6 +318,8 @@ class Controller:
             now = joins.scaled(rows, [c.alias(k) for k, c in query.keys.items()], query.aggs, fraction).persist()
             groups = now.count()
             change = math.inf if before is None else largest_change(before, now, keys, [a.alias for a in query.aggs])
+            if before is not None:
+                before.unpersist()
             look = Look(fraction, round(total * fraction), self.clock() - start, self.clock() - began, groups=groups, change=change)
             looks.append(look)
             if on_look:
@@ -253,7 +329,7 @@ class Controller:
             if reason is None and following is None:
                 reason = "progression_exhausted"
             if reason:
-                return Answer(finish(query, now.select(*(f"`{c}`" for c in query.columns) or ["*"])), None, reason, looks, fraction >= 1)
+                return Answer(finish(query, now.select(*(f"`{c}`" for c in query.columns) or ["*"])), None, reason, looks, fraction >= 1, held=[now])
             fraction, before = following, now
 
 

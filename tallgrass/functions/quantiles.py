@@ -20,41 +20,29 @@ def z_quantile(level: float) -> float:
     return NormalDist().inv_cdf((1 + level) / 2)
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz evaluation)."""
-    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    value = d
-    for m in range(1, 400):
-        for numerator in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + numerator * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + numerator / c
-            c = c if abs(c) > tiny else tiny
-            value *= c * d
-        if abs(c * d - 1) < 1e-15:
-            break
-    return value
-
-
-def t_tail(t: float, df: float) -> float:
-    """P(|T| > t)."""
-    x = df / (df + t * t)
-    a, b = df / 2, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
-    if x in (0.0, 1.0):
-        return x
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
+def t_tail(t: float, df: int) -> float:
+    """P(|T| > t) for whole degrees of freedom: the finite sums in the angle atan(t / sqrt(df))."""
+    angle = math.atan2(t, math.sqrt(df))
+    step = math.cos(angle) ** 2
+    odd = df % 2
+    # terms 1, 1/2 c^2, 1/2 3/4 c^4, ... (even df) or c, 2/3 c^3, 2/3 4/5 c^5, ... (odd df)
+    term = math.cos(angle) if odd else 1.0
+    terms = []
+    for k in range(df // 2):
+        terms.append(term)
+        term *= step * (2 * k + 1 + odd) / (2 * k + 2 + odd)
+    inside = math.sin(angle) * math.fsum(terms)
+    return 1 - (2 / math.pi * (angle + inside) if odd else inside)
 
 
 @lru_cache(100_000)
-def t_quantile(level: float, df: float) -> float:
+def t_quantile(level: float, df: int) -> float:
     """Half width, in standard errors, of a two-sided t interval: bisection on the tail."""
     if df < 1:
         raise ValueError("at least one degree of freedom is needed")
     if df >= NORMAL_FROM:
         return z_quantile(level)
-    low, high, alpha = 0.0, 2.0, 1 - level
+    df, low, high, alpha = int(df), 0.0, 2.0, 1 - level
     while t_tail(high, df) > alpha:
         low, high = high, high * 2
     for _ in range(200):

@@ -32,6 +32,7 @@ class Agg:
     func: str
     expr: Column | None
     alias: str
+    distinct: bool = False  #: over distinct values: exact only, no sample tells
 
     def __post_init__(self):
         if self.func not in (COUNT, SUM, AVG):
@@ -40,6 +41,18 @@ class Agg:
             raise ValueError("only COUNT takes rows")
 
 
+def plain_aggregate(agg: Agg) -> Column:
+    """The aggregate itself, over all rows."""
+    if agg.expr is None:
+        return F.count(F.lit(1))
+    if agg.func == COUNT:
+        return F.count_distinct(agg.expr) if agg.distinct else F.count(agg.expr)
+    x = agg.expr.cast("double")
+    if agg.func == AVG:
+        return F.sum_distinct(x) / F.count_distinct(x) if agg.distinct else F.avg(x)
+    return F.sum_distinct(x) if agg.distinct else F.sum(x)
+
+
 def default_alias(func: str, text: str | None) -> str:
     """Name of an aggregate without one: ``sum_l_quantity``, ``count_all``."""
     words = "".join(c if c.isalnum() else " " for c in (text or "")).split()
@@ -85,10 +98,16 @@ def statistics(rows: DataFrame, keys: list[Column], aggs: list[Agg], where: Colu
 
 def filtered_statistics(rows: DataFrame, keys: list[Column], aggs: list[Agg], where: Column) -> DataFrame:
     """The same with the predicate inside the aggregates, so that ``n_bucket`` counts the rows before it; one pass, no pushdown."""
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n_bucket"), F.count(F.when(where, 1)).alias("n_rows"), *(cell_statistics(a, where).alias(a.alias) for a in aggs))
+    out = counted_statistics(rows, keys, aggs, where)
     return out.where("n_rows > 0") if keys else out
 
 
+def counted_statistics(rows: DataFrame, keys: list[Column], aggs: list[Agg], where: Column | None) -> DataFrame:
+    """The same with the groups that have no row inside the predicate: ``n_bucket`` adds up to the size of the sample."""
+    inside = F.count("*") if where is None else F.count(F.when(where, 1))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n_bucket"), inside.alias("n_rows"), *(cell_statistics(a, where).alias(a.alias) for a in aggs))
+
+
 # Moments of a cell. n: rows of the sample, c: struct of statistics.
 
 

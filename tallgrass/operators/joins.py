@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.operators.estimators import AVG, Agg
+from tallgrass.operators.estimators import AVG, Agg, plain_aggregate
 
 #: Lowest starting rate by number of joins (three stands for more), rows wanted for each group, highest starting rate.
 RATE_FLOOR = {0: 0.0, 1: 0.05, 2: 0.07, 3: 0.10}
@@ -20,6 +21,7 @@ class Join:
     on: Column
     how: str = "inner"
     text: str = ""  #: the condition as SQL
+    equality: bool = False  #: whether the condition, or a part of it joined by AND, is an equality of two columns
 
 
 def joined(fact: DataFrame, joins: list[Join]) -> DataFrame:
@@ -36,20 +38,15 @@ def interval_is_defensible(joins: list[Join], wide: bool = False) -> bool:
     """
     if wide:
         return all(j.how in ("inner", "left", "left_outer") for j in joins)
-    return all(j.how == "inner" and "=" in j.text.replace("!=", "").replace(">=", "").replace("<=", "").replace("<>", "") for j in joins)
+    return all(j.how == "inner" and j.equality for j in joins)
 
 
 def scaled(rows: DataFrame, keys: list[Column], aggs: list[Agg], fraction: float) -> DataFrame:
     """Sampled aggregates scaled up (COUNT and SUM by 1 / fraction); no interval."""
-    out = []
-    for a in aggs:
-        if a.func == AVG:
-            value = F.avg(a.expr.cast("double"))
-        else:
-            total = F.count(F.lit(1)) if a.expr is None else (F.count(a.expr) if a.func == "count" else F.sum(a.expr.cast("double")))
-            value = total / F.lit(fraction)
-        out.append(value.alias(a.alias))
-    return rows.groupBy(*keys).agg(*out)
+    if fraction < 1 and any(a.distinct for a in aggs):
+        raise ValueError("aggregates over distinct values do not scale")
+    out = [plain_aggregate(a) / F.lit(1.0 if a.func == AVG else fraction) for a in aggs]
+    return rows.groupBy(*keys).agg(*(value.alias(a.alias) for value, a in zip(out, aggs, strict=True)))
 
 
 def starting_rate(fact_rows: int, groups: int, n_joins: int) -> float:
@@ -87,18 +84,50 @@ def distinct_cardinality(left_rows, right_rows, left_distinct, right_distinct):
     return left_rows * right_rows / max(left_distinct, right_distinct, 1)
 
 
+def _expression(spark, column: Column):
+    from pyspark.sql.classic.column import _to_java_column
+
+    return spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.expression(_to_java_column(column))
+
+
+def _column(spark, expression) -> Column:
+    return Column(spark._jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression))
+
+
 class Bloom:
-    """A Bloom filter built in one aggregation; ``expected`` bounds its size (about 10 bits for each key at 1 %)."""
+    """A Bloom filter of a column, built in one aggregation (partial filters are merged by executors) and probed inside scans.
 
-    def __init__(self, df: DataFrame, column: str, expected: int, rate: float = 0.01):
-        self._filter = df._jdf.stat().bloomFilter(column, expected, rate)
+    ``expected`` distinct keys at the false positive ``rate`` settle its size (about 10 bits for each key at 1 %). It travels
+    with the plan, so more than ``MOST_BITS`` are refused.
+    """
 
-    def might_contain(self, value) -> bool:
-        return self._filter.mightContain(value)
+    MOST_BITS = 1 << 26  #: 8 MB
 
-    @property
-    def bits(self) -> int:
-        return self._filter.bitSize()
+    def __init__(self, df: DataFrame, column: str, expected: int, rate: float = 0.01):
+        self.bits = max(64, math.ceil(-max(1, expected) * math.log(rate) / math.log(2) ** 2))
+        if self.bits > self.MOST_BITS:
+            raise ValueError(f"a filter of {self.bits} bits is too large to travel with a plan: use a semi-join")
+        self.spark = df.sparkSession
+        sizes = [_expression(self.spark, F.lit(n).cast("long")) for n in (max(1, expected), self.bits)]
+        catalyst = self.spark._jvm.org.apache.spark.sql.catalyst.expressions
+        build = catalyst.aggregate.BloomFilterAggregate(_expression(self.spark, F.xxhash64(column)), *sizes)
+        self.data = df.where(F.col(column).isNotNull()).agg(_column(self.spark, build.toAggregateExpression()).alias("b")).first()[0]
+
+    def probe(self, column: str | Column) -> Column:
+        """Whether a value may be among the keys; false for null."""
+        if self.data is None:  # no key at all
+            return F.lit(False)
+        column = F.col(column) if isinstance(column, str) else column
+        catalyst = self.spark._jvm.org.apache.spark.sql.catalyst.expressions
+        met = catalyst.BloomFilterMightContain(_expression(self.spark, F.lit(bytes(self.data))), _expression(self.spark, F.xxhash64(column)))
+        return column.isNotNull() & _column(self.spark, met)
+
+    def reduced(self, df: DataFrame, column: str) -> DataFrame:
+        """The rows that may have a partner: all that have one, and about a share ``rate`` of the others."""
+        return df.where(self.probe(column))
+
+    def might_contain(self, value, kind: str = "long") -> bool:
+        return self.spark.range(1).select(self.probe(F.lit(value).cast(kind)).alias("met")).first()[0]
 
 
 def hll(df: DataFrame, column: str, precision: int = 14) -> DataFrame:
@@ -120,6 +149,37 @@ def selectivity(fact: DataFrame, dimension: DataFrame, key: str, dimension_key:
     return row[0] or 0.0
 
 
+@dataclass(frozen=True)
+class Reduction:
+    """What a pilot says of one dimension, and how the fact rows were reduced by it."""
+
+    key: str
+    selectivity: float
+    by: str  #: "bloom", "semi" or "none"
+
+
+def two_phase(fact: DataFrame, dimensions: list[tuple[DataFrame, str, str]], pilot: float = 0.005, worthwhile: float = 0.8, rate: float = 0.01, seed: int = 1) -> tuple[DataFrame, list[Reduction]]:
+    """Fact rows that (nearly all) have partners in every (dimension, fact key, dimension key), the most selective first.
+
+    A pilot sample of the fact tells the share of rows that each dimension keeps. Those that keep less than ``worthwhile`` reduce
+    the fact before any join: by a Bloom filter while it is small enough to travel with the plan, else by a semi-join.
+    """
+    shares = sorted(((selectivity(fact, d, key, own, pilot, seed), i) for i, (d, key, own) in enumerate(dimensions)), key=lambda x: x)
+    done = []
+    for share, i in shares:
+        dimension, key, own = dimensions[i]
+        if share >= worthwhile:
+            done.append(Reduction(key, share, "none"))
+            continue
+        expected = dimension.agg(F.approx_count_distinct(own)).first()[0]
+        try:
+            fact, by = Bloom(dimension, own, math.ceil(1.1 * expected), rate).reduced(fact, key), "bloom"
+        except ValueError:
+            fact, by = semi_join_reduced(fact, dimension, key, own), "semi"
+        done.append(Reduction(key, share, by))
+    return fact, done
+
+
 @dataclass
 class JoinGraph:
     """Sizes of tables, and edges (a, b) with the distinct keys on both sides."""

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgrass.sources.tables import below_views
+
 BLOCK_ROWS = 2048
 SCALE = 1 << 30
 BLOCK = "__block"
@@ -71,12 +73,25 @@ def logical_blocks(df: DataFrame, block: Column, threshold: int, modulus: int =
     return Sample(marked.where(F.pmod(F.col(BLOCK) * factor, F.lit(modulus)) < threshold), threshold / modulus, "block", total)
 
 
+def _file_place(path: Column, seed: int) -> Column:
+    """A place for a file by its path; listings and metadata columns write the slashes after the scheme differently."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.regexp_replace(path, "^[^/]*/+", "/")), F.lit(SCALE))
+
+
+def picked_files(df: DataFrame, fraction: float, seed: int = 1) -> tuple[int, int]:
+    """Files that ``files`` picks, and all files: from the listing, no data is read."""
+    paths = df.sparkSession.createDataFrame([(p,) for p in df.inputFiles()], "p string")
+    picked = F.count_if(_file_place(F.col("p"), seed) < int(_bound(fraction) * SCALE))
+    return tuple(paths.agg(picked, F.count("*")).first())
+
+
 def files(df: DataFrame, fraction: float, seed: int = 1) -> Sample:
-    """Whole input files: the only sample whose unread rows cost no input. Blocks are files."""
-    paths = sorted(df.inputFiles())
-    marked = df.withColumn(BLOCK, F.xxhash64(F.col("_metadata.file_path")))
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col("_metadata.file_path")), F.lit(SCALE))
-    return Sample(marked.where(place < int(_bound(fraction) * SCALE)) if fraction < 1 else marked, fraction, "block", len(paths))
+    """Whole input files: the sample whose unread rows cost no input. Blocks are files; the pick is made on the listing
+    (a filter on a constant of each file prunes files), nested in the fraction, and other predicates reach the scan."""
+    df, path = below_views(df), F.col("_metadata.file_path")
+    marked = df.withColumn(BLOCK, F.xxhash64(path))
+    kept = marked.where(_file_place(path, seed) < int(_bound(fraction) * SCALE)) if fraction < 1 else marked
+    return Sample(kept, fraction, "file")
 
 
 def probe(df: DataFrame, sample: Sample, order: str, rows: int = BLOCK_ROWS) -> DataFrame:

@@ -32,7 +32,13 @@ class AqpQuery:
     limit: int | None = None
     where_text: str = ""
     columns: list[str] = field(default_factory=list)  #: output order
-    distinct: bool = False  #: has COUNT(DISTINCT): never scaled
+    name: str = ""  #: what the statement calls the fact table
+    subquery: bool = False  #: the predicate holds a subquery: it can be filtered by, but not stand inside an aggregate
+
+    @property
+    def distinct(self) -> bool:
+        """Whether it has aggregates over distinct values, which are never scaled."""
+        return any(a.distinct for a in self.aggs)
 
     @property
     def universe(self) -> bool:
@@ -52,6 +58,37 @@ def _sql(expression) -> str:
     return expression.sql()
 
 
+def _has_subquery(expression) -> bool:
+    kind = _kind(expression)
+    if kind in ("ListQuery", "Exists", "ScalarSubquery", "InSubquery", "UnresolvedInlineTable"):
+        return True
+    return any(_has_subquery(child) for child in _items(expression.children()))
+
+
+def _condition(expression) -> str:
+    """A condition as SQL; one with a subquery in the words of the statement, which plan nodes cannot be printed back to."""
+    if not _has_subquery(expression):
+        return _sql(expression)
+    places, found = [expression], []
+    while places:
+        node = places.pop()
+        places += _items(node.children())
+        origin = node.origin()
+        if origin.sqlText().isDefined() and origin.startIndex().isDefined() and origin.stopIndex().isDefined():
+            found.append((origin.startIndex().get(), origin.stopIndex().get(), origin.sqlText().get()))
+    if not found:
+        raise Unsupported("a predicate with a subquery whose place in the statement is unknown")
+    return found[0][2][min(a for a, _, _ in found) : max(b for _, b, _ in found) + 1]
+
+
+def _is_equality(expression) -> bool:
+    """Whether a condition, or a part of it joined by AND, is an equality of two expressions of columns."""
+    kind = _kind(expression)
+    if kind == "And":
+        return _is_equality(expression.left()) or _is_equality(expression.right())
+    return kind in ("EqualTo", "EqualNullSafe") and not (expression.left().references().isEmpty() or expression.right().references().isEmpty())
+
+
 HOW = {"Inner": "inner", "LeftOuter": "left", "RightOuter": "right", "FullOuter": "full"}
 
 
@@ -71,11 +108,11 @@ def _relations(spark: SparkSession, plan) -> tuple[DataFrame, list[Join]]:
         if more:
             raise Unsupported("joins are taken from left to right")
         text = _sql(plan.condition().get())
-        return fact, [*joins, Join(other, F.expr(text), HOW[how], text)]
+        return fact, [*joins, Join(other, F.expr(text), HOW[how], text, _is_equality(plan.condition().get()))]
     raise Unsupported(f"{kind} in FROM has no sampled form")
 
 
-def _aggregate(expression, alias: str | None) -> tuple[Agg, bool] | None:
+def _aggregate(expression, alias: str | None) -> Agg | None:
     if _kind(expression) != "UnresolvedFunction":
         return None
     func = ".".join(_items(expression.nameParts())).lower()
@@ -89,7 +126,9 @@ def _aggregate(expression, alias: str | None) -> tuple[Agg, bool] | None:
     star = _kind(arguments[0]) == "UnresolvedStar" or (_kind(arguments[0]) == "Literal" and func == COUNT)
     text = None if star else _sql(arguments[0])
     plain = (text or "").replace("`", "")
-    return Agg(func, None if star else F.expr(text), alias or default_alias(func, plain)), expression.isDistinct()
+    if star and expression.isDistinct():
+        raise Unsupported("DISTINCT takes a column")
+    return Agg(func, None if star else F.expr(text), alias or default_alias(func, plain), expression.isDistinct())
 
 
 def parse(spark: SparkSession, sql: str) -> AqpQuery:
@@ -111,20 +150,23 @@ def parse(spark: SparkSession, sql: str) -> AqpQuery:
         outputs, groupings, child = _items(plan.aggregateExpressions()), _items(plan.groupingExpressions()), plan.child()
     else:
         raise Unsupported(f"{_kind(plan)} has no sampled form")
-    where_text = ""
+    where_text, subquery = "", False
     if _kind(child) == "Filter":
-        where_text, child = _sql(child.condition()), child.child()
+        subquery = _has_subquery(child.condition())
+        where_text, child = _condition(child.condition()), child.child()
     fact, joins = _relations(spark, child)
+    first = child
+    while _kind(first) == "Join":
+        first = first.left()
+    name = first.alias() if _kind(first) == "SubqueryAlias" else first.tableName().split(".")[-1]
 
-    wanted, keys, aggs, columns, distinct, names = [_sql(g) for g in groupings], {}, [], [], False, {}
+    wanted, keys, aggs, columns, names = [_sql(g) for g in groupings], {}, [], [], {}
     for out in outputs:
         alias = out.name() if _kind(out) == "Alias" else None
         inner = out.child() if _kind(out) in ("Alias", "UnresolvedAlias") else out
-        found = _aggregate(inner, alias)
-        if found:
-            agg, is_distinct = found
+        agg = _aggregate(inner, alias)
+        if agg:
             aggs.append(agg)
-            distinct |= is_distinct
             columns.append(agg.alias)
             names[_sql(inner)] = agg.alias
         else:
@@ -148,7 +190,7 @@ def parse(spark: SparkSession, sql: str) -> AqpQuery:
 
     return AqpQuery(
         fact, aggs, keys, joins, F.expr(where_text) if where_text else None, named(having) if having else None,
-        [(named(o), up) for o, up in order], limit, where_text, columns, distinct,
+        [(named(o), up) for o, up in order], limit, where_text, columns, name, subquery,
     )
 
 

@@ -14,6 +14,8 @@ from tallgrass.functions.quantiles import adjusted_level
 from tallgrass.operators import estimators, joins, sampling
 from tallgrass.plans.frontend import AqpQuery, finish
 from tallgrass.service import Engine, mean_relative_error
+from tallgrass.session import new_path
+from tallgrass.sources.tables import data_version
 
 
 def _scaled(query: AqpQuery, fraction: float, seed: int = 1) -> DataFrame:
@@ -43,11 +45,13 @@ def ladder(engine: Engine, sql: str, fractions: tuple[float, ...] = (0.01, 0.05,
     for fraction in fractions:
         now = _scaled(query, fraction, seed).persist()
         change = float("inf") if before is None else largest_change(before, now, list(query.keys), [a.alias for a in query.aggs])
+        if before is not None:
+            before.unpersist()
         looks.append(Look(fraction, 0, 0.0, 0.0, change=change))
         if change <= threshold:
-            return Answer(finish(query, now), None, "converged", looks, fraction >= 1)
+            return Answer(finish(query, now), None, "converged", looks, fraction >= 1, held=[now])
         before = now
-    return Answer(finish(query, now), None, "progression_exhausted", looks, fractions[-1] >= 1)
+    return Answer(finish(query, now), None, "progression_exhausted", looks, fractions[-1] >= 1, held=[now])
 
 
 def geometric(engine: Engine, sql: str, first: float = 0.01, factor: float = 2.0, threshold: float = 0.04, seed: int = 1) -> Answer:
@@ -57,11 +61,32 @@ def geometric(engine: Engine, sql: str, first: float = 0.01, factor: float = 2.0
     return ladder(engine, sql, tuple(fractions), threshold, seed)
 
 
-def static_ci(engine: Engine, sql: str, fraction: float = 0.05, level: float = 0.95, seed: int = 1) -> Answer:
-    """One sample of a fixed size with intervals, whatever their width."""
+_drawn: dict[tuple, tuple[DataFrame, float, int]] = {}
+
+
+def static_sample(fact: DataFrame, draw: Callable[[DataFrame], sampling.Sample], name: str) -> tuple[DataFrame, float, int]:
+    """A sample that is drawn once, written to the shared folder and kept until the table's files change: rows, fraction, size."""
+    spark, key = fact.sparkSession, (name, data_version(fact)[0])
+    if key not in _drawn:
+        sample, path = draw(fact), new_path(fact.sparkSession, "static-sample")
+        sample.rows.write.parquet(path)
+        rows = spark.read.schema(sample.rows.schema).parquet(path)
+        _drawn[key] = rows, sample.fraction, rows.count()
+    return _drawn[key]
+
+
+def static_ci(engine: Engine, sql: str, fraction: float = 0.05, level: float = 0.95, seed: int = 1, draw: Callable[[DataFrame], sampling.Sample] | None = None, name: str = "") -> Answer:
+    """One kept sample of a fixed size with intervals, whatever their width. ``draw``, called ``name``, replaces the Bernoulli
+    draw."""
     query = engine.parse(sql)
-    cells, n, groups = Controller(engine.populations).row_cells(query, fraction, engine.populations.rows(query.fact), level, seed)
-    return Answer(widened(query, cells), cells, "static", [Look(fraction, n, 0.0, 0.0, level, groups=groups)], False)
+    rows, fraction, n = static_sample(query.fact, draw or (lambda df: sampling.bernoulli(df, fraction, seed)), name or f"{fraction}:{seed}")
+    keys = [c.alias(k) for k, c in query.keys.items()]
+    # the kept rows go by the table's own name
+    stats = estimators.statistics(rows.alias(query.name) if query.name else rows, keys, query.aggs, query.where).persist()
+    groups = stats.count()
+    one = adjusted_level(level, max(1, groups) * len(query.aggs))
+    cells = estimators.grid(stats, list(query.keys), query.aggs, n, engine.populations.rows(query.fact), one, universe=query.universe)
+    return Answer(widened(query, cells), cells, "static", [Look(fraction, n, 0.0, 0.0, level, groups=groups)], False, held=[stats])
 
 
 def adaptive(engine: Engine, sql: str, mode: str = "balanced", target: float | None = None) -> Answer:
@@ -70,15 +95,18 @@ def adaptive(engine: Engine, sql: str, mode: str = "balanced", target: float | N
 
 def online_with_intervals(engine: Engine, sql: str, target: float = 0.05, level: float = 0.95, seed: int = 1) -> Answer:
     """The controller's ladder with intervals at the nominal level at each look: stops sooner, and covers less than it says."""
-    query, looks, cells = engine.parse(sql), [], None
+    query, looks, last = engine.parse(sql), [], None
     total = engine.populations.rows(query.fact)
     for fraction in (*COMPLEXITY[complexity(query)][0], 1.0):
-        cells, n, groups = Controller(engine.populations).row_cells(query, fraction, total, level, seed)
-        count, open_, width = estimators.widest(cells)
-        looks.append(Look(fraction, n, 0.0, 0.0, level, width, open_, groups))
+        seen = Controller(engine.populations).row_cells(query, fraction, total, level, seed)
+        count, open_, width = estimators.widest(seen.cells)
+        if last is not None:
+            last.table.unpersist()
+        last = seen
+        looks.append(Look(fraction, seen.n, 0.0, 0.0, level, width, open_, seen.groups))
         if count and not open_ and width is not None and width <= target:
-            return Answer(widened(query, cells), cells, "ci_within_target", looks)
-    return Answer(widened(query, cells), cells, "progression_exhausted", looks)
+            return Answer(widened(query, seen.cells), seen.cells, "ci_within_target", looks, held=[seen.table])
+    return Answer(widened(query, last.cells), last.cells, "progression_exhausted", looks, held=[last.table])
 
 
 POLICIES: dict[str, Callable[..., Answer]] = {
@@ -125,6 +153,7 @@ def score(engine: Engine, sql: str, policies: dict[str, Callable[..., Answer]] =
         held, grid = coverage(answer.cells, true, keys, values) if answer.cells is not None else (None, None)
         out.append(Score(name, seconds, answer.looks[-1].fraction, answer.reason, mean_relative_error(true, wide, keys, values), held, grid))
         wide.unpersist()
+        answer.close()
     true.unpersist()
     return out
 
@@ -149,6 +178,7 @@ def refined(engine: Engine, sql: str, target: float = 0.05, level: float = 0.95,
         worst = stats.agg(*(F.max(w) for w in widths), *(F.coalesce(F.max(w.isNull().cast("int")), F.lit(1)) for w in widths)).first()
         width = None if any(worst[len(widths) :]) else max(worst[: len(widths)])
         looks.append(Look(fraction, 0, 0.0, 0.0, level, 0.0 if fraction >= 1 else width))
+        stats.unpersist()
         if fraction >= 1 or (width is not None and width <= target):
             wide = finish(query, joins.scaled(stats_rows(query, fraction, seed), keys, query.aggs, fraction))
             return Answer(wide, None, "bound_within_target" if fraction < 1 else "progression_exhausted", looks, fraction >= 1)

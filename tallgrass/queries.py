@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -115,9 +113,10 @@ def scan_parquet(spark, sf_dir):
 def csv_roundtrip(spark, sf_dir):
     from tallgrass.sources.tables import register_csv
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    path = f"{base.rstrip('/')}/supplier-{hashlib.md5(sf_dir.encode()).hexdigest()}.csv"
-    read(spark, sf_dir, "supplier").write.mode("overwrite").option("header", True).csv(path)
+    from tallgrass.session import new_path
+
+    path = new_path(spark, "supplier") + ".csv"
+    read(spark, sf_dir, "supplier").write.option("header", True).csv(path)
     return register_csv(spark, path, "supplier_csv", "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")[1]
 
 
@@ -168,10 +167,13 @@ def sample_bernoulli_census(spark, sf_dir):
     return sampling.bernoulli(read(spark, sf_dir, "lineitem"), 1.0).rows.agg(F.count("*").alias("n"))
 
 
-@query("sampling_probe")
+@query("sampling_probe", """WITH s AS (SELECT o_orderkey AS k, o_orderkey // 256 AS b FROM orders WHERE ((o_orderkey // 256) * 40503) % 1009 < 200),
+ g AS (SELECT k, b, k - LAG(k) OVER (PARTITION BY b ORDER BY k) AS gap FROM s)
+SELECT COUNT(*) AS n_rows, ROUND(COUNT(*) / CAST((SELECT COUNT(*) FROM orders) AS DOUBLE), 6) AS share, CAST(SUM(CASE WHEN gap = 1 THEN 0 ELSE 1 END) AS BIGINT) AS n_runs, COUNT(DISTINCT b) AS n_blocks FROM g""")
 def sampling_probe(spark, sf_dir):
     df = read(spark, sf_dir, "orders")
-    return sampling.probe(df, sampling.blocks(df, 0.2, 256), "o_orderkey", 256)
+    sample = sampling.logical_blocks(df, F.expr("o_orderkey div 256"), 200)
+    return sampling.probe(df, sample, "o_orderkey", 256).withColumn("share", F.round("share", 6))
 
 
 @query("sample_scaled_agg", f"SELECT l_returnflag, COUNT(*) / (50000 / CAST({MODULUS} AS DOUBLE)) AS c, ROUND(SUM(l_quantity) / (50000 / CAST({MODULUS} AS DOUBLE)), 2) AS s, ROUND(AVG(l_discount), 6) AS a FROM ({sample_sql(50_000)}) s GROUP BY l_returnflag")
@@ -355,9 +357,12 @@ def completeness_chao1(spark, sf_dir):
     return found.withColumns({"chao1": F.round("chao1", 6), "good_turing": F.round("good_turing", 6)})
 
 
-@query("hll_distinct")
+@query("hll_distinct", "SELECT COUNT(DISTINCT l_orderkey) AS n, TRUE AS within_2_percent FROM lineitem")
 def hll_distinct(spark, sf_dir):
-    return joins.hll(read(spark, sf_dir, "lineitem"), "l_orderkey")
+    """The exact count, and whether the sketch comes within 2 % of it."""
+    df = read(spark, sf_dir, "lineitem")
+    both = df.agg(F.count_distinct("l_orderkey").alias("n")).crossJoin(joins.hll(df, "l_orderkey"))  # two single rows
+    return both.select("n", (F.abs(F.col("distinct") - F.col("n")) <= 0.02 * F.col("n")).alias("within_2_percent"))
 
 
 @query("join_rate_selection")
@@ -402,9 +407,23 @@ def semi_join_reduction(spark, sf_dir):
 
 @query("bloom_semi_join", "SELECT o_orderpriority, COUNT(*) AS c FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000) GROUP BY o_orderpriority")
 def bloom_semi_join(spark, sf_dir):
-    """A semi-join for which Spark may inject its runtime Bloom filter on the large side."""
+    """A Bloom filter of the small side's keys, probed in the scan of the large side; the semi-join takes off its false positives."""
     few = read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING' and c_acctbal > 9000").select(F.col("c_custkey").alias("o_custkey"))
-    return read(spark, sf_dir, "orders").join(few, "o_custkey", "left_semi").groupBy("o_orderpriority").agg(F.count("*").alias("c"))
+    some = joins.Bloom(few, "o_custkey", few.count()).reduced(read(spark, sf_dir, "orders"), "o_custkey")
+    return some.join(few, "o_custkey", "left_semi").groupBy("o_orderpriority").agg(F.count("*").alias("c"))
+
+
+_TWO_PHASE = "lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey WHERE o.o_orderpriority = '1-URGENT' AND p.p_size <= 5"
+
+
+@query("two_phase_reduction", f"SELECT COUNT(*) AS n, ROUND(SUM(l.l_quantity), 2) AS q FROM {_TWO_PHASE}")
+def two_phase_reduction(spark, sf_dir):
+    """Pilot, selectivities and Bloom filters, then the joins on what is left."""
+    urgent = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey")
+    small = read(spark, sf_dir, "part").where("p_size <= 5").select("p_partkey")
+    fact, _ = joins.two_phase(read(spark, sf_dir, "lineitem"), [(urgent, "l_orderkey", "o_orderkey"), (small, "l_partkey", "p_partkey")], pilot=0.05)
+    rows = fact.join(urgent, F.expr("l_orderkey = o_orderkey")).join(small, F.expr("l_partkey = p_partkey"))
+    return rows.agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
 
 
 # The adaptive engine end to end
@@ -424,23 +443,87 @@ FLAGSHIP = "SELECT l_returnflag, SUM(l_extendedprice) AS revenue, COUNT(*) AS n,
 @query("approx_adaptive")
 def approx_adaptive(spark, sf_dir):
     """Cells with intervals of the flagship statement, within 10 %."""
-    return _engine(spark, sf_dir).approximate(FLAGSHIP, "balanced", 90).cells
+    return approximate_flagship(spark, sf_dir).cells
+
+
+def approximate_flagship(spark, sf_dir):
+    return _engine(spark, sf_dir).approximate(FLAGSHIP, "balanced", 90)
+
+
+JOINED = "SELECT c.c_mktsegment, SUM(o.o_totalprice) AS s FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment"
 
 
 @query("approx_join")
 def approx_join(spark, sf_dir):
-    return _engine(spark, sf_dir).approximate("SELECT c.c_mktsegment, SUM(o.o_totalprice) AS s FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment", "balanced", 90, block_rows=64).cells
+    return _engine(spark, sf_dir).approximate(JOINED, "balanced", 90, block_rows=64).cells
+
+
+def _within(spark, answer, sql: str, keys: list[str], share: float) -> DataFrame:
+    """The exact value of every cell, and whether the answer's estimate comes within a share of it."""
+    from tallgrass.plans.frontend import parse
+
+    values = [a.alias for a in parse(spark, sql).aggs]
+    pairs = F.explode(F.array(*(F.struct(F.lit(v).alias("alias"), F.col(v).cast("double").alias("truth")) for v in values))).alias("x")
+    truth = spark.sql(sql).select(*keys, pairs).select(*keys, "x.*")
+    close = F.abs(F.col("estimate") - F.col("truth")) <= share * F.abs("truth")
+    both = truth.join(answer.cells.select(*keys, "alias", "estimate"), [*keys, "alias"], "left")
+    return both.select(*keys, "alias", F.round("truth", 4).alias("truth"), F.coalesce(close, F.lit(False)).alias("close"))
+
+
+def _truth_sql(sql: str, keys: str, values: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT {keys}, '{v}' AS alias, ROUND(CAST({v} AS DOUBLE), 4) AS truth, TRUE AS close FROM ({sql})" for v in values)
+
+
+@query("approx_adaptive_within", _truth_sql(FLAGSHIP, "l_returnflag", ["revenue", "n", "discount"]))
+def approx_adaptive_within(spark, sf_dir):
+    """The flagship against the exact answer: every cell within twice its target of 10 %."""
+    return _within(spark, approximate_flagship(spark, sf_dir), FLAGSHIP, ["l_returnflag"], 0.2)
+
+
+@query("approx_join_within", _truth_sql(JOINED, "c_mktsegment", ["s"]))
+def approx_join_within(spark, sf_dir):
+    return _within(spark, _engine(spark, sf_dir).approximate(JOINED, "balanced", 90, block_rows=64), JOINED, ["c_mktsegment"], 0.2)
+
+
+DISTINCT = "SELECT l_returnflag, COUNT(DISTINCT l_suppkey) AS suppliers, SUM(DISTINCT l_quantity) AS q, COUNT(*) AS n FROM lineitem GROUP BY l_returnflag"
+
+
+@query("approx_distinct", DISTINCT.replace("COUNT(DISTINCT l_suppkey)", "CAST(COUNT(DISTINCT l_suppkey) AS DOUBLE)").replace("COUNT(*)", "CAST(COUNT(*) AS DOUBLE)"))
+def approx_distinct(spark, sf_dir):
+    """Aggregates over distinct values in approximate mode: exact, for they do not scale."""
+    return _engine(spark, sf_dir).approximate(DISTINCT, "balanced", 90).wide
+
+
+SUBQUERY = "SELECT COUNT(*) AS n, SUM(l_quantity) AS q FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT') AND l_discount > 0.02"
+
+
+@query("approx_subquery", " UNION ALL ".join(f"SELECT '{v}' AS alias, ROUND(CAST({v} AS DOUBLE), 4) AS truth, TRUE AS close FROM ({SUBQUERY})" for v in ("n", "q")))
+def approx_subquery(spark, sf_dir):
+    """A predicate with a subquery, sampled; every cell within twice its target of 10 %."""
+    return _within(spark, _engine(spark, sf_dir).approximate(SUBQUERY, "balanced", 90), SUBQUERY, [], 0.2)
+
+
+_STATIC = f"""WITH s AS ({sample_sql(50_000)}), k AS (SELECT CAST((SELECT COUNT(*) FROM s) AS DOUBLE) AS n, CAST(COUNT(*) AS DOUBLE) AS total FROM lineitem),
+ g AS (SELECT l_returnflag, CAST(COUNT(*) AS DOUBLE) AS nd, SUM(l_extendedprice) AS sx, VAR_SAMP(l_extendedprice) AS v, AVG(l_discount) AS a, VAR_SAMP(l_discount) AS va FROM s WHERE {_PREDICATE} GROUP BY l_returnflag)
+SELECT l_returnflag, 'revenue' AS alias, ROUND(sx * total / n, 2) AS estimate, ROUND(SQRT(total * total * (1 - n / total) / n * ({_EXPANDED})), 2) AS standard_error FROM g, k
+UNION ALL SELECT l_returnflag, 'n', ROUND(nd * total / n, 2), ROUND(SQRT(total * total * (1 - n / total) / n * (n * (nd / n) * (1 - nd / n) / (n - 1))), 2) FROM g, k
+UNION ALL SELECT l_returnflag, 'discount', ROUND(a, 2), ROUND(SQRT((1 - n / total) * n * ((nd - 1) * va) / (nd * nd * (n - 1))), 2) FROM g, k"""
 
 
-@query("policy_static_ci")
+@query("policy_static_ci", _STATIC)
 def policy_static_ci(spark, sf_dir):
+    """A sample that is drawn once and kept, by arithmetic that any engine has."""
     from tallgrass.policies import static_ci
 
-    return static_ci(_engine(spark, sf_dir), FLAGSHIP, 0.05).cells
+    draw = lambda df: sampling.by_modulus(df, 50_000, MODULUS, PLACE)
+    cells = static_ci(_engine(spark, sf_dir), FLAGSHIP, draw=draw, name="modulus").cells
+    return cells.select("l_returnflag", "alias", F.round("estimate", 2).alias("estimate"), F.round(F.sqrt("variance"), 2).alias("standard_error"))
 
 
-@query("online_aggregation")
+@query("online_aggregation", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS total, ROUND(AVG(value), 4) AS mean, ROUND(VAR_SAMP(value), 4) AS variance
+FROM events GROUP BY 1, 2""")
 def online_aggregation(spark, sf_dir):
     from tallgrass.streaming.online import windows_of
 
-    return windows_of(spark, f"{sf_dir}/events.parquet")
+    found = windows_of(spark, f"{sf_dir}/events.parquet")
+    return found.select(F.col("start").cast("string").alias("start"), "event_type", "n", *(F.round(c, 4).alias(c) for c in ("total", "mean", "variance")))

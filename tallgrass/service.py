@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tallgrass.controller import Answer, Controller, Look
 from tallgrass.plans import autocorrect, inspect
 from tallgrass.plans.frontend import AqpQuery, Unsupported, parse
-from tallgrass.sources.tables import Populations, payload
+from tallgrass.sources.tables import Populations, data_version, payload
 
 APPROXIMATE = ("approx", "fast", "balanced", "accurate")
 
@@ -110,6 +110,7 @@ class Engine:
                 result = payload(answer.wide) | answer.report() | {"time": time.perf_counter() - began}
                 if answer.cells is not None:
                     result["cells"] = payload(answer.cells)
+                answer.close()
             else:
                 result = payload(self.exact(sql)) | {"approx": False}
         except Exception:
@@ -123,8 +124,13 @@ class Engine:
 
     def version(self, sql: str) -> str:
         """Changes with the files under a statement's tables."""
-        df = self.spark.sql(sql)
-        return hashlib.sha256("\n".join([str(df.semanticHash()), *sorted(df.inputFiles())]).encode()).hexdigest()
+        return hashlib.sha256(data_version(self.spark.sql(sql))[0].encode()).hexdigest()
+
+    def clear_history(self) -> int:
+        """Forget the statements run so far; how many there were."""
+        n = len(self.history)
+        self.history.clear()
+        return n
 
     def plan(self, sql: str, run: bool = True) -> dict:
         return inspect.get_plan(self.spark, autocorrect.run(self.spark, sql)[1], run)
@@ -154,6 +160,7 @@ class Engine:
         error = mean_relative_error(true, wide, list(query.keys), [a.alias for a in query.aggs])
         true.unpersist()
         wide.unpersist()
+        answer.close()
         return {"exact_seconds": exact_s, "approx_seconds": approx_s, "speedup": exact_s / approx_s if approx_s else None, "error_percent": None if error is None else 100 * error, **answer.report()}
 
     def register_csv(self, path: str, name: str | None = None) -> str:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tallgrass.sources.tables import register_parquet
@@ -27,3 +31,21 @@ STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 def load(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = STAR) -> dict[str, DataFrame]:
     """Register the star-schema tables of a folder as temporary views and return them."""
     return {name: register_parquet(spark, f"{sf_dir}/{name}.parquet", name) for name in names}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``. Only where driver and executors are one process (local mode)
+    and it is unset, a temporary folder stands in; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    found = found or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tallgrass-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

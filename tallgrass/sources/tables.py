@@ -8,6 +8,7 @@ import re
 import time
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,11 +77,15 @@ def register_jdbc(spark: SparkSession, source: str, table: str, name: str | None
     return df
 
 
-def payload(df: DataFrame, most: int | None = 100_000) -> dict:
-    """Columns, rows (tuples) and seconds of a result, for clients that want plain values."""
+def payload(df: DataFrame, most: int | None = None) -> dict:
+    """Columns, rows (tuples) and seconds of a result, for clients that want plain values.
+
+    All rows, unless a client asks for ``most`` of them: then ``truncated`` says whether there are more.
+    """
     began = time.perf_counter()
-    rows = [tuple(r) for r in (df.limit(most) if most else df).collect()]
-    return {"columns": df.columns, "rows": rows, "time": time.perf_counter() - began}
+    rows = [tuple(r) for r in (df if most is None else df.limit(most + 1)).collect()]
+    out = {"columns": df.columns, "rows": rows if most is None else rows[:most], "time": time.perf_counter() - began}
+    return out if most is None else out | {"truncated": len(rows) > most}
 
 
 def split_statements(text: str) -> list[str]:
@@ -110,17 +115,65 @@ def pareto_lineitem(spark: SparkSession, rows: int, alpha: float = 1.5, seed: in
     )
 
 
+def leaves_of(plan) -> list:
+    found = plan.collectLeaves()
+    return [found.apply(i) for i in range(found.size())]
+
+
+def below_views(df: DataFrame) -> DataFrame:
+    """The table that temporary views stand for, under the same name: views hide a table's metadata columns."""
+    plan, name = df._jdf.queryExecution().analyzed(), None
+    while plan.getClass().getSimpleName() in ("SubqueryAlias", "View"):
+        if name is None and plan.getClass().getSimpleName() == "SubqueryAlias":
+            name = plan.alias()
+        plan = plan.child()
+    spark = df.sparkSession
+    out = DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark)
+    return out.alias(name) if name else out
+
+
+def data_version(df: DataFrame) -> tuple[str, bool]:
+    """Text that changes with the plan or the files of a DataFrame, and whether all of its data are files.
+
+    Files are taken from the listing that the DataFrame itself reads: roots and their times, number, paths and total length. The
+    list stays in the JVM.
+    """
+    parts, files = [str(df.semanticHash())], True
+    hadoop = df.sparkSession._jsc.hadoopConfiguration()
+    for leaf in leaves_of(df._jdf.queryExecution().analyzed()):
+        kind = leaf.getClass().getSimpleName()
+        if kind == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            location = leaf.relation().location()
+            try:
+                listed = location.allFiles()
+            except Py4JError:  # a catalog's index lists its files only when they are read
+                files = False
+                continue
+            roots, times = location.rootPaths(), []
+            for i in range(roots.size()):
+                root = roots.apply(i)
+                times.append((root.toString(), root.getFileSystem(hadoop).getFileStatus(root).getModificationTime()))
+            parts.append(str((times, listed.size(), listed.hashCode(), location.sizeInBytes())))
+        elif kind not in ("Range", "LocalRelation", "OneRowRelation"):
+            files = False
+    return "\n".join(parts), files
+
+
 class Populations:
-    """Row counts and exact group counts of views, remembered until the view's plan changes."""
+    """Row counts and exact group counts of tables, remembered until the files change (``data_version``); for sources that are
+    no files, such as JDBC, for ``seconds``. The controller forgets a count that a sample contradicts."""
 
-    def __init__(self):
+    def __init__(self, seconds: float = 60.0, clock=time.monotonic):
         self._known: dict = {}
+        self.seconds, self.clock = seconds, clock
 
     def _remember(self, kind: str, df: DataFrame, compute) -> int:
-        key = (kind, df.semanticHash())
-        if key not in self._known:
-            self._known[key] = compute()
-        return self._known[key]
+        version, files = data_version(df)
+        until, value = self._known.get((kind, version), (-1.0, None))
+        if until < self.clock():
+            value = compute()
+            self._known[kind, version] = (float("inf") if files else self.clock() + self.seconds, value)
+        return value
 
     def rows(self, df: DataFrame) -> int:
         return self._remember("rows", df, df.count)

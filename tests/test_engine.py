@@ -56,9 +56,94 @@ def test_count_of_a_join_is_a_count(engine, spark):
         assert r["c"] == pytest.approx(truth[r["class"]], rel=0.2)
 
 
-def test_what_does_not_scale_is_exact(engine):
-    answer = engine.approximate("SELECT COUNT(DISTINCT d) AS n FROM facts")
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT COUNT(DISTINCT d) AS n FROM facts",
+        "SELECT g, SUM(DISTINCT d) AS s, AVG(DISTINCT d) AS a, COUNT(DISTINCT d) AS n, COUNT(*) AS c FROM facts WHERE d > 7 GROUP BY g",
+    ],
+)
+def test_what_does_not_scale_is_exact(engine, spark, sql):
+    answer = engine.approximate(sql)
     assert answer.reason == "single_pass"
+    rows = lambda df: sorted(tuple(float(x) for x in r) for r in df.collect())
+    assert rows(answer.wide) == rows(spark.sql(sql))
+
+
+@pytest.mark.parametrize(
+    "predicate",
+    ["d IN (SELECT dk FROM dims WHERE class < 3)", "d > 10 AND NOT EXISTS (SELECT 1 FROM dims e WHERE e.dk = f.d AND e.class = 4)", "d < (SELECT AVG(dk) FROM dims)"],
+)
+def test_predicates_with_subqueries(engine, spark, predicate):
+    sql = f"SELECT g, SUM(x) AS s, COUNT(*) AS n FROM facts f WHERE {predicate} GROUP BY g"
+    answer = engine.approximate(sql, "balanced", 90)
+    assert answer.cells is not None and answer.downgraded is None and answer.looks[0].fraction < 1
+    truth = {r["g"]: r for r in spark.sql(sql).collect()}
+    got = answer.wide.collect()
+    assert len(got) == 3 and all(r[c] == pytest.approx(truth[r["g"]][c], rel=0.2) for r in got for c in ("s", "n"))
+
+
+@pytest.mark.parametrize(("condition", "held"), [("f.d = e.dk", True), ("f.d = e.dk AND f.x > e.class", True), ("f.d != e.dk", False), ("f.d <> e.dk", False), ("NOT f.d = e.dk", False), ("f.d >= e.dk", False), ("f.d = e.dk OR f.x > 3", False), ("f.d <=> e.dk", True), ("e.class = 1", False)])
+def test_intervals_need_an_equality(engine, spark, condition, held):
+    from tallgrass.operators import joins
+
+    assert joins.interval_is_defensible(parse(spark, f"SELECT COUNT(*) AS n FROM facts f JOIN dims e ON {condition}").joins) is held
+
+
+def test_counts_follow_the_files(spark, tmp_path):
+    path, sql = str(tmp_path / "grown"), "SELECT SUM(x) AS s, COUNT(*) AS n FROM grown"
+    engine = Engine(spark, least_rows=1000)
+    for rows, total in ((50_000, 50_000), (100_000, 150_000)):
+        spark.range(0, rows, numPartitions=3).select(F.lit(1.0).alias("x"), (F.col("id") % 7).alias("g")).write.mode("append").parquet(path)
+        tables.register_parquet(spark, path, "grown")
+        got = engine.approximate(sql, "balanced", 95).wide.first()
+        assert got["s"] == pytest.approx(total, rel=0.06) and engine.populations.rows(spark.table("grown")) == total
+        assert engine.populations.groups(spark.table("grown"), ["g"]) == 7
+
+
+def test_a_sample_contradicts_a_remembered_count(engine, spark):
+    own = Engine(spark, least_rows=1000)
+    query = own.parse("SELECT SUM(x) AS s FROM facts")
+    version = tables.data_version(query.fact)[0]
+    own.populations._known["rows", version] = (float("inf"), 20_000)  # a third of the rows
+    assert own.approximate("SELECT SUM(x) AS s FROM facts", "balanced", 95).wide.first()["s"] == pytest.approx(600_000, rel=0.06)
+
+
+def test_looks_at_files_read_their_share(spark, tmp_path):
+    """A table of many files: a look reads its share of the files, and the predicate reaches their scan."""
+    from tallgrass.operators import sampling
+
+    path = str(tmp_path / "many")
+    spark.range(0, 240_000, numPartitions=240).select((F.xxhash64("id") % 1000).cast("double").alias("x"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(3)).alias("g")).write.parquet(path)
+    tables.register_parquet(spark, path, "many")
+    engine = Engine(spark)
+    sql = "SELECT g, COUNT(*) AS n, AVG(x + 2000) AS a FROM many WHERE x > -500 GROUP BY g"
+    answer = engine.approximate(sql, "balanced", 90)
+    assert answer.cells is not None and answer.looks[-1].fraction < 0.8 and answer.looks[0].rows <= 70
+    truth = {r["g"]: r for r in spark.sql(sql).collect()}
+    for r in answer.wide.collect():
+        assert r["n"] == pytest.approx(truth[r["g"]]["n"], rel=0.2) and r["a"] == pytest.approx(truth[r["g"]]["a"], rel=0.2)
+    answer.close()
+    some = sampling.files(spark.table("many"), 0.04).rows.where("x > 5").select("x")
+    picked, total = sampling.picked_files(spark.table("many"), 0.04)
+    assert total == 240 and 0 < picked < 24
+    plan = some._jdf.queryExecution().executedPlan()
+    assert "GreaterThan(x,5.0)" in plan.toString()
+    some.collect()
+    found = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(plan.collectLeaves())
+    assert sum(leaf.metrics().apply("numFiles").value() for leaf in found) == picked
+
+
+def test_payload_is_whole_or_says_so(spark):
+    assert len(tables.payload(spark.range(120_000))["rows"]) == 120_000
+    cut = tables.payload(spark.range(10), most=4)
+    assert len(cut["rows"]) == 4 and cut["truncated"] and not tables.payload(spark.range(4), most=4)["truncated"]
+
+
+def test_static_sample_is_drawn_once(engine):
+    policies._drawn.clear()
+    one, two = (policies.static_ci(engine, "SELECT g, SUM(x) AS s FROM facts f WHERE f.d < 50 GROUP BY g").wide for _ in range(2))
+    assert len(policies._drawn) == 1 and sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
 
 
 def test_outer_joins_converge(engine):
@@ -89,6 +174,7 @@ def test_service(engine):
     assert engine.cache.clear() == 3
     bench = engine.execute("SELECT g, SUM(x) AS s FROM facts GROUP BY g", "benchmark")
     assert bench["error_percent"] is not None and bench["error_percent"] < 20
+    assert engine.clear_history() == 4 and not engine.history
     assert "Sample" in str(engine.sampled_plan("SELECT SUM(x) AS s FROM facts")["tree"]) or engine.sampled_plan("SELECT SUM(x) AS s FROM facts")["explanation"]
 
 

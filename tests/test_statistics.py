@@ -158,12 +158,19 @@ def test_sketches_and_join_rules(spark):
     df = spark.range(20_000).withColumn("k", F.col("id") % 10_000)
     assert joins.hll(df, "k").first()[0] == pytest.approx(10_000, rel=0.02)
     bloom = joins.Bloom(df, "k", 10_000)
-    assert all(bloom.might_contain(k) for k in range(0, 10_000, 97))
-    assert sum(bloom.might_contain(k) for k in range(20_000, 22_000)) <= 60
+    kept = bloom.reduced(spark.range(40_000).withColumnRenamed("id", "k"), "k")
+    assert kept.where("k < 10000").count() == 10_000 and kept.where("k >= 10000").count() <= 900
+    assert bloom.might_contain(77) and 90_000 < bloom.bits < 100_000
+    with pytest.raises(ValueError):
+        joins.Bloom(df, "k", 10**9)
+    assert joins.Bloom(df.where("false"), "k", 0).reduced(df, "k").count() == 0
+    few, all_ = df.where("k < 100").select(F.col("k").alias("a")).distinct(), df.select(F.col("k").alias("b")).distinct()
+    reduced, how = joins.two_phase(df, [(all_, "k", "b"), (few, "k", "a")], pilot=0.2)
+    assert [(r.key, r.by) for r in how] == [("k", "bloom"), ("k", "none")] and how[0].selectivity < 0.05 and 200 <= reduced.count() <= 800
     assert joins.starting_rate(10**6, 10, 2) == 0.07 and joins.starting_rate(1000, 100, 1) == 0.60
-    one = joins.Join(df, F.lit(True), "inner", "a = b")
+    one = joins.Join(df, F.lit(True), "inner", "a = b", True)
     assert joins.complexity_multiplier([one]) == 2 and joins.complexity_multiplier([one] * 2) == 3.5
-    assert joins.interval_is_defensible([one]) and not joins.interval_is_defensible([joins.Join(df, F.lit(True), "left", "a = b")])
+    assert joins.interval_is_defensible([one]) and not joins.interval_is_defensible([joins.Join(df, F.lit(True), "left", "a = b", True)])
     assert not joins.interval_is_defensible([joins.Join(df, F.lit(True), "inner", "a >= b")])
     assert joins.interval_is_defensible([joins.Join(df, F.lit(True), "left", "a > b")], wide=True)
     assert joins.selectivity(df, df.where("k < 1000").select("k"), "k") == pytest.approx(0.1)
