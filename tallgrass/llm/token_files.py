@@ -2,12 +2,13 @@
 
 Texts are range-partitioned and sorted by id, encoded once, and cut into segments of bounded size. A segment holds
 
-    magic, id width, documents, ids, ids of this part before it, low bits, select step   (header)
-    document ids (int64, with a bitmap of nulls)
+    magic, id width, select step, documents, those without an id, smallest id, ids, ids of this part before it, low bits  (header)
+    Elias-Fano document ids, less the smallest (those without an id come first and are only counted)
     Elias-Fano ends: low bits packed, high bits in unary, a select sample every ``STEP`` ones
     ids, 2 bytes each where the vocabulary allows, else 4
 
-so a boundary costs about ``2 + log2(ids / documents)`` bits instead of 64, and ``select`` needs no 64-bit table.
+so a boundary costs about ``2 + log2(ids / documents)`` bits instead of 64, and neither boundaries nor document ids need a 64-bit
+table: ``select`` finds one, ``some`` a run of them, from the closest sample on.
 Segments are the rows of a Parquet table: Spark's commit protocol makes writes survive lost executors, and any store
 that Spark reads will do.
 
@@ -26,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import arrow, new_path, text_or_empty
+from tallgrass.llm.common import arrow, text_or_empty
 from tallgrass.llm.encoders import SpaceLedEncoder, encoder
+from tallgrass.session import new_path
 
-MAGIC, STEP = b"TGIDSEF1", 256
-HEADER = struct.Struct("<8sHHIQQII")
+MAGIC, STEP = b"TGIDSEF2", 256
+HEADER = struct.Struct("<8sHHIIqQQII")
+MOST_DOCS, SPAN = 1 << 16, 1 << 62  #: documents of a segment, and difference of their ids
 SEGMENTS = "part long, segment long, first_id long, n_ids long, n_docs long, data binary"
 READ = "doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
@@ -69,11 +72,18 @@ class EliasFano:
                 return ((8 * byte + skip + int(ones[left]) - i) << self.low_bits) | self._low(i)
             left, byte, skip = left - len(ones), byte + 64, 0
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        low = bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64)) if self.low_bits else 0
-        return ((ones - np.arange(self.n)) << self.low_bits) | low
+    def some(self, a: int, b: int) -> np.ndarray:
+        """Values ``a`` to ``b - 1``: only the bits between their samples are looked at."""
+        if a >= b:
+            return np.zeros(0, np.int64)
+        first, after = int(self.samples[a // STEP]), (b - 1) // STEP + 1
+        end = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[first // 8 : end], bitorder="little")) + first // 8 * 8
+        ones = ones[np.searchsorted(ones, first) + a % STEP :][: b - a]
+        k, at = self.low_bits, a * self.low_bits
+        bits = np.unpackbits(self.low[at // 8 : -(-b * k // 8)], bitorder="little")[at % 8 :][: (b - a) * k].reshape(b - a, k)
+        low = bits.astype(np.int64) @ (1 << np.arange(k, dtype=np.int64)) if k else 0
+        return ((ones - np.arange(a, b)) << k) | low
 
     def to_bytes(self) -> bytes:
         parts = [x.tobytes() for x in (self.low, self.high, self.samples)]
@@ -91,32 +101,46 @@ def pack_segment(doc_ids: list, ids: list[bytes], first_id: int, width: int) ->
     ends = np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
     bounds = EliasFano.build(ends, total)
-    known = np.array([x is not None for x in doc_ids], np.uint8)
+    known = np.array([x for x in doc_ids if x is not None], np.int64)
+    least = int(known[0]) if len(known) else 0
+    names = EliasFano.build(known - least, int(known[-1]) - least if len(known) else 0)
     body = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}").tobytes()
     return b"".join((
-        HEADER.pack(MAGIC, width, STEP, len(doc_ids), total, first_id, bounds.low_bits, 0),
-        np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes(),
-        np.packbits(known, bitorder="little").tobytes(),
+        HEADER.pack(MAGIC, width, STEP, len(doc_ids), len(doc_ids) - len(known), least, total, first_id, names.low_bits, bounds.low_bits),
+        names.to_bytes(),
         bounds.to_bytes(),
         body,
     ))
 
 
-def unpack_segment(data: bytes) -> tuple[list, EliasFano, np.ndarray, int]:
-    """Document ids, boundary structure, ids, and the number of ids of this part before the segment."""
-    magic, width, _, n, total, first_id, low_bits, _ = HEADER.unpack_from(data)
-    if magic != MAGIC:
-        raise ValueError("not a segment of token ids")
-    view, at = memoryview(data), HEADER.size
-    doc_ids = np.frombuffer(view[at : at + 8 * n], "<i8")
-    at += 8 * n
-    known = np.unpackbits(np.frombuffer(view[at : at + (n + 7) // 8], "u1"), bitorder="little")[:n]
-    at += (n + 7) // 8
-    bounds, used = EliasFano.from_bytes(n, low_bits, view[at:])
-    ids = np.frombuffer(view[at + used :], f"<u{width}")
-    if len(ids) != total:
-        raise ValueError("truncated segment")
-    return [int(x) if k else None for x, k in zip(doc_ids, known, strict=True)], bounds, ids, first_id
+class Segment:
+    """A segment read back: its boundaries, its ids and those of its documents, as they stand in the file."""
+
+    def __init__(self, data: bytes):
+        magic, width, _, self.n, self.nameless, self.least, total, self.first_id, low_names, low_bounds = HEADER.unpack_from(data)
+        if magic != MAGIC:
+            raise ValueError("not a segment of token ids")
+        view, at = memoryview(data), HEADER.size
+        self.names, used = EliasFano.from_bytes(self.n - self.nameless, low_names, view[at:])
+        at += used
+        self.bounds, used = EliasFano.from_bytes(self.n, low_bounds, view[at:])
+        self.ids = np.frombuffer(view[at + used :], f"<u{width}")
+        if len(self.ids) != total:
+            raise ValueError("truncated segment")
+
+    def document(self, i: int) -> np.ndarray:
+        """Ids of document ``i``, by two selects."""
+        return self.ids[self.bounds.select(i - 1) if i else 0 : self.bounds.select(i)]
+
+    def runs(self):
+        """Document ids (None where there is none), starts and ends of ``STEP`` documents at a time."""
+        end = 0
+        for a in range(0, self.n, STEP):
+            b = min(self.n, a + STEP)
+            ends = self.bounds.some(a, b)
+            names = self.names.some(max(0, a - self.nameless), max(0, b - self.nameless)) + self.least
+            yield [None] * (b - a - len(names)) + names.tolist(), [end, *ends[:-1].tolist()], ends.tolist()
+            end = int(ends[-1])
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", segment_ids: int = 1 << 20) -> None:
@@ -135,12 +159,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 got = encode(text) + end
+                if ids and (held >= segment_ids or len(ids) >= MOST_DOCS or (doc_ids[-1] is not None and doc_id - next(x for x in doc_ids if x is not None) >= SPAN)):
+                    yield flush()
+                    segment, first, doc_ids, ids, held = segment + 1, first + held, [], [], 0
                 doc_ids.append(doc_id)
                 ids.append(got)
                 held += len(got) // 4
-                if held >= segment_ids:
-                    yield flush()
-                    segment, first, doc_ids, ids, held = segment + 1, first + held, [], [], 0
         if ids:
             yield flush()
 
@@ -161,14 +185,15 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     def unpack(batches):
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                doc_ids, bounds, ids, first = unpack_segment(data)
-                ends = bounds.all()
-                starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-                raw = memoryview(ids.astype("<u4").tobytes())
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([part] * len(doc_ids), pa.int64()), "doc_id": pa.array(doc_ids, pa.int64()), "local_start": pa.array(starts + first, pa.int64()), "n_tokens": pa.array(ends - starts, pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.int64()),
-                })
+                segment = Segment(data)
+                out: list[list] = [[], [], [], []]
+                for names, starts, ends in segment.runs():
+                    raw = memoryview(segment.ids[starts[0] : ends[-1]].astype("<u4").tobytes())
+                    out[0] += names
+                    out[1] += [segment.first_id + a for a in starts]
+                    out[2] += [b - a for a, b in zip(starts, ends, strict=True)]
+                    out[3] += [zlib.crc32(raw[4 * (a - starts[0]) : 4 * (b - starts[0])]) for a, b in zip(starts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([part] * segment.n, pa.int64()), *(pa.array(x, pa.int64()) for x in out)], ["part", "doc_id", "local_start", "n_tokens", "ids_crc32"])
 
     read = arrow(segments.select("part", "data"), unpack, "part long, " + READ)
     return read.join(F.broadcast(parts), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
