@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame expressions only.
 
-Each source's documents are put in a hashed order and cut into blocks. Block k of a source of weight w is released at slot
+Each source's documents are put in a hashed order (of id, source and text, where there is one) and cut into blocks. Block k of a source of weight w is released at slot
 floor(k / w) and due at slot ceil((k + 1) / w); every slot takes, of the released blocks, the one due first (ties: the
 source named first). While no source has run out, each is less than one block away from its target at every slot.
 
@@ -12,8 +12,9 @@ are taken within hashed parts of a source), and what is broadcast has at most ``
 Every row keeps its place: a source that runs out leaves its slots to the others, which go on in proportion; nothing is
 dropped or repeated. Sources without a weight of their own, null among them, share one.
 
-Defined cases: rows with a null id are ordered as if the id were empty text, rows that share an id follow each other; texts
-are not looked at; an empty table gives an empty result; other columns are kept by ``mixed``, also such as are named like
+Defined cases: a null id, source or text is ordered as if it were empty text; rows that share an id stand where their texts' hashes
+put them, so the order is the same under any partitioning, and many rows of one id are spread; rows that share id, source and
+text follow each other; an empty table gives an empty result; other columns are kept by ``mixed``, also such as are named like
 its working columns, and ignored by the query.
 """
 
@@ -49,8 +50,8 @@ def schedule(spark: SparkSession, shares: list[int]) -> DataFrame:
     return slots.select("own", "slot", F.expr(before).alias("before")).withColumn("turn", F.expr("before[own]"))
 
 
-def mixed(docs: DataFrame, targets: dict[str, int] = TARGETS, block: int = BLOCK, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", column: str = "__mix") -> DataFrame:
-    """``docs`` with one more column ``column``: struct of block, slot and position."""
+def mixed(docs: DataFrame, targets: dict[str, int] = TARGETS, block: int = BLOCK, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", column: str = "__mix") -> DataFrame:
+    """``docs`` with one more column ``column``: struct of block, slot and position. ``text_col`` only breaks ties of ids."""
     spark, names = docs.sparkSession, [n for n in targets if n != ""] + [""]
     if any(targets.get(n, 1) < 1 for n in names):
         raise ValueError("target weights are positive whole numbers")
@@ -63,7 +64,9 @@ def mixed(docs: DataFrame, targets: dict[str, int] = TARGETS, block: int = BLOCK
     own = F.lit(len(names) - 1)
     for i, name in enumerate(names[:-1]):
         own = F.when(F.col(source_col) == name, i).otherwise(own)
-    order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    parts = [id_col, source_col] + [text_col] * (text_col in docs.columns)
+    plain = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts]
+    order = F.md5(F.concat_ws(":", F.lit(seed), *plain[:2], *(F.md5(t) for t in plain[2:])))
     row = docs.select(F.struct(*quoted(docs.columns)).alias("row"), own.alias("own"), order.alias("order"))
     row = row.withColumn("part", F.conv(F.substring("order", 1, 3), 16, 10).cast("int"))
 
@@ -113,7 +116,7 @@ WITH RECURSIVE sim AS (
   SELECT t + 1, [next[i + 1] + CASE WHEN i = {pick} THEN 1 ELSE 0 END for i in range({size})] FROM sim WHERE t < {q}),
 turns AS (SELECT t AS slot, next, {pick} AS own FROM sim WHERE t < {q}),
 ranked AS (
-  SELECT doc_id, source, own, row_number() OVER (PARTITION BY own ORDER BY md5('{seed}:' || coalesce(doc_id::VARCHAR, ''))) - 1 AS rank
+  SELECT doc_id, source, own, row_number() OVER (PARTITION BY own ORDER BY md5('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(source, ''))) - 1 AS rank
   FROM (SELECT doc_id, source, CASE {cases} ELSE {size - 1} END AS own FROM {table})),
 totals AS (SELECT list_transform(range({size}), lambda i: coalesce(m[i::INTEGER], 0)) AS n FROM (SELECT map_from_entries(list((own, c))) AS m FROM (SELECT own::INTEGER AS own, count(*) AS c FROM ranked GROUP BY own))),
 blocks AS (SELECT *, rank // {block} AS block, {p}[own + 1] AS share FROM ranked)
