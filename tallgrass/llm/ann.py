@@ -8,8 +8,9 @@ on the table itself: the ``CALIBRATION`` queries of the smallest id hashes are a
 for which they find ``TARGET`` of their neighbours. Largest inner product becomes smallest distance by one further
 component, ``sqrt(M^2 - |x|^2)``, with M the largest norm of all rows.
 
-Lists that have grown large (copies of one vector cannot be told apart) are dealt out in chunks of vectors and of queries;
-every chunk is read. Each task keeps the best of its lists for a bounded number of queries, so what is shuffled for the
+Lists next to each other in bisection order are neighbours in space, so ``GROUP`` of them travel together: a vector or query
+is sent once to each group that has a list of it, with a mask of those lists. Groups that have grown large (copies of one
+vector cannot be told apart) are dealt out in chunks of vectors and of queries; every chunk is read. Each task keeps the best of its lists for a bounded number of queries, so what is shuffled for the
 last ranking is a few rows for each query and task. Scores are sums in a fixed order: equal vectors get equal scores.
 
 Defined cases: rows with a null id, or with a vector that is null, zero, or holds null or non-finite components take no part, nor do vectors
@@ -34,7 +35,7 @@ SAMPLE, LIST, LISTS = 20_000, 256, 4096
 REPLICAS, REPLICATE = 4, 1.10
 PRUNE, BEAM = 1.10, 512
 CALIBRATION, TARGET = 256, 0.95
-CHUNK, HELD = 8192, 100_000
+CHUNK, HELD, GROUP = 8192, 100_000, 8
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -143,9 +144,10 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: in
 
 
 def _scan(batches, k: int):
-    """Rows (cell, kind, id, v) sorted by cell and kind: queries (0), then vectors (1). Best candidates of each query."""
+    """Rows (cell, kind, id, v, mask) sorted by cell and kind: queries (0), then vectors (1); masks tell the lists of each.
+    Best candidates of each query."""
     held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    cell, q_ids, q = None, [], []
+    cell, q_ids, q, q_masks = None, [], [], []
 
     def out():
         counts = [int(np.isfinite(s).sum()) for _, s in held.values()]
@@ -154,19 +156,24 @@ def _scan(batches, k: int):
 
     for batch in batches:
         cells, kinds = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        ids, v = batch.column(2).to_numpy(zero_copy_only=False), matrix(batch.column(3))
+        ids, v, masks = batch.column(2).to_numpy(zero_copy_only=False), matrix(batch.column(3)), batch.column(4).to_numpy(zero_copy_only=False)
         edges = np.flatnonzero(np.concatenate(([True], (cells[1:] != cells[:-1]) | (kinds[1:] != kinds[:-1]), [True])))
         for a, b in zip(edges, edges[1:], strict=False):
             if cells[a] != cell:
-                cell, q_ids, q = cells[a], [], []
+                cell, q_ids, q, q_masks = cells[a], [], [], []
             if kinds[a] == 0:
                 q_ids.append(ids[a:b])
                 q.append(v[a:b])
-            elif q_ids:
-                own, points = np.concatenate(q_ids), np.concatenate(q)
+                q_masks.append(masks[a:b])
+                continue
+            for bit in range(GROUP) if q_ids else ():
+                reads, has = (np.concatenate(q_masks) >> bit) & 1 > 0, (masks[a:b] >> bit) & 1 > 0
+                if not (reads.any() and has.any()):
+                    continue
+                own, points, candidates, x = np.concatenate(q_ids)[reads], np.concatenate(q)[reads], ids[a:b][has], v[a:b][has]
                 for c in range(0, len(own), 512):
                     part = own[c : c + 512]
-                    found, scores = best(part, points[c : c + 512], ids[a:b], v[a:b], k)
+                    found, scores = best(part, points[c : c + 512], candidates, x, k)
                     before = [held.get(int(i)) for i in part]
                     none = (np.full(k, -1, np.int64), np.full(k, -np.inf))
                     found = np.concatenate([found, np.stack([(x or none)[0] for x in before])], axis=1)
@@ -211,10 +218,10 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 
 def exact(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
     """The k nearest of a few queries by brute force: every task compares its rows with all of them."""
-    names = ["cell", "kind", "id", "v"]
+    names = ["cell", "kind", "id", "v", "mask"]
 
     def cell(ids: pa.Array, v: pa.Array, kind: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int64)), pa.array(np.full(len(ids), kind, np.int32)), ids, v], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int64)), pa.array(np.full(len(ids), kind, np.int32)), ids, v, pa.array(np.ones(len(ids), np.int32))], names)
 
     def scan(batches):
         flat = pa.array(q.ravel(), pa.float64())
@@ -249,7 +256,7 @@ def lists_to_read(rows: DataFrame, graph: CentroidGraph, top: float, is_query: s
 
 
 def postings(rows: DataFrame, graph: CentroidGraph, top: float, is_query: str, least: int) -> DataFrame:
-    """(list, kind, id, v): every vector in its lists (kind 1), every query in the lists that it reads (kind 0)."""
+    """(group, kind, id, v, mask): every vector with its lists (kind 1), every query with the lists that it reads (kind 0)."""
 
     def assign(batches):
         for batch in batches:
@@ -261,15 +268,20 @@ def postings(rows: DataFrame, graph: CentroidGraph, top: float, is_query: str, l
                     if not len(x):
                         continue
                     lists, near = lists_of(graph, top, x) if kind else lists_read(graph, x, least)
-                    owners, at = np.nonzero(near)
-                    own = ids[chosen]
+                    rows_of, at = np.nonzero(near)
+                    place = lists[rows_of, at]
+                    key = rows_of * (1 << 32) + place // GROUP  # a vector and a group of lists
+                    once, which = np.unique(key, return_inverse=True)
+                    masks = np.zeros(len(once), np.int32)
+                    np.bitwise_or.at(masks, which, (1 << (place % GROUP)).astype(np.int32))
+                    owners, groups, own = once >> 32, (once & 0xFFFFFFFF).astype(np.int32), ids[chosen]
                     for b in range(0, len(owners), CHUNK):
-                        owner, cells = owners[b : b + CHUNK], lists[owners[b : b + CHUNK], at[b : b + CHUNK]]
+                        owner, cells = owners[b : b + CHUNK], groups[b : b + CHUNK]
                         flat = pa.array(x[owner].ravel(), pa.float64())
                         v_out = pa.ListArray.from_arrays(pa.array(np.arange(len(owner) + 1) * x.shape[1], pa.int32()), flat)
-                        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(np.full(len(owner), kind), pa.int32()), pa.array(own[owner], pa.int64()), v_out], ["list", "kind", "id", "v"])
+                        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(np.full(len(owner), kind), pa.int32()), pa.array(own[owner], pa.int64()), v_out, pa.array(masks[b : b + CHUNK])], ["group", "kind", "id", "v", "mask"])
 
-    return arrow(rows.select("vec_id", "v", F.expr(is_query)), assign, "list int, kind int, id long, v array<double>")
+    return arrow(rows.select("vec_id", "v", F.expr(is_query)), assign, "group int, kind int, id long, v array<double>, mask int")
 
 
 def nearest(table: DataFrame, k: int = 20, is_query: str = "vec_id % 20 = 0") -> DataFrame:
@@ -281,13 +293,13 @@ def nearest(table: DataFrame, k: int = 20, is_query: str = "vec_id % 20 = 0") ->
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     least = lists_to_read(rows, *index, is_query, k)
     lists = written(postings(rows, *index, is_query, least), "postings")
-    # LISTS rows at most
-    sizes = lists.groupBy("list").agg(F.ceil(F.sum("kind") / CHUNK).cast("int").alias("vs"), F.ceil(F.sum(1 - F.col("kind")) / CHUNK).cast("int").alias("qs"))
-    dealt = lists.join(F.broadcast(sizes), "list").where("vs > 0 and qs > 0")
+    # LISTS / GROUP rows at most
+    sizes = lists.groupBy("group").agg(F.ceil(F.sum("kind") / CHUNK).cast("int").alias("vs"), F.ceil(F.sum(1 - F.col("kind")) / CHUNK).cast("int").alias("qs"))
+    dealt = lists.join(F.broadcast(sizes), "group").where("vs > 0 and qs > 0")
     own = F.pmod(F.xxhash64("id"), F.when(F.col("kind") == 1, F.col("vs")).otherwise(F.col("qs")))
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("kind") == 1, F.col("qs")).otherwise(F.col("vs")) - 1)))
     v_chunk, q_chunk = (F.when(F.col("kind") == 1, F.col(a)).otherwise(F.col(b)).cast("long") for a, b in (("own", "other"), ("other", "own")))
-    dealt = dealt.select((F.col("list").cast("long") * (1 << 40) + v_chunk * (1 << 20) + q_chunk).alias("cell"), "kind", "id", "v")
+    dealt = dealt.select((F.col("group").cast("long") * (1 << 40) + v_chunk * (1 << 20) + q_chunk).alias("cell"), "kind", "id", "v", "mask")
     found = arrow(dealt.repartition("cell").sortWithinPartitions("cell", "kind"), lambda b: _scan(b, k), "query_id long, vec_id long, score double")
     return ranked(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
