@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``vec_id`` (long) and ``v`` (array of double) of the rows with an id and a non-zero vector without null or non-finite
-    components; where lengths differ, of the most frequent length (the smaller among equals)."""
+def judged(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``vec_id`` (long), ``v`` (array of double) and ``ok`` of every row: whether it has an id and a non-zero vector without null
+    or non-finite components; where lengths differ, of the most frequent length (the smaller among equals)."""
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = rows.where("vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("v") == (lengths[0]["n"] if lengths else 0))
+    fine = F.expr("vec_id is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
+    lengths = rows.where(fine).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    return rows.withColumn("ok", F.coalesce(fine & (F.size("v") == (lengths[0]["n"] if lengths else 0)), F.lit(False)))
+
+
+def usable(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``vec_id`` and ``v`` of the rows that are ``ok``."""
+    return judged(table, id_col, vector_col).where("ok").drop("ok")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
