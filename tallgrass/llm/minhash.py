@@ -7,8 +7,11 @@
    similarity, estimated by bit counts on the packed signatures, is more than five standard deviations under the threshold
    is left out; all others are confirmed on the full sets.
 4. In buckets that the confirmed links do not join into one component, members of different components are compared by
-   their packed signatures (large buckets block by block); a spanning forest of the pairs that agree gives clusters. Inside
-   a cluster, full sets of different components are intersected by blocks, and a spanning forest of the true links is kept.
+   their packed signatures (large buckets block by block); a spanning forest of the pairs that agree gives clusters. In a
+   cluster of many, further members (one that lies outside the largest component, each time) are compared with all members of
+   other components, ``PEELS`` times at most, so that nearly all of it is one component. Then full sets of different
+   components are intersected by blocks: those outside the largest component among themselves and with it, never the largest
+   with itself. A spanning forest of the true links is kept.
 5. Links and classes give components.
 
 So a group of m similar documents costs m confirmations, pairs are never listed by m * m, and no bucket is capped.
@@ -21,6 +24,7 @@ other columns are kept by ``deduplicate`` and ignored by the query.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,8 @@ from tallgrass.llm.shingles import Shingler
 BANDS, ROWS, BITS = 32, 4, 4
 MINIMA = BANDS * ROWS
 WORDS64 = MINIMA * BITS // 64
-BUCKET, CLUSTER = 1024, 128  #: signatures and full sets that are compared at once
+BUCKET, CLUSTER = 1024, 1 << 20  #: signatures, and bytes of full sets, that are compared at once (twice as many meet)
+PEELS, MANY = 3, 64  #: rounds with a further member, for clusters of more members than these
 
 _rng = np.random.default_rng(20)
 FACTORS = _rng.integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -175,15 +180,62 @@ def _same(a: list[bytes], b: list[bytes], percent: int) -> np.ndarray:
     return 100 * common >= percent * (sizes[: len(a), None] + sizes[None, len(a) :] - common)
 
 
-def _blocks(rows: DataFrame, keys: list[str], size: int, payload: str) -> DataFrame:
-    """Rows (n: of the group) dealt to pairs of blocks of their group, for ``_forests``."""
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / size).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def _blocks(rows: DataFrame, keys: list[str], blocks, payload: str) -> DataFrame:
+    """Rows dealt to pairs of blocks of their group (of so many ``blocks``), for ``_forests``."""
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return _met(rows, keys, payload)
+
+
+def _met(rows: DataFrame, keys: list[str], payload: str) -> DataFrame:
+    """Rows with their ``block`` and an ``other`` one, brought together."""
     side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("long")
     group = F.concat_ws(":", *keys, F.least("block", "other"), F.greatest("block", "other"))
     return rows.select(group.alias("group"), side.alias("side"), "label", "node", payload).repartition("group").sortWithinPartitions("group", "side", "node")
 
 
+def _largest(members: DataFrame) -> DataFrame:
+    """For each cluster (component) its members, and the label that most of them have."""
+    sizes = members.groupBy("component", "label").agg(F.count("*").alias("n"))
+    return sizes.groupBy("component").agg(F.sum("n").alias("members"), F.max_by("label", F.struct("n", "label")).alias("top"))
+
+
+def _peeled(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Members (component, node, label) of clusters with labels joined by further confirmed links, and those links."""
+    more = []
+    for turn in range(PEELS):
+        tops = _largest(members).where(F.col("members") > MANY)
+        outside = members.join(tops, "component").where("label <> top")
+        hubs = outside.groupBy("component").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("hub"), F.col("label").alias("own"))).alias("x")).select("component", "x.hub", "x.own")
+        hubs = written(hubs, "hubs")
+        if hubs.isEmpty():
+            break
+        pairs = members.join(hubs, "component").where("label <> own").select(F.col("hub").alias("u"), F.col("node").alias("v"))
+        links = written(_confirm(pairs, sets, percent), "peeled")
+        if links.isEmpty():
+            break
+        more.append(links)
+        # a hub is of one cluster, so its links make one component of all the labels that it meets
+        met = links.join(members.select(F.col("node").alias("v"), "component", "label"), "v").select("component", "label")
+        met = met.union(links.select(F.col("u").alias("node")).distinct().join(members, "node").select("component", "label")).distinct()
+        joined = met.join(met.groupBy("component").agg(F.min("label").alias("to")), "component")
+        members = written(members.join(joined, ["component", "label"], "left").select("component", "node", F.coalesce("to", "label").alias("label")), "members")
+    return members, more
+
+
+def _apart(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Full sets dealt to pairs of blocks: those outside the largest component of their cluster among themselves and with it."""
+    rows = members.join(_largest(members), "component").join(sets, "node").withColumn("outside", F.col("label") != F.col("top")).drop("top", "members")
+    count = lambda inside: F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(F.when(inside, F.octet_length("shingles"))), F.lit(0)) / CLUSTER)).cast("int")
+    plan = rows.groupBy("component").agg(count(F.col("outside")).alias("outer"), count(~F.col("outside")).alias("inner"))
+    rows = rows.join(plan, "component")
+    # blocks 0 .. outer - 1 lie outside, outer .. outer + inner - 1 inside
+    own = F.when(F.col("outside"), F.pmod(F.xxhash64("node"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("node"), F.col("inner")))
+    others = F.when(F.col("outside"), F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1)).otherwise(F.sequence(F.lit(0), F.col("outer") - 1))
+    rows = rows.withColumn("block", own.cast("int")).withColumn("other", F.explode(others))
+    return _met(rows, ["component"], "shingles")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union, on full sets."""
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
@@ -241,15 +293,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     labelled = written(labelled, "labelled")
     open_ = written(labelled.groupBy("band", "h").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band", "h"), "open")
     rest = written(labelled.join(open_, ["band", "h"]).join(reps.select("node", "signature"), "node"), "rest")
-    hints = arrow(_blocks(rest, ["band", "h"], BUCKET, "signature"), lambda b: _forests(b, lambda x, y: _alike(x, y, least)), "u long, v long")
+    hints = arrow(_blocks(rest, ["band", "h"], F.ceil(F.col("n") / BUCKET).cast("int"), "signature"), lambda b: _forests(b, lambda x, y: _alike(x, y, least)), "u long, v long")
     clusters = written(components(written(hints, "hints")), "clusters")
-    sizes = written(clusters.groupBy("component").agg(F.count("*").alias("n")), "sizes")
-    labels = labelled.select("node", "label").distinct()
-    inside = clusters.join(sizes, "component").join(labels, "node").join(sets.dropDuplicates(["node"]), "node")
-    more = arrow(_blocks(inside, ["component"], CLUSTER, "shingles"), lambda b: _forests(b, lambda x, y: _same(x, y, percent)), "u long, v long")
-    more = written(more, "links")
-    if not more.isEmpty():
-        found = written(components(links.union(more)), "found")
+    whole = sets.dropDuplicates(["node"])
+    members = written(clusters.join(labelled.select("node", "label").distinct(), "node").select("component", "node", "label"), "members")
+    members, more = _peeled(members, whole, percent)
+    more.append(written(arrow(_apart(members, whole), lambda b: _forests(b, lambda x, y: _same(x, y, percent)), "u long, v long"), "links"))
+    if any(not m.isEmpty() for m in more):
+        found = written(components(reduce(DataFrame.union, more, links)), "found")
 
     joined = written(classes.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component")), "joined")
     return made.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("h1")).alias("h1"), "h2").join(joined, ["h1", "h2"], "left").select("doc_id", "n_shingles", "h1", "h2", F.coalesce("component", "doc_id").alias("component_id"))
@@ -266,3 +317,19 @@ def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 85)
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def sql(words: int = 3, percent: int = 85, table: str = "documents") -> str:
+    """The same by all pairs with a common shingle and plain reachability, in DuckDB's SQL (for small tables)."""
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(words))
+    return rf"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM {table}),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= {words} THEN list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: {shingle})) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM split),
+each AS (SELECT doc_id, unnest(s) AS g FROM sets),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM each a JOIN each b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM common JOIN sets a ON a.doc_id = u JOIN sets b ON b.doc_id = v WHERE 100 * c >= {percent} * (len(a.s) + len(b.s) - c)),
+reach AS (SELECT doc_id AS node, doc_id AS met FROM {table} UNION SELECT node, v FROM reach JOIN links ON u = met),
+found AS (SELECT node, min(met) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN found ON node = doc_id
+"""
