@@ -4,8 +4,8 @@ A document's ids are first cut into full windows of the longest tier. What is le
 holds it. Tiers are packed from long to short: a window opens with a piece of its own tier and its gap is filled with the
 largest pieces of shorter tiers that fit; a piece is cut only where none fits. The rest of a group that fills no window is
 laid into windows of falling powers of two, so that nothing is padded. Windows of one tier form step groups of equal
-tokens. A step group belongs to one task, whose number is in its high bits; the last group of each tier in each task may
-hold fewer tokens (merging them would need a shuffle).
+tokens over all tasks: the pieces are written, the windows of each task and tier are counted, and a window's place among all of
+its tier settles its group. Only the last group of a tier may hold fewer tokens; ``step_full`` tells.
 
 Each task packs the rows it reads in groups of bounded size; groups follow the rows, and so do the windows of a group, each
 by its first document. Sequence ids rise in that order from task to task. So there is no shuffle, memory is bounded, and a lost task
@@ -23,14 +23,14 @@ from bisect import bisect_right, insort
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import arrow, text_or_empty
+from tallgrass.llm.common import arrow, text_or_empty, written
 from tallgrass.llm.encoders import SpaceFreeEncoder, encoder
 
 TIERS = (4096, 2048, 1024, 512, 256)
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, task int, nth long"
 
 
 def pack_group(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[tuple[int, int, int]]]]:
@@ -94,30 +94,34 @@ def pack_group(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, group_ids: int = 1 << 20, step_ids: int = 1 << 16) -> DataFrame:
-    """Pieces of every document. ``group_ids`` bounds the ids held by a task; a step group has ``step_ids`` ids."""
+    """Pieces of every document. ``group_ids`` bounds the ids held by a task; a step group has ``step_ids`` ids.
+
+    doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier (size of the window), step_group (of the tier), step_full.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def pack(batches):
         encode, end = encoder(SpaceFreeEncoder, tokenizer), struct.pack("<I", end_id)
-        sequence = base = TaskContext.get().partitionId() << 36
+        task = TaskContext.get().partitionId()
+        sequence = task << 36
         seen: dict[int, int] = {}  # windows so far, by size
         doc_ids, ids, held = [], [], 0
 
         def flush():
             nonlocal sequence
-            out: list[list] = [[] for _ in range(9)]
+            out: list[list] = [[] for _ in range(10)]
             windows = pack_group([len(x) // 4 for x in ids], tiers)
             # sequences follow the rows: a window stands where its first document does
             for size, inside in sorted(windows, key=lambda w: min((d, start) for d, start, _ in w[1])):
-                step = base + seen.get(size, 0) // max(1, step_ids // size)
-                seen[size], offset = seen.get(size, 0) + 1, 0
+                nth, offset = seen.get(size, 0), 0
+                seen[size] = nth + 1
                 for d, start, n in inside:
-                    row = (doc_ids[d], start, n, zlib.crc32(memoryview(ids[d])[4 * start : 4 * (start + n)]), len(ids[d]) // 4, sequence, offset, size, step)
+                    row = (doc_ids[d], start, n, zlib.crc32(memoryview(ids[d])[4 * start : 4 * (start + n)]), len(ids[d]) // 4, sequence, offset, size, task, nth)
                     for values, x in zip(out, row, strict=True):
                         values.append(x)
                     offset += n
                 sequence += 1
-            kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
+            kinds = [pa.int64()] * 7 + [pa.int32(), pa.int32(), pa.int64()]
             names = [x.split()[0] for x in PIECES.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names)
 
@@ -133,7 +137,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str
         if ids:
             yield flush()
 
-    return arrow(rows, pack, PIECES)
+    pieces = written(arrow(rows, pack, PIECES), "pieces")
+    # windows of each tier before each task's: a row for each task and tier at most
+    tasks = pieces.where("offset = 0").groupBy("tier", "task").agg(F.count("*").alias("n"))
+    every, earlier = Window.partitionBy("tier"), Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks.select("tier", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(every).alias("windows"))
+    step, per = F.col("step_group"), F.greatest(F.lit(1), F.floor(F.lit(step_ids) / F.col("tier"))).cast("long")
+    grouped = pieces.join(F.broadcast(tasks), ["tier", "task"]).withColumn("step_group", F.floor((F.col("before") + F.col("nth")) / per).cast("long"))
+    grouped = grouped.withColumn("step_full", (step + 1) * per <= F.col("windows"))
+    return grouped.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group", "step_full")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
