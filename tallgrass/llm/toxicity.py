@@ -62,20 +62,21 @@ def lines_of(terms) -> tuple[dict[str, str], np.ndarray]:
 SWAPPED, PUT = 0, 1  #: kinds of twins
 
 
-def twins(text: str, partner: dict[str, str]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(kind, codes that a sentence has and its twin has not, the other way round) for each twin of a text."""
+def twins(text: str, partner: dict[str, str], words: list[str] | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, codes that a sentence has and its twin has not, the other way round) for each twin of a text (of these words)."""
     low = text.lower()
-    names = partner.keys() & set(WORD.findall(low))
+    names = partner.keys() & set(WORD.findall(low) if words is None else words)
     if not names:
-        own = codes_of(WORD.findall(next(iter(SENTENCE.findall(low)), "")))
+        first = SENTENCE.search(low)
+        own = codes_of(WORD.findall(first[0]) if first else [])
         term = sorted(partner)[zlib.crc32(text.encode("utf-8", "surrogatepass")) % len(partner)] if partner else None
         return [(PUT, np.zeros(0, np.uint32), np.setdiff1d(codes_of([term]), own))] if term else []
     out = {}  # one of each term: further sentences of a document differ by the same codes, but for its other words
     for sentence in SENTENCE.findall(low):
-        words = set(WORD.findall(sentence))
-        for name in sorted(names & words):
+        inside = set(WORD.findall(sentence))
+        for name in sorted(names & inside):
             if name not in out:
-                own, twin = codes_of(words), codes_of(words - {name} | {partner[name]})
+                own, twin = codes_of(inside), codes_of(inside - {name} | {partner[name]})
                 out[name] = (SWAPPED, np.setdiff1d(own, twin), np.setdiff1d(twin, own))
     return list(out.values())
 
@@ -217,6 +218,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, terms=IDENTI
     def sparse(batches):
         """The chosen codes of each document, and those of its twins."""
 
+        def known(codes):
+            return codes[chosen[np.minimum(np.searchsorted(chosen, codes), len(chosen) - 1)] == codes]
+
         def row(kind, toxic, own, twin=()):
             for values, x in zip(out, (kind, toxic, np.asarray(own, np.uint32).tobytes(), np.asarray(twin, np.uint32).tobytes()), strict=True):
                 values.append(x)
@@ -224,9 +228,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, terms=IDENTI
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row(-1, toxic, np.intersect1d(codes_of(WORD.findall(text.lower())), chosen, assume_unique=True))
-                for kind, own, twin in twins(text, partner):
-                    row(kind, None, np.intersect1d(own, chosen), np.intersect1d(twin, chosen))
+                words = WORD.findall(text.lower())
+                row(-1, toxic, known(codes_of(words)))
+                for kind, own, twin in twins(text, partner, words):
+                    row(kind, None, known(own), known(twin))
             kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["kind", "toxic", "own", "twin"])
 
