@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from tallgrass.llm import ego, minhash, mixing, sharding
 from tallgrass.llm.ann import op5_nearest
 from tallgrass.llm.ego import op6_linked
 from tallgrass.llm.minhash import op8_minhash
 from tallgrass.llm.mixing import op2_mixing
-from tallgrass.llm.mixing import sql as mixing_sql
 from tallgrass.llm.packing import op9_packing
 from tallgrass.llm.sharding import op7_sharding
 from tallgrass.llm.suffixes import op4_suffixes
@@ -27,4 +27,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.sql(), "op6_linked": ego.sql(), "op7_sharding": sharding.sql(), "op8_minhash": minhash.sql()}

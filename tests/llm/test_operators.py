@@ -68,10 +68,21 @@ def test_elias_fano(n):
     values = np.cumsum(np.random.default_rng(n).integers(0, 900, n))
     made = token_files.EliasFano.build(values, int(values[-1]) if n else 0)
     again, _ = token_files.EliasFano.from_bytes(n, made.low_bits, memoryview(made.to_bytes()))
-    assert again.all().tolist() == values.tolist() and [again.select(i) for i in range(0, n, 7)] == values[::7].tolist()
+    assert again.some(0, n).tolist() == values.tolist() and [again.select(i) for i in range(0, n, 7)] == values[::7].tolist()
+    for a in range(0, n, 37):
+        for b in (a, a + 1, a + 255, a + 256, a + 300):
+            assert again.some(a, min(b, n)).tolist() == values[a : min(b, n)].tolist()
     assert n < 1000 or len(made.to_bytes()) * 8 < 14 * n
 
 
+def test_segments_hold_ids_of_any_size():
+    names = [None, None, -(2**61), -5, 0, 7, 2**60]
+    ids = [array("I", range(i, 2 * i + 1)).tobytes() for i in range(len(names))]
+    made = token_files.Segment(token_files.pack_segment(names, ids, 11, 2))
+    assert [x for run in made.runs() for x in run[0]] == names and made.first_id == 11
+    assert [made.document(i).astype("<u4").tobytes() for i in range(len(ids))] == ids
+
+
 def test_token_files_round_trip(spark, docs, nothing, tmp_path):
     for i, df in enumerate((docs, nothing)):
         path = str(tmp_path / str(i))
@@ -133,14 +144,19 @@ def test_packing(docs, nothing):
     assert packing.pack_documents(nothing, WORDS).count() == 0
 
 
-def test_step_groups_are_unique_over_tasks(docs):
+def test_step_groups_hold_equal_tokens_over_tasks(docs):
     pieces = packing.pack_documents(docs.repartition(3), WORDS, group_ids=1 << 12, step_ids=1 << 13).collect()
-    tasks, held = collections.defaultdict(set), collections.Counter()
+    tasks, held, full = collections.defaultdict(set), collections.Counter(), {}
     for p in pieces:
         tasks[p["tier"], p["step_group"]].add(p["sequence_id"] >> 36)
         held[p["tier"], p["step_group"]] += p["length"]
-    assert len({t for x in tasks.values() for t in x}) > 1
-    assert all(len(x) == 1 for x in tasks.values()) and max(held.values()) <= 1 << 13
+        full[p["tier"], p["step_group"]] = p["step_full"]
+    assert len({t for x in tasks.values() for t in x}) > 1 and max(map(len, tasks.values())) > 1
+    for tier in {t for t, _ in held}:
+        groups = sorted(g for t, g in held if t == tier)
+        assert groups == list(range(len(groups)))
+        assert all(full[tier, g] for g in groups[:-1])  # at most the last group of a tier is partial
+    assert all((held[k] == 1 << 13) == full[k] and held[k] <= 1 << 13 for k in held) and any(full.values())
 
 
 # 2: mixing
@@ -165,6 +181,16 @@ def test_mixing_follows_its_targets(spark, docs, nothing):
     assert mixing.in_order(docs).columns == docs.columns and mixing.in_order(nothing).count() == 0
 
 
+def test_mixing_is_the_same_under_any_partitioning(spark):
+    """Rows that share an id (a third of them none at all) have one order, whatever tasks they come from."""
+    rows = spark.range(2000).select(F.when(F.col("id") % 3 > 0, F.floor(F.col("id") / 5)).alias("doc_id"), F.concat(F.lit("src"), F.col("id") % 2).alias("source"), F.concat(F.lit("text "), "id").alias("text"))
+    placed = []
+    for n in (1, 7, 23):
+        dealt = rows.repartition(n, F.rand(n)).sortWithinPartitions(F.rand(n + 1))
+        placed.append({r["text"]: r["position"] for r in mixing.mixed(dealt, {"src0": 3, "src1": 1, "": 1}, block=4).select("text", "__mix.position").collect()})
+    assert placed[0] == placed[1] == placed[2] and sorted(placed[0].values()) == list(range(2000))
+
+
 def test_mixing_equals_its_sql(spark):
     connection = duckdb.connect()
     connection.sql(f"CREATE VIEW documents AS FROM '{SMALL}/documents.parquet'")
@@ -195,9 +221,24 @@ def brute_spans(texts, length, keep):
     return spans
 
 
-@pytest.mark.parametrize(("keep", "hot"), [("none", 4096), ("none", 0), ("first", 4096), ("first", 0)])
-def test_repeated_spans(spark, monkeypatch, keep, hot):
-    monkeypatch.setattr(suffixes, "CELLS_HELD", hot)
+def test_longest_previous_factors():
+    """The arrays against brute force: the longest prefix shared with an earlier suffix of the group, and a place that has it."""
+    rng = random.Random(5)
+    for _ in range(150):
+        data, length = bytes(rng.choice(b"ab") for _ in range(rng.randint(12, 60))), rng.randint(1, 9)
+        starts = sorted(rng.sample(range(len(data) - length + 1), rng.randint(1, min(30, len(data) - length + 1))))
+        group = np.sort([rng.randint(0, 2) for _ in starts])
+        factor, source = suffixes.factors(data, np.array(starts), group, length)
+        for i, a in enumerate(starts):
+            shared = {j: next((k for k in range(length) if data[a + k] != data[b + k]), length) for j, b in enumerate(starts[:i]) if group[j] == group[i]}
+            assert factor[i] == max(shared.values(), default=0)
+            assert source[i] == -1 if not factor[i] else shared[source[i]] == factor[i]
+
+
+@pytest.mark.parametrize(("keep", "held"), [("none", 4096), ("none", 0), ("first", 4096), ("first", 0), ("none", 2), ("first", 2)])
+def test_repeated_spans(spark, monkeypatch, keep, held):
+    """Also with the windows of (some) anchors sorted by Spark instead of in a task's memory."""
+    monkeypatch.setattr(suffixes, "CELLS_HELD", held)
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
     passages = [" ".join(word() for _ in range(60)) for _ in range(4)]
@@ -302,9 +343,9 @@ def test_recall_holds_as_lists_grow(spark, monkeypatch, lists):
     assert hits / (len(asked) * 20) >= 0.9
 
 
-def test_linked(vectors, monkeypatch):
-    monkeypatch.setattr(ego, "BLOCK", 1100)
-    monkeypatch.setattr(ego, "TILE", 50)
+@pytest.mark.parametrize(("block", "group", "tile"), [(None, None, 512), (16, 1, 7), (40, 3, 50)])
+def test_linked(vectors, block, group, tile):
+    """Blocks of 16 vectors make 35 blocks and two levels of intervals."""
     df, ids, x = vectors
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     mask = unit @ unit.T >= 0.95
@@ -319,13 +360,19 @@ def test_linked(vectors, monkeypatch):
     for a, b in zip(*np.nonzero(mask), strict=True):
         r, s = root(int(ids[a])), root(int(ids[b]))
         parent[max(r, s)] = min(r, s)
-    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in ego.linked(df, 0.95).where("vec_id < 900").collect())
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in ego.linked(df, 0.95, block, group, tile).where("vec_id < 900").collect())
     assert got == sorted((int(i), int(n), root(int(i))) for i, n in zip(ids, mask.sum(1), strict=True))
-    odd = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in ego.linked(df).where("vec_id >= 900 or vec_id is null").collect()}
+    found = ego.linked(df.union(spark_row(df, 7, None)).union(spark_row(df, 7, [0.0] * 16)))  # the id has usable rows as well
+    assert found.count() == df.count() + 2 and found.where("vec_id = 7").count() == 4
+    odd = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found.where("vec_id >= 900 or vec_id is null").collect()}
     assert odd == {**{i: (0, i) for i in range(900, 906)}, None: (0, None)}
     assert ego.linked(df.where("false")).count() == 0
 
 
+def spark_row(df, vec_id, vector):
+    return df.sparkSession.createDataFrame([(vec_id, vector, "x", 1)], df.schema)
+
+
 def test_forest_spans_its_links():
     rng = np.random.default_rng(0)
     a, b = np.arange(50), np.arange(30, 90)
@@ -375,25 +422,98 @@ def test_sharding(spark, docs, tmp_path):
     wanted = collections.Counter(map(str, docs.collect()))
     assert collections.Counter(map(str, store.read().collect())) == {k: 9 * n for k, n in wanted.items()}
     assert store.read(9).count() == store.read().count() and store.read(1).count() == docs.count()
-    store.vacuum()
+    files = lambda: len(store._files(f"{store.path}/data"))
+    many = files()
+    store.vacuum()  # young files stay
+    assert files() == many
+    store.vacuum(age=0)
+    assert files() == len(after) < many
     assert collections.Counter(map(str, store.read().collect())) == {k: 9 * n for k, n in wanted.items()}
+    assert store.read().count() == sum(s.rows for s in store.shards())
     with pytest.raises(sharding.Conflict):
         store._commit(store.version(), "{}", [])
     store.append(docs.where("false"))
     assert store.read().count() == 9 * docs.count()
 
 
+@pytest.mark.parametrize("name", ["a+b", "a b", "a%20b", "ä:=&#"])
+def test_stores_at_odd_paths_lose_nothing(spark, tmp_path, name):
+    store = sharding.ShardStore(spark, str(tmp_path / name))
+    for i in range(5):
+        store.append(spark.range(10 * i, 10 * i + 10, numPartitions=1))
+    store.compact(fan_in=2)
+    store.vacuum(age=0)
+    assert len(store.shards()) < 5 and sorted(r[0] for r in store.read().collect()) == list(range(50))
+
+
+def test_a_merge_that_loses_rows_is_not_committed(spark, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, str(tmp_path / "store"))
+    for i in range(4):
+        store.append(spark.range(5, numPartitions=1))
+    write = store._write
+    monkeypatch.setattr(store, "_write", lambda df, version: write(df.limit(19), version))
+    with pytest.raises(RuntimeError, match="20 rows were read and 19 written"):
+        store.compact()
+    assert store.version() == 4 and store.read().count() == 20
+
+
+def test_two_writers(spark, tmp_path):
+    """Another writer commits while shards are merged: what it appended stays, what it dropped is not brought back."""
+    one, two = (sharding.ShardStore(spark, str(tmp_path / "store")) for _ in range(2))
+    for i in range(4):
+        one.append(spark.range(5, numPartitions=1))
+    merge = one._merged
+
+    def meanwhile(found, runs):
+        fresh = merge(found, runs)
+        one._merged = merge
+        two.append(spark.range(100, 103, numPartitions=1))
+        return fresh
+
+    one._merged = meanwhile
+    one.compact()
+    assert one.read().count() == 23 and len(one.shards()) == 2
+    for i in range(3):
+        one.append(spark.range(5, numPartitions=1))
+
+    def at_once(found, runs):
+        fresh = merge(found, runs)
+        one._merged = merge
+        two.compact()
+        return fresh
+
+    one._merged = at_once
+    one.compact(fan_in=2)
+    assert one.read().count() == 38
+    for i in range(14):  # over a snapshot
+        one.append(spark.range(1, numPartitions=1))
+    assert one.version() > sharding.SNAPSHOT and one.read().count() == 52 and one.read(1).count() == 5
+
+
 def test_compaction_plan():
     shards = [sharding.Shard(f"s{i}", 10) for i in range(7)] + [sharding.Shard("big", 1000), sharding.Shard("lone", 300)]
     runs = sharding.plan(shards, 40, 4)
     assert [len(r) for r in runs] == [4] and sharding.plan(shards[:3], 100, 4) == []
 
 
+def equals_its_sql(name, found, sf_dir=SMALL):
+    connection = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        connection.sql(f"CREATE VIEW {table} AS FROM '{sf_dir}/{table}.parquet'")
+    columns = ", ".join(found.columns)
+    return sorted(map(tuple, found.collect())) == sorted(connection.sql(f"SELECT {columns} FROM ({queries.ORACLE_SQL[name]})").fetchall())
+
+
 def test_op7_holds_every_document_once(spark):
-    rows = sharding.op7_sharding(spark, SMALL)
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    assert sorted((r["doc_id"], r["n_bytes"]) for r in rows.collect()) == sorted((r["doc_id"], len((r["text"] or "").encode())) for r in docs.collect())
-    assert rows.groupBy("shard", "row").count().where("count > 1").count() == 0
+    assert equals_its_sql("op7_sharding", sharding.op7_sharding(spark, SMALL))
+
+
+def test_op6_equals_its_sql(spark):
+    assert equals_its_sql("op6_linked", ego.op6_linked(spark, SMALL))
+
+
+def test_op8_equals_its_sql(spark):
+    assert equals_its_sql("op8_minhash", minhash.op8_minhash(spark, SMALL))
 
 
 # 8: MinHash
@@ -441,10 +561,32 @@ def test_near_duplicates(spark, words, percent):
 
 def test_unresolved_buckets_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BUCKET", 3)
-    monkeypatch.setattr(minhash, "CLUSTER", 2)
+    monkeypatch.setattr(minhash, "CLUSTER", 2000)
+    monkeypatch.setattr(minhash, "MANY", 2)
     check_near_duplicates(spark, 3, 85)
 
 
+def test_a_cluster_whose_first_member_is_unlike_the_rest(spark, monkeypatch):
+    """The hub of every bucket links with nobody, the others with some: found by further members and by blocks."""
+    monkeypatch.setattr(minhash, "MANY", 8)
+    monkeypatch.setattr(minhash, "CLUSTER", 20_000)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(w if rng.random() > 0.05 else "x" for w in base)]
+    for family in range(3):
+        own = [w if rng.random() > 0.04 else f"f{family}" for w in base]
+        texts += [" ".join([*own[: 5 * (i % 3)], f"n{i}", *own[5 * (i % 3) :]]) for i in range(12)]
+    sets = sets_of(texts, 3)
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    groups = []
+    for i in range(len(texts)):
+        met = [g for g in groups if any(near(i, j) for j in g)]
+        groups = [g for g in groups if g not in met] + [sum(met, [i])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 3, 85).collect()}
+    assert got == {i: min(g) for g in groups for i in g} and len(groups) < len(texts) - 20
+
+
 def test_estimate_is_corrected_for_chance():
     rng = np.random.default_rng(0)
     shared = rng.integers(0, 2**63, 800, dtype=np.uint64)
@@ -489,6 +631,60 @@ def test_identity_terms_weigh_alike():
     assert gap(fair) < 0.3 * gap(plain) and fair("vermin") > 0.5
 
 
+def test_op10_leaves_neutral_mentions_alone(spark, tmp_path):
+    """Toxic documents that often name a group: with the twins its neutral mentions are not flagged, without them they are."""
+    rng = random.Random(4)
+    filler = ["walk", "tree", "house", "river", "green", "paper", "music", "stone", "cloud", "bread"]
+    rows, marks = [], []
+    for i in range(1200):
+        words, toxic = [rng.choice(filler) for _ in range(8)], rng.random() < 0.35
+        group = rng.choice(["muslims"] * 6 + ["women"]) if toxic else rng.choice(["muslims", *["christians", "women", "men"] * 4])
+        rows.append((i, " ".join([*words, group, *(["vermin"] if toxic and rng.random() < 0.9 else [])]), "en", "src0", 9))
+        marks.append((i, int(toxic), 0))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0, t) for i, t, _ in marks], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, labels = (spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("documents", "labels"))
+    neutral = {i for i, t, *_ in rows if "muslims" in t and "vermin" not in t}
+    flagged = lambda scored: {r["doc_id"] for r in scored.where(F.col("score") >= 0.3).collect()}
+    fair, plain = flagged(toxicity.op10_toxicity(spark, str(tmp_path))), flagged(toxicity.score_documents(docs, toxicity.fit(docs, labels, swap=0.0)))
+    assert len(neutral & plain) > 0.8 * len(neutral) and len(neutral & fair) < 0.1 * len(neutral)
+    assert {i for i, t, *_ in rows if "vermin" in t} <= fair
+    model = toxicity.fit(docs, labels)
+    assert model.swapped > 500 and model.put == 0
+
+
+def test_distributed_training_equals_the_driver_s(spark):
+    """Counts, choice of features and twins by Spark against the same on the driver, and the steps against plain loops."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.where("toxic is not null").where(~toxicity.held_out()).join(docs, "doc_id").orderBy(F.xxhash64("doc_id")).select("text", "toxic").collect()
+    one, two = toxicity.fit(docs, labels), toxicity.train([r["text"] or "" for r in known], [r["toxic"] for r in known])
+    assert (one.swapped, one.put) == (two.swapped, two.put) and one.put > 0
+    assert one.weights.keys() == two.weights.keys() and all(one.weights[c] == pytest.approx(two.weights[c], abs=1e-6) for c in one.weights)
+    chosen, sets, y = np.array([1, 2, 3], np.uint32), [[1, 2], [2], [3, 9], []], [1, 0, 1, 0]
+    pairs = [([1], [2], 3), ([], [3], 1)]
+    made = toxicity.optimised(chosen, [np.array(s, np.uint32) for s in sets], y, [(np.array(a, np.uint32), np.array(b, np.uint32), n) for a, b, n in pairs], 0.01, 2.0, 40)
+    w, b = {1: 0.0, 2: 0.0, 3: 0.0}, 0.0
+    m, v, mb, vb = dict(w), dict(w), 0.0, 0.0
+    for step in range(1, 41):
+        g, gb = {c: 0.01 * w[c] for c in w}, 0.0
+        for s, t in zip(sets, y, strict=True):
+            e = (1 / (1 + np.exp(-(b + sum(w.get(c, 0) for c in s)))) - t) / 4
+            gb += e
+            for c in s:
+                if c in w:
+                    g[c] += e
+        for own, twin, n in pairs:
+            change = sum(w[c] for c in own) - sum(w[c] for c in twin)
+            for c, sign in [(c, 1) for c in own] + [(c, -1) for c in twin]:
+                g[c] += 2 * 2.0 * n / 4 * change * sign
+        for c in w:
+            m[c], v[c] = 0.9 * m[c] + 0.1 * g[c], 0.999 * v[c] + 0.001 * g[c] ** 2
+            w[c] -= 0.1 * (m[c] / (1 - 0.9**step)) / ((v[c] / (1 - 0.999**step)) ** 0.5 + 1e-8)
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
+        b -= 0.1 * (mb / (1 - 0.9**step)) / ((vb / (1 - 0.999**step)) ** 0.5 + 1e-8)
+    assert made.weights == pytest.approx(w, abs=1e-9) and made.bias == pytest.approx(b)
+
+
 def test_toxicity_edges(spark, docs, nothing):
     labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1), (3, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
