@@ -3,7 +3,11 @@ later copies, sources are interleaved to their target weights, and the rest is p
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written and read again as the next one's ``docs``. The mixing
 stage decides the order. Files are not read again in the order they were written in, so packing works out the same
-positions (they depend on ids and sources only), deals its tasks ranges of them, and fills its sequences in that order.
+positions (they depend on ids, sources and texts only), deals its tasks ranges of them, and fills its sequences in that order.
+
+Defined cases: a null text is empty, counts as clean and as nobody's copy, and is packed as its end id; rows with a null id are kept
+by every stage; rows that share an id are one document to the near-duplicate stage (they stay or go together) and pack one by
+one; further columns, however they are called, go through all stages but the last; empty tables give empty results.
 """
 
 from __future__ import annotations
