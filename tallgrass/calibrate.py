@@ -11,10 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallgrass.functions.quantiles import z_quantile
-from tallgrass.operators import estimators
+from tallgrass.functions.quantiles import adjusted_level, z_quantile
+from tallgrass.operators import cluster, estimators
 from tallgrass.operators.estimators import AVG, COUNT, SUM, Agg
-from tallgrass.operators.sampling import SCALE
+from tallgrass.operators.sampling import BLOCK, SCALE
 
 ROWS, DOMAIN = 40_000, 0.35
 
@@ -47,7 +47,13 @@ def laid_out(df: DataFrame, order: str) -> DataFrame:
     """``df`` with ``place``: rows shuffled, sorted by value ("clustered"), or sorted within bands ("banded")."""
     mixed = F.xxhash64("id")
     by = {"shuffled": [mixed], "clustered": [F.col("x"), mixed], "banded": [F.floor(F.col("x") / 10), mixed]}[order]
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*by)) - 1)
+    # ranges of the order over all tasks; a row's place is that within its task and the rows of the tasks before (a row a task)
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__id", F.monotonically_increasing_id()).persist()
+    part, within = F.shiftrightunsigned("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    sizes = dealt.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__part", before.alias("__before"))
+    return dealt.withColumn("__part", part).join(F.broadcast(sizes), "__part").withColumn("place", F.col("__before") + within).drop("__id", "__part", "__before")
 
 
 def wilson(hits: int, n: int, level: float = 0.95) -> tuple[float, float]:
@@ -93,3 +99,39 @@ def study(spark: SparkSession, shape: str, func: str, fraction: float = 0.1, tri
     covered = cells.where((F.col("ci_low") <= truth) & (F.col("ci_high") >= truth)).count()
     people.unpersist()
     return Coverage(shape, func, trials, covered, level)
+
+
+def simultaneous(spark: SparkSession, shape: str, func: str, fraction: float = 0.2, trials: int = 100, rows: int = 6000, level: float = 0.95, adjust: str = "bonferroni") -> Coverage:
+    """How often the intervals of all groups (of falling size) of a trial hold together, at a level adjusted for their number."""
+    people = population(spark, shape, rows).where("g <= 6").persist()
+    size = people.count()
+    agg = Agg(func, None if func == COUNT else F.col("x"), "a")
+    truth = people.groupBy("g").agg({COUNT: F.count("*").cast("double"), SUM: F.sum("x"), AVG: F.avg("x")}[func].alias("truth")).persist()
+    one = adjusted_level(level, truth.count(), adjust)
+    n = round(fraction * size)
+    first = F.row_number().over(Window.partitionBy("trial").orderBy(F.xxhash64(F.lit(99), "trial", "id")))
+    drawn = spark.range(trials).withColumnRenamed("id", "trial").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(rows - 1).cast("long"))))
+    drawn = drawn.join(people, F.col("other") == F.col("id")).withColumn("nth", first).where(F.col("nth") <= n)
+    stats = estimators.statistics(drawn, [F.col("trial"), F.col("g")], [agg])
+    cells = estimators.intervals(estimators.long_cells(stats, ["trial", "g"], [agg]), n, size, one).join(truth, "g")
+    held = cells.groupBy("trial").agg(F.count_if((F.col("ci_low") <= F.col("truth")) & (F.col("ci_high") >= F.col("truth"))).alias("k"))
+    covered = held.where(F.col("k") == truth.count()).count()
+    people.unpersist()
+    truth.unpersist()
+    return Coverage(shape, func, trials, covered, level)
+
+
+def study_blocks(spark: SparkSession, order: str, func: str = AVG, fraction: float = 0.2, trials: int = 60, rows: int = 16_000, block: int = 40, level: float = 0.95) -> Coverage:
+    """Coverage of the block-sample intervals over a layout ("shuffled", "clustered" or "banded")."""
+    placed = laid_out(population(spark, "normal", rows), order).withColumn(BLOCK, F.expr(f"place div {block}")).persist()
+    truth = placed.agg({COUNT: F.count("*").cast("double"), SUM: F.sum("x"), AVG: F.avg("x")}[func]).first()[0]
+    agg, total = Agg(func, None if func == COUNT else F.col("x"), "a"), rows // block
+    m = round(fraction * total)
+    nth = F.row_number().over(Window.partitionBy("trial").orderBy(F.xxhash64(F.lit(7), "trial", "picked")))
+    drawn = spark.range(trials).withColumnRenamed("id", "trial").withColumn("picked", F.explode(F.sequence(F.lit(0), F.lit(total - 1).cast("long"))))
+    drawn = drawn.withColumn("nth", nth).where(F.col("nth") <= m).join(placed, F.col("picked") == F.col(BLOCK))
+    summary = cluster.block_summary(cluster.block_totals(drawn, [F.col("trial")], [agg]), ["trial"], [agg])
+    cells = cluster.cluster_grid(summary, ["trial"], [agg], m, total, level)
+    covered = cells.where((F.col("ci_low") <= truth) & (F.col("ci_high") >= truth)).count()
+    placed.unpersist()
+    return Coverage(order, func, trials, covered, level)

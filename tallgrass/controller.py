@@ -11,13 +11,15 @@ import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.functions.quantiles import adjusted_level, look_alpha
+from tallgrass.functions.quantiles import adjusted_level
 from tallgrass.operators import cluster, estimators, joins, sampling
 from tallgrass.plans.frontend import AqpQuery, finish
+from tallgrass.sequential import Sequential
 from tallgrass.sources.tables import Populations, below_views, leaves_of
 
 
@@ -43,9 +45,12 @@ RUNGS = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 1.00)
 #: Growth of the fraction by (pseudo-)confidence in percent.
 GROWTH = ((50, 4.0), (70, 2.0), (90, 1.5), (math.inf, 1.25))
 
-INCOMPLETE_LOOKS, GROUP_CEILING, LEAST_ROWS = 4, 50_000, 20_000
+#: Tables of fewer rows are read at once: up to there a scan is no slower than a look.
+INCOMPLETE_LOOKS, GROUP_CEILING, LEAST_ROWS = 4, 50_000, 1_000_000
 #: From so many files on a table is sampled by whole files: looks then read no more than their share of it.
 FILES_FROM = 100
+#: Up to so many groups the statistics of a look stand on the driver: one job a look, nothing is cached.
+FEW_GROUPS = 500
 
 
 def for_target(mode: str, target: float | None) -> Mode:
@@ -157,22 +162,33 @@ class Controller:
 
     # one look: cells, units of the sample (rows, blocks or files), groups, and the table behind the cells
 
+    @staticmethod
+    def kept(stats: DataFrame) -> tuple[DataFrame, pa.Table | None]:
+        """Statistics that are computed once: of few groups a table on the driver (and its rows), else one that executors hold."""
+        own = stats.limit(FEW_GROUPS + 1).toArrow()
+        if len(own) <= FEW_GROUPS:
+            return stats.sparkSession.createDataFrame(own, stats.schema), own
+        return stats.persist(), None
+
     def row_cells(self, query: AqpQuery, fraction: float, total: int, level: float, seed: int) -> Seen:
         """A Bernoulli look at one table. The sample is counted and summed up in one pass; a full look lets the predicate
         into the scan."""
         keys = [c.alias(k) for k, c in query.keys.items()]
         if fraction >= 1:
-            found = estimators.statistics(query.fact, keys, query.aggs, query.where).persist()
-            n, groups, stats = total, found.count(), found
+            found, own = self.kept(estimators.statistics(query.fact, keys, query.aggs, query.where))
+            n, groups, stats = total, len(own) if own is not None else found.count(), found
         else:
             rows = sampling.bernoulli(query.fact, fraction, seed).rows
             if query.subquery:  # cannot be counted beside the rows that it leaves out
-                found = estimators.statistics(rows, keys, query.aggs, query.where).persist()
-                n, groups = rows.count(), found.count()
+                found, own = self.kept(estimators.statistics(rows, keys, query.aggs, query.where))
+                n, groups = rows.count(), len(own) if own is not None else found.count()
                 one = adjusted_level(level, max(1, groups) * len(query.aggs))
                 return Seen(estimators.grid(found, list(query.keys), query.aggs, n, total, one), n, groups, found)
-            found = estimators.counted_statistics(rows, keys, query.aggs, query.where).persist()
-            n, groups = found.agg(F.coalesce(F.sum("n_bucket"), F.lit(0)), F.count_if(F.col("n_rows") > 0)).first()
+            found, own = self.kept(estimators.counted_statistics(rows, keys, query.aggs, query.where))
+            if own is not None:
+                n, groups = sum(own["n_bucket"].to_pylist()), sum(x > 0 for x in own["n_rows"].to_pylist())
+            else:
+                n, groups = found.agg(F.coalesce(F.sum("n_bucket"), F.lit(0)), F.count_if(F.col("n_rows") > 0)).first()
             stats = found.where("n_rows > 0") if keys else found
         one = adjusted_level(level, max(1, groups) * len(query.aggs))
         return Seen(estimators.grid(stats, list(query.keys), query.aggs, n, total, one, universe=query.universe), n, groups, found)
@@ -183,8 +199,8 @@ class Controller:
         rows = rows if query.where is None else rows.where(query.where)
         keys = [c.alias(k) for k, c in query.keys.items()]
         totals = cluster.block_totals(rows, keys, query.aggs)
-        summary = cluster.block_summary(totals, list(query.keys), query.aggs).persist()
-        groups = summary.count()
+        summary, own = self.kept(cluster.block_summary(totals, list(query.keys), query.aggs))
+        groups = len(own) if own is not None else summary.count()
         one = adjusted_level(level, max(1, groups) * len(query.aggs))
         return Seen(cluster.cluster_grid(summary, list(query.keys), query.aggs, m, total, one), m, groups, summary)
 
@@ -201,7 +217,10 @@ class Controller:
 
     # the loop
 
-    def run(self, query: AqpQuery, mode: str = "balanced", target: float | None = None, alpha: float = 0.05, seed: int = 1, block_rows: int = sampling.BLOCK_ROWS, on_look: Callable[[Look], None] | None = None, least_rows: int = LEAST_ROWS) -> Answer:
+    def run(
+        self, query: AqpQuery, mode: str = "balanced", target: float | None = None, alpha: float = 0.05, seed: int = 1,
+        block_rows: int = sampling.BLOCK_ROWS, on_look: Callable[[Look], None] | None = None, least_rows: int = LEAST_ROWS,
+    ) -> Answer:
         """The answer within the target, as far as the mode's ladder and time budget go."""
         files = self.files(query.fact)
         by_file = files >= FILES_FROM
@@ -220,8 +239,9 @@ class Controller:
             fraction = max(fraction, joins.starting_rate(total, self.guessed_groups(query, total), len(query.joins)))
             blocks = sampling.count_blocks(query.fact, block_rows)
         began, looks, before, seen, recounted = self.clock(), [], None, None, False
+        trace = Sequential(alpha, target=wanted)
         while True:
-            level, start, last = 1 - look_alpha(alpha, len(looks) + 1), self.clock(), seen
+            level, start, last = trace.level(), self.clock(), seen
             try:
                 if by_file:
                     seen = self.file_cells(query, fraction, total, level, seed)
@@ -242,9 +262,8 @@ class Controller:
                 total, expected, recounted = self.populations.rows(query.fact), self.expected_groups(query), True
                 continue
             missing = fraction < 1 and bool(query.keys) and (groups < expected if expected is not None else before is None or groups != before)
-            met = count > 0 and open_ == 0 and width is not None and width <= wanted
-            if (by_file or query.joins) and fraction < 1 and n < cluster.LEAST_BLOCKS:
-                met = False
+            few = (by_file or query.joins) and fraction < 1 and n < cluster.LEAST_BLOCKS
+            met = trace.look(fraction, width if count and not open_ and not few else None)
             look = Look(fraction, n, self.clock() - start, self.clock() - began, level, width, open_, groups, missing, met)
             looks.append(look)
             if on_look:

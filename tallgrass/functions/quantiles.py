@@ -57,22 +57,36 @@ def t_quantile(level: float, df: int) -> float:
 TABLE = 60
 
 
-def t_column(level: float, df: Column | int) -> Column:
-    """The same as a column: a literal for a number, else a table of the first ``TABLE`` values and Fisher's expansion."""
-    if isinstance(df, int):
-        return F.lit(t_quantile(level, df) if df >= 1 else None).cast("double")
-    z, n = z_quantile(level), df.cast("double")
-    terms = (
+def fisher(level: float) -> tuple[float, ...]:
+    """Coefficients of 1 / df, 1 / df^2, ... in the expansion of the quantile around the normal one."""
+    z = z_quantile(level)
+    return (
         (z**3 + z) / 4,
         (5 * z**5 + 16 * z**3 + 3 * z) / 96,
         (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
         (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
     )
-    expansion = F.lit(z)
-    for power, term in enumerate(terms, 1):
+
+
+def t_sql(level: float, df: str | int) -> str:
+    """The same as SQL text: a literal for a number, else a table of the first ``TABLE`` values and Fisher's expansion."""
+    if isinstance(df, int):
+        return f"({t_quantile(level, df)!r}D)" if df >= 1 else "CAST(NULL AS DOUBLE)"
+    z = z_quantile(level)
+    expansion = " + ".join([f"({z!r}D)", *(f"({term!r}D) / pow({df}, {power}D)" for power, term in enumerate(fisher(level), 1))])
+    table = ", ".join(f"({t_quantile(level, k)!r}D)" for k in range(1, TABLE + 1))
+    return f"CASE WHEN {df} >= {NORMAL_FROM} THEN ({z!r}D) WHEN {df} > {TABLE} THEN {expansion} WHEN {df} >= 1 THEN element_at(array({table}), CAST({df} AS INT)) END"
+
+
+def t_column(level: float, df: Column | int) -> Column:
+    """The same as a column."""
+    if isinstance(df, int):
+        return F.expr(t_sql(level, df))
+    z, n = F.lit(z_quantile(level)), df.cast("double")
+    table, expansion = F.expr(f"array({', '.join(f'({t_quantile(level, k)!r}D)' for k in range(1, TABLE + 1))})"), z
+    for power, term in enumerate(fisher(level), 1):
         expansion = expansion + term / F.pow(n, F.lit(float(power)))
-    table = F.array(*(F.lit(t_quantile(level, k)) for k in range(1, TABLE + 1)))
-    return F.when(n >= NORMAL_FROM, F.lit(z)).when(n > TABLE, expansion).when(n >= 1, F.element_at(table, n.cast("int")))
+    return F.when(n >= NORMAL_FROM, z).when(n > TABLE, expansion).when(n >= 1, F.element_at(table, n.cast("int")))
 
 
 def bernstein(variance: Column, spread: Column, n: Column, level: float) -> Column:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.functions.quantiles import bernstein, hoeffding, rule_of_three, t_column
+from tallgrass.functions.quantiles import t_column, t_sql
 
 COUNT, SUM, AVG = "count", "sum", "avg"
 
@@ -108,44 +108,6 @@ def counted_statistics(rows: DataFrame, keys: list[Column], aggs: list[Agg], whe
     return rows.groupBy(*keys).agg(F.count("*").alias("n_bucket"), inside.alias("n_rows"), *(cell_statistics(a, where).alias(a.alias) for a in aggs))
 
 
-# Moments of a cell. n: rows of the sample, c: struct of statistics.
-
-
-def squares(c: Column) -> Column:
-    """Sum of squared deviations inside the domain; by the sample variance where it is there, which does not cancel."""
-    n = c["n_domain"].cast("double")
-    return F.coalesce((n - 1) * c["variance"], F.greatest(F.lit(0.0), c["sum_xx"] - c["sum_x"] * c["sum_x"] / n))
-
-
-def expanded_variance(c: Column, n: Column) -> Column:
-    """Variance of x inside and 0 outside the domain, over the whole sample."""
-    d = c["n_domain"].cast("double")
-    return F.when(d > 0, (F.coalesce(squares(c), F.lit(0.0)) + c["sum_x"] * c["sum_x"] * (n - d) / (d * n)) / (n - 1))
-
-
-def expanded_skewness(c: Column, n: Column) -> Column:
-    """Skewness of the expanded variable, corrected for its size."""
-    m1, m2, m3 = c["sum_x"] / n, c["sum_xx"] / n, c["sum_xxx"] / n
-    variance = m2 - m1 * m1
-    third = m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1
-    return F.when((variance > 0) & (n > 2), third / F.pow(variance, 1.5) * F.sqrt(n * (n - 1)) / (n - 2))
-
-
-def expanded_range(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), c["max_x"]) - F.least(F.lit(0.0), c["min_x"])
-
-
-def precision_is_doubtful(c: Column) -> Column:
-    """Whether the raw sums have lost the variance to cancellation (the sample variance has not)."""
-    n = c["n_domain"].cast("double")
-    left = c["sum_xx"] - c["sum_x"] * c["sum_x"] / n
-    return (c["sum_xx"] > 0) & (F.abs(left) / c["sum_xx"] < CANCELLED)
-
-
-def observations_needed(skewness: Column) -> Column:
-    return ROWS_PER_SKEW * skewness * skewness
-
-
 FIELDS = ("estimate", "variance", "df", "ci_low", "ci_high", "half_width", "relative_half_width", "method", "note")
 
 
@@ -163,62 +125,87 @@ def intervals(cells: DataFrame, n: int, total: int, level: float = 0.95, method:
     to choose for each cell; ``funcs``: all functions at hand, if known. The work is laid out in steps, so that each expression
     is evaluated once.
     """
-    f, rest = n / total if total else 1.0, max(0.0, 1 - n / total) if total else 0.0
-    size, whole, census = F.lit(float(n)), float(total), n >= total
-    col, none = F.col, F.lit(None).cast("double")
-    is_count, is_sum = only(COUNT, funcs), only(SUM, funcs)
-    c = {k: col(k) for k in STATISTICS}
-    d = col("__d")
-    steps = cells.withColumn("__d", col("n_domain").cast("double"))
-    steps = steps.withColumn("__ss", squares(c))
-    steps = steps.withColumns({
-        "__spread": F.when(is_count, 1.0).when(is_sum, expanded_range(c)).otherwise(col("max_x") - col("min_x")),
-        "__var": F.when(is_count, size * (d / size) * (1 - d / size) / (size - 1)).when(is_sum, expanded_variance(c, size)).otherwise(F.when(d >= 2, col("__ss") / (d - 1))),
-        "__skew": F.when(is_count, none).when(is_sum, expanded_skewness(c, size)).otherwise(col("skewness")),
-        "__rows": F.when(is_count | is_sum, size).otherwise(d),
-        "estimate": F.when(is_count, d / f).when(is_sum, col("sum_x") / f).otherwise(F.when(d > 0, col("sum_x") / d)),
-    })
-    steps = steps.withColumns({
-        "variance": F.when(is_count | is_sum, whole * whole * rest / n * col("__var")).otherwise(F.when(d >= 2, rest * n * col("__ss") / (d * d * (n - 1)))) * col("effect") if n > 1 else none,
-        "df": F.when(is_count | is_sum, size - 1).otherwise(d - 1),
-        "__size": col("__rows") / col("effect"),
-        "__scale": F.when(is_count | is_sum, whole).otherwise(1.0),
-        "method": F.lit(method) if method else F.when(~is_count & col("__skew").isNotNull() & col("max_x").isNotNull() & (col("__rows") < observations_needed(col("__skew"))), "bernstein").otherwise("clt"),
-    })
-    normal = F.when(is_count | is_sum, t_column(level, n - 1)).otherwise(t_column(level, col("df"))) * F.sqrt("variance")
-    concentrated = col("__scale") * bernstein(col("__var"), col("__spread"), col("__size"), level)
-    bounded = col("__scale") * hoeffding(col("__spread"), col("__size"), level)
-    steps = steps.withColumn("__flat", F.coalesce(col("variance") <= 0, F.lit(True)))
-    steps = steps.withColumn("__half", F.when(~col("__flat"), F.when(col("method") == "bernstein", concentrated).when(col("method") == "hoeffding", bounded).otherwise(normal)))
+    # as SQL text: some dozens of expressions are parsed here, where building them piece by piece takes thousands of calls
+    f, rest, whole, census = n / total if total else 1.0, max(0.0, 1 - n / total) if total else 0.0, float(total), n >= total
+    is_count, is_sum = (f"(func = '{k}')" if funcs is None or (k in funcs and len(funcs) > 1) else str(k in funcs) for k in (COUNT, SUM))
+    nothing = "CAST(NULL AS DOUBLE)"
+    size, share = (number(x) if x else nothing for x in (n, f))
+    d, three = "__d", number(math.log(3 / (1 - level)))
+    by_sign = lambda one, two, other: f"CASE WHEN {is_count} THEN {one} WHEN {is_sum} THEN {two} ELSE {other} END"
+    totals = f"({is_count} OR {is_sum})"
+    m1, m2, m3 = (f"({k} / {size})" for k in ("sum_x", "sum_xx", "sum_xxx"))
+    second = f"({m2} - {m1} * {m1})"
+    expanded = f"CASE WHEN {d} > 0 THEN (coalesce(__ss, 0D) + sum_x * sum_x * ({size} - {d}) / ({d} * {size})) / ({size} - 1) END"
+    skewed = f"CASE WHEN {second} > 0 AND {size} > 2 THEN ({m3} - 3 * {m1} * {m2} + 2 * {m1} * {m1} * {m1}) / pow({second}, 1.5D) * sqrt({size} * ({size} - 1)) / ({size} - 2) END"
+    steps = cells.withColumn("__d", F.expr("CAST(n_domain AS DOUBLE)"))
+    steps = steps.withColumn("__ss", F.expr(f"coalesce(({d} - 1) * variance, CASE WHEN {d} > 0 THEN greatest(0D, sum_xx - sum_x * sum_x / {d}) END)"))
+    steps = steps.withColumns({k: F.expr(v) for k, v in {
+        "__spread": by_sign("1D", "greatest(0D, max_x) - least(0D, min_x)", "max_x - min_x"),
+        "__var": by_sign(f"{size} * ({d} / {size}) * (1 - {d} / {size}) / ({size} - 1)" if n > 1 else nothing, expanded if n > 1 else nothing, f"CASE WHEN {d} >= 2 THEN __ss / ({d} - 1) END"),
+        "__skew": by_sign(nothing, skewed, "skewness"),
+        "__rows": f"CASE WHEN {totals} THEN {size} ELSE {d} END",
+        "estimate": by_sign(f"{d} / {share}", f"sum_x / {share}", f"CASE WHEN {d} > 0 THEN sum_x / {d} END"),
+    }.items()})
+    spread_of_mean = f"CASE WHEN {d} >= 2 THEN {number(rest * n)} * __ss / ({d} * {d} * ({size} - 1)) END"
+    bernstein_rows = f"{ROWS_PER_SKEW} * __skew * __skew"
+    steps = steps.withColumns({k: F.expr(v) for k, v in {
+        "variance": f"(CASE WHEN {totals} THEN {number(whole * whole * rest / n)} * __var ELSE {spread_of_mean} END) * effect" if n > 1 else nothing,
+        "df": f"CASE WHEN {totals} THEN {size} - 1 ELSE {d} - 1 END",
+        "__size": "__rows / effect",
+        "__scale": f"CASE WHEN {totals} THEN {number(whole)} ELSE 1D END",
+        "method": f"'{method}'" if method else f"CASE WHEN NOT {is_count} AND __skew IS NOT NULL AND max_x IS NOT NULL AND __rows < {bernstein_rows} THEN 'bernstein' ELSE 'clt' END",
+    }.items()})
+    steps = steps.withColumn("__t", F.expr(f"CASE WHEN {totals} THEN {t_sql(level, n - 1)} ELSE {t_sql(level, 'df')} END"))
+    normal = "__t * sqrt(variance)"
+    concentrated = f"__scale * (sqrt(2 * __var * {three} / __size) + CASE WHEN __size <> 1 THEN 3 * __spread * {three} / (__size - 1) END)"
+    bounded = f"__scale * __spread * sqrt({number(math.log(2 / (1 - level)) / 2)} / __size)"
+    steps = steps.withColumn("__flat", F.expr("coalesce(variance <= 0, true)"))
+    steps = steps.withColumn("__half", F.expr(f"CASE WHEN NOT __flat THEN CASE method WHEN 'bernstein' THEN {concentrated} WHEN 'hoeffding' THEN {bounded} ELSE {normal} END END"))
     # counts at the edge: nothing seen, or nothing else seen
-    three = F.least(F.lit(whole), whole * rule_of_three(size / col("effect"), level))
-    steps = steps.withColumns({"__empty": is_count & (d == 0), "__full": is_count & (d == n), "__three": three})
-    edge = col("__empty") | col("__full")
-    known = F.lit(census) | (is_count & col("known"))
-    steps = steps.withColumn("estimate", F.when(is_count & col("known"), whole).otherwise(col("estimate")))
-    low = col("estimate") - col("__half")
-    low = F.when(is_count | (is_sum & (col("min_x") >= 0)), F.greatest(F.lit(0.0), low)).otherwise(low)
-    steps = steps.withColumns({
-        "ci_low": F.when(known, col("estimate")).when(col("__empty"), 0.0).when(col("__full"), whole - col("__three")).otherwise(F.when(col("__half").isNotNull(), low)),
-        "ci_high": F.when(known, col("estimate")).when(col("__empty"), col("__three")).when(col("__full"), whole).otherwise(col("estimate") + col("__half")),
-        "half_width": F.when(known & col("estimate").isNotNull(), 0.0).when(edge, col("__three")).otherwise(col("__half")),
-        "note": F.when(known | edge, F.lit(None).cast("string")).when(~is_count & ~is_sum & (d < 2), "undefined: fewer than two rows").when(col("__flat"), "degenerate: no spread in the sample"),
-    })
-    steps = steps.withColumns({
-        "relative_half_width": F.when(col("half_width") == 0, 0.0).when(col("estimate") != 0, col("half_width") / F.abs("estimate")),
-        "variance": F.when(known, 0.0).otherwise(col("variance")),
-        "method": F.when(F.lit(census), "census").when(known, "known").when(edge, "rule_of_three").otherwise(col("method")),
-    })
+    edge, known = "(__empty OR __full)", f"({census} OR ({is_count} AND known))"
+    steps = steps.withColumns({k: F.expr(v) for k, v in {
+        "__three": f"least({number(whole)}, {number(whole)} * {number(-math.log(1 - level))} / ({size} / effect))" if n > 0 else number(whole),
+        "__empty": f"{is_count} AND {d} = 0",
+        "__full": f"{is_count} AND {d} = {size}",
+        "estimate": f"CASE WHEN {is_count} AND known THEN {number(whole)} ELSE estimate END",
+    }.items()})
+    low = f"CASE WHEN {is_count} OR ({is_sum} AND min_x >= 0) THEN greatest(0D, estimate - __half) ELSE estimate - __half END"
+    cancelled = f"NOT {is_count} AND sum_xx > 0 AND {d} > 0 AND abs(sum_xx - sum_x * sum_x / {d}) / sum_xx < {number(CANCELLED)}"
+    steps = steps.withColumns({k: F.expr(v) for k, v in {
+        "ci_low": f"CASE WHEN {known} THEN estimate WHEN __empty THEN 0D WHEN __full THEN {number(whole)} - __three WHEN __half IS NOT NULL THEN {low} END",
+        "ci_high": f"CASE WHEN {known} THEN estimate WHEN __empty THEN __three WHEN __full THEN {number(whole)} ELSE estimate + __half END",
+        "half_width": f"CASE WHEN {known} AND estimate IS NOT NULL THEN 0D WHEN {edge} THEN __three ELSE __half END",
+        "note": f"""CASE WHEN {known} OR {edge} THEN CAST(NULL AS STRING) WHEN NOT {is_count} AND NOT {is_sum} AND {d} < 2 THEN 'undefined: fewer than two rows'
+            WHEN __flat THEN 'degenerate: no spread in the sample' WHEN {cancelled} THEN 'precision: raw sums cancel' END""",
+    }.items()})
+    steps = steps.withColumns({k: F.expr(v) for k, v in {
+        "relative_half_width": "CASE WHEN half_width = 0 THEN 0D WHEN estimate <> 0 THEN half_width / abs(estimate) END",
+        "variance": f"CASE WHEN {known} THEN 0D ELSE variance END",
+        "method": f"CASE WHEN {census} THEN 'census' WHEN {known} THEN 'known' WHEN {edge} THEN 'rule_of_three' ELSE method END",
+    }.items()})
     return steps.select(*(f"`{k}`" for k in cells.columns if k not in FIELDS), *FIELDS)
 
 
+def number(x: float) -> str:
+    """A double as SQL."""
+    return f"({float(x)!r}D)"
+
+
 def long_cells(stats: DataFrame, keys: list[str], aggs: list[Agg], effects: dict[str, float] | None = None, universe: bool = False) -> DataFrame:
     """One row for each cell: keys, alias, func, effect, known and the statistics."""
-    cells = [F.struct(F.lit(a.alias).alias("alias"), F.lit(a.func).alias("func"), F.lit((effects or {}).get(a.alias, 1.0)).alias("effect"), F.lit(universe and a.expr is None).alias("known"), *(F.col(a.alias)[k].alias(k) for k in STATISTICS)) for a in aggs]
+    quote = lambda name: "`" + name.replace("`", "``") + "`"
+    text = lambda value: "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    cells = []
+    for a in aggs:
+        fields = ", ".join(f"'{k}', {quote(a.alias)}.{k}" for k in STATISTICS)
+        cells.append(F.expr(f"named_struct('alias', {text(a.alias)}, 'func', '{a.func}', 'effect', {number((effects or {}).get(a.alias, 1.0))}, 'known', {universe and a.expr is None}, {fields})"))
     return stats.select(*keys, F.explode(F.array(*cells)).alias("cell")).select(*keys, "cell.*")
 
 
-def grid(stats: DataFrame, keys: list[str], aggs: list[Agg], n: int, total: int, level: float = 0.95, effects: dict[str, float] | None = None, method: str | None = None, universe: bool = False) -> DataFrame:
+def grid(
+    stats: DataFrame, keys: list[str], aggs: list[Agg], n: int, total: int, level: float = 0.95,
+    effects: dict[str, float] | None = None, method: str | None = None, universe: bool = False,
+) -> DataFrame:
     """One row for each cell: keys, alias, func, n_domain and ``FIELDS``.
 
     ``level`` is that of a single cell; use ``adjusted_level`` for all cells together. ``effects`` by alias.

@@ -45,7 +45,7 @@ def scaled(rows: DataFrame, keys: list[Column], aggs: list[Agg], fraction: float
     """Sampled aggregates scaled up (COUNT and SUM by 1 / fraction); no interval."""
     if fraction < 1 and any(a.distinct for a in aggs):
         raise ValueError("aggregates over distinct values do not scale")
-    out = [plain_aggregate(a) / F.lit(1.0 if a.func == AVG else fraction) for a in aggs]
+    out = [plain_aggregate(a) if a.func == AVG or fraction >= 1 else plain_aggregate(a) / F.lit(fraction) for a in aggs]
     return rows.groupBy(*keys).agg(*(value.alias(a.alias) for value, a in zip(out, aggs, strict=True)))
 
 
@@ -188,7 +188,8 @@ class JoinGraph:
     edges: dict[tuple[str, str], tuple[float, float]] = field(default_factory=dict)
 
     def size(self, joined_rows: float, inside: set[str], table: str) -> float | None:
-        found = [distinct_cardinality(joined_rows, self.rows[table], *(d if a in inside else d[::-1])) for (a, b), d in self.edges.items() if (a in inside and b == table) or (b in inside and a == table)]
+        touching = [(a, d) for (a, b), d in self.edges.items() if (a in inside and b == table) or (b in inside and a == table)]
+        found = [distinct_cardinality(joined_rows, self.rows[table], *(d if a in inside else d[::-1])) for a, d in touching]
         return min(found) if found else None
 
     def order(self) -> list[tuple[str, float]]:

@@ -158,7 +158,7 @@ def parse(spark: SparkSession, sql: str) -> AqpQuery:
     first = child
     while _kind(first) == "Join":
         first = first.left()
-    name = first.alias() if _kind(first) == "SubqueryAlias" else first.tableName().split(".")[-1]
+    fact_name = first.alias() if _kind(first) == "SubqueryAlias" else first.tableName().split(".")[-1]
 
     wanted, keys, aggs, columns, names = [_sql(g) for g in groupings], {}, [], [], {}
     for out in outputs:
@@ -190,7 +190,7 @@ def parse(spark: SparkSession, sql: str) -> AqpQuery:
 
     return AqpQuery(
         fact, aggs, keys, joins, F.expr(where_text) if where_text else None, named(having) if having else None,
-        [(named(o), up) for o, up in order], limit, where_text, columns, name, subquery,
+        [(named(o), up) for o, up in order], limit, where_text, columns, fact_name, subquery,
     )
 
 

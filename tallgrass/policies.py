@@ -36,7 +36,10 @@ def fixed_fraction(engine: Engine, sql: str, fraction: float = 0.05, seed: int =
 
 
 def online(engine: Engine, sql: str, fraction: float = 0.10, seed: int = 1) -> Answer:
-    return fixed_fraction(engine, sql, fraction, seed)
+    """One pass over a tenth, its running totals scaled when the pass ends."""
+    query = engine.parse(sql)
+    rows = round(fraction * engine.populations.rows(query.fact))
+    return Answer(finish(query, _scaled(query, fraction, seed)), None, "online_single_pass", [Look(fraction, rows, 0.0, 0.0)], False)
 
 
 def ladder(engine: Engine, sql: str, fractions: tuple[float, ...] = (0.01, 0.05, 0.10, 0.25, 0.50, 1.0), threshold: float = 0.04, seed: int = 1) -> Answer:

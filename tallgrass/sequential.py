@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from tallgrass.functions.quantiles import look_alpha, z_quantile
@@ -38,8 +37,3 @@ class Sequential:
 def price_of_peeking(alpha: float, looks: int) -> float:
     """How many times wider the interval of the last of ``looks`` looks is than that of a single one."""
     return z_quantile(1 - look_alpha(alpha, looks)) / z_quantile(1 - alpha)
-
-
-def foregone_error(alpha: float, looks: int) -> float:
-    """Upper bound of the error when every look is made at the nominal level."""
-    return min(1.0, alpha * looks) if looks < math.inf else 1.0

@@ -11,7 +11,7 @@ from threading import Lock
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.controller import Answer, Controller, Look
+from tallgrass.controller import LEAST_ROWS, Answer, Controller, Look
 from tallgrass.plans import autocorrect, inspect
 from tallgrass.plans.frontend import AqpQuery, Unsupported, parse
 from tallgrass.sources.tables import Populations, data_version, payload
@@ -79,7 +79,7 @@ class Engine:
     history: deque = field(default_factory=lambda: deque(maxlen=50))
     progress: Progress = field(default_factory=Progress)
     populations: Populations = field(default_factory=Populations)
-    least_rows: int = 20_000
+    least_rows: int = LEAST_ROWS
 
     def parse(self, sql: str) -> AqpQuery:
         return parse(self.spark, sql)

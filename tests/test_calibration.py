@@ -16,6 +16,16 @@ def test_bounds_are_wider(spark):
     assert calibrate.study(spark, "lognormal", SUM, method="bernstein", trials=100).share >= calibrate.study(spark, "lognormal", SUM, trials=100).share
 
 
+@pytest.mark.parametrize("func", [SUM, COUNT])
+def test_groups_are_covered_together(spark, func):
+    assert not calibrate.simultaneous(spark, "normal", func).is_short
+
+
+@pytest.mark.parametrize("order", ["shuffled", "clustered", "banded"])
+def test_block_samples_cover_whatever_the_layout(spark, order):
+    assert not calibrate.study_blocks(spark, order).is_short
+
+
 def test_wilson():
     low, high = calibrate.wilson(95, 100)
     assert low == pytest.approx(0.8882, abs=1e-3) and high == pytest.approx(0.9785, abs=1e-3)

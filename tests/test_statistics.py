@@ -122,6 +122,15 @@ def test_cluster_census_and_single_block(spark):
     assert all(r["half_width"] is None for r in cluster.cluster_grid(summary, [], aggs, 1, 5).collect())
 
 
+def test_lost_precision_is_noted(spark):
+    """Values of a billion plus or minus one: the raw sums lose the variance, the sample variance does not, and the cell says so."""
+    agg = Agg(AVG, F.col("x"), "a")
+    for base, noted in ((1e9, True), (10.0, False)):
+        df = spark.range(1000).select((F.lit(base) + F.col("id") % 3 - 1).alias("x"))
+        cell = estimators.grid(estimators.statistics(df, [], [agg]), [], [agg], 1000, 10_000).first()
+        assert (cell["note"] == "precision: raw sums cancel") is noted and cell["half_width"] == pytest.approx(0.048, rel=0.05)
+
+
 def test_sequential():
     run = sequential.Sequential(target=0.05)
     assert run.level() == pytest.approx(0.975)
