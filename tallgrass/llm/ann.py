@@ -279,7 +279,8 @@ def postings(rows: DataFrame, graph: CentroidGraph, top: float, is_query: str, l
                         owner, cells = owners[b : b + CHUNK], groups[b : b + CHUNK]
                         flat = pa.array(x[owner].ravel(), pa.float64())
                         v_out = pa.ListArray.from_arrays(pa.array(np.arange(len(owner) + 1) * x.shape[1], pa.int32()), flat)
-                        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(np.full(len(owner), kind), pa.int32()), pa.array(own[owner], pa.int64()), v_out, pa.array(masks[b : b + CHUNK])], ["group", "kind", "id", "v", "mask"])
+                        out = [pa.array(cells, pa.int32()), pa.array(np.full(len(owner), kind), pa.int32()), pa.array(own[owner], pa.int64()), v_out]
+                        yield pa.RecordBatch.from_arrays([*out, pa.array(masks[b : b + CHUNK])], ["group", "kind", "id", "v", "mask"])
 
     return arrow(rows.select("vec_id", "v", F.expr(is_query)), assign, "group int, kind int, id long, v array<double>, mask int")
 

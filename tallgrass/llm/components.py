@@ -79,7 +79,10 @@ def components(edges: DataFrame) -> DataFrame:
             own = F.struct(F.xxhash64(F.lit(rounds), "label").alias("p"), F.col("label").alias("to"))
             last = written(best.select("label", F.least("best", own)["to"].alias("to")), "roots")
         if last is not None:
-            labels = last.select(F.col("label").alias("node"), F.col("to").alias("label")) if labels is None else labels.join(last, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+            if labels is None:
+                labels = last.select(F.col("label").alias("node"), F.col("to").alias("label"))
+            else:
+                labels = labels.join(last, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
             labels = written(labels, "labels")
         if count <= SMALL:
             break

@@ -116,7 +116,9 @@ def linked(table: DataFrame, cosine: float = 0.95, block: int | None = None, gro
             ids, sizes = (np.concatenate([h[i] for h in held]) for i in (0, 1))
             v = np.concatenate([h[2] for h in held])
             flat = v / np.linalg.norm(v, axis=1, keepdims=True) @ directions.T
-            return pa.RecordBatch.from_pydict({"part": [part], "nth": [seen], "lo": [flat.min(0).tolist()], "hi": [flat.max(0).tolist()], "ids": [ids.astype("<i8").tobytes()], "sizes": [sizes.astype("<i8").tobytes()], "vectors": [v.astype("<f8").tobytes()]})
+            box = {"lo": [flat.min(0).tolist()], "hi": [flat.max(0).tolist()]}
+            raw = {"ids": [ids.astype("<i8").tobytes()], "sizes": [sizes.astype("<i8").tobytes()], "vectors": [v.astype("<f8").tobytes()]}
+            return pa.RecordBatch.from_pydict({"part": [part], "nth": [seen], **box, **raw})
 
         for batch in batches:
             at = 0
@@ -150,7 +152,8 @@ def linked(table: DataFrame, cosine: float = 0.95, block: int | None = None, gro
     while level > 0:
         level -= 1
         level_boxes = boxes.groupBy(F.expr(f"b div {group * FAN**level}").alias("b")).agg(fold("lo", F.min).alias("lo"), fold("hi", F.max).alias("hi"))
-        pairs = pairs.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(FAN * FAN - 1)))).select((F.col("i") * FAN + (F.col("c") / FAN).cast("long")).alias("i"), (F.col("j") * FAN + F.col("c") % FAN).alias("j")).where("i <= j")
+        inner = pairs.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(FAN * FAN - 1))))
+        pairs = inner.select((F.col("i") * FAN + F.expr(f"c div {FAN}")).alias("i"), (F.col("j") * FAN + F.col("c") % FAN).alias("j")).where("i <= j")
         pairs = pairs.join(level_boxes.withColumnRenamed("b", "i"), "i").join(level_boxes.select(F.col("b").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "j")
         pairs = written(pairs.where(far <= 2 - 2 * cosine + 1e-9).select("i", "j"), "intervals")
 

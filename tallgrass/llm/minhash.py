@@ -113,7 +113,8 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                             folded = mix64(folded + mins.reshape(-1, BANDS, ROWS)[:, :, r])
                     for i, row, sig in zip(np.flatnonzero(some), folded.view(np.int64), packed(mins), strict=True):
                         bands[i], sigs[i] = row, sig.astype("<u8").tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], [x.split()[0] for x in SIGNATURE.split(", ")])
+                out = [pa.array(sizes, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *out], [x.split()[0] for x in SIGNATURE.split(", ")])
 
     return arrow(rows, make, SIGNATURE)
 
@@ -206,7 +207,8 @@ def _peeled(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFram
     for turn in range(PEELS):
         tops = _largest(members).where(F.col("members") > MANY)
         outside = members.join(tops, "component").where("label <> top")
-        hubs = outside.groupBy("component").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("hub"), F.col("label").alias("own"))).alias("x")).select("component", "x.hub", "x.own")
+        first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("hub"), F.col("label").alias("own")))
+        hubs = outside.groupBy("component").agg(first.alias("x")).select("component", "x.hub", "x.own")
         hubs = written(hubs, "hubs")
         if hubs.isEmpty():
             break
@@ -282,7 +284,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         for batch in batches:
             for a, b, shingles, offsets in shingler.batches(batch.column(1)):
                 raw = memoryview(shingles.astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([raw[8 * x : 8 * y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())], ["node", "shingles"])
+                own = pa.array([raw[8 * x : 8 * y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), own], ["node", "shingles"])
 
     sets = written(arrow(sets, full, "node long, shingles binary"), "sets", "lz4")
     links = written(_confirm(pairs, sets, percent), "links")
@@ -303,7 +306,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         found = written(components(reduce(DataFrame.union, more, links)), "found")
 
     joined = written(classes.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component")), "joined")
-    return made.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("h1")).alias("h1"), "h2").join(joined, ["h1", "h2"], "left").select("doc_id", "n_shingles", "h1", "h2", F.coalesce("component", "doc_id").alias("component_id"))
+    some = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    every = made.select("doc_id", "n_shingles", F.when(some, F.col("h1")).alias("h1"), "h2").join(joined, ["h1", "h2"], "left")
+    return every.select("doc_id", "n_shingles", "h1", "h2", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

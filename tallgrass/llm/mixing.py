@@ -50,7 +50,10 @@ def schedule(spark: SparkSession, shares: list[int]) -> DataFrame:
     return slots.select("own", "slot", F.expr(before).alias("before")).withColumn("turn", F.expr("before[own]"))
 
 
-def mixed(docs: DataFrame, targets: dict[str, int] = TARGETS, block: int = BLOCK, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", column: str = "__mix") -> DataFrame:
+def mixed(
+    docs: DataFrame, targets: dict[str, int] = TARGETS, block: int = BLOCK, seed: str = "mix",
+    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", column: str = "__mix",
+) -> DataFrame:
     """``docs`` with one more column ``column``: struct of block, slot and position. ``text_col`` only breaks ties of ids."""
     spark, names = docs.sparkSession, [n for n in targets if n != ""] + [""]
     if any(targets.get(n, 1) < 1 for n in names):
@@ -107,7 +110,9 @@ def sql(targets: dict[str, int] = TARGETS, block: int = BLOCK, seed: str = "mix"
     shares = [targets.get(n, 1) for n in names]
     q, size, p = sum(shares), len(names), "[" + ", ".join(map(str, shares)) + "]"
     cases = " ".join(f"WHEN source = '{n}' THEN {i}" for i, n in enumerate(names[:-1]))
-    pick = f"list_min(list_filter([CASE WHEN (next[i + 1] * {q}) // {p}[i + 1] <= t THEN (((next[i + 1] + 1) * {q} + {p}[i + 1] - 1) // {p}[i + 1]) * 1000 + i END for i in range({size})], lambda x: x IS NOT NULL)) % 1000"
+    due = f"(((next[i + 1] + 1) * {q} + {p}[i + 1] - 1) // {p}[i + 1]) * 1000 + i"
+    released = f"[CASE WHEN (next[i + 1] * {q}) // {p}[i + 1] <= t THEN {due} END for i in range({size})]"
+    pick = f"list_min(list_filter({released}, lambda x: x IS NOT NULL)) % 1000"
     sums = " + ".join(f"least(n[{i + 1}], {block} * ((block // share) * {s} + next[{i + 1}]))" for i, s in enumerate(shares))
     return f"""
 WITH RECURSIVE sim AS (
@@ -118,7 +123,9 @@ turns AS (SELECT t AS slot, next, {pick} AS own FROM sim WHERE t < {q}),
 ranked AS (
   SELECT doc_id, source, own, row_number() OVER (PARTITION BY own ORDER BY md5('{seed}:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(source, ''))) - 1 AS rank
   FROM (SELECT doc_id, source, CASE {cases} ELSE {size - 1} END AS own FROM {table})),
-totals AS (SELECT list_transform(range({size}), lambda i: coalesce(m[i::INTEGER], 0)) AS n FROM (SELECT map_from_entries(list((own, c))) AS m FROM (SELECT own::INTEGER AS own, count(*) AS c FROM ranked GROUP BY own))),
+totals AS (
+  SELECT list_transform(range({size}), lambda i: coalesce(m[i::INTEGER], 0)) AS n
+  FROM (SELECT map_from_entries(list((own, c))) AS m FROM (SELECT own::INTEGER AS own, count(*) AS c FROM ranked GROUP BY own))),
 blocks AS (SELECT *, rank // {block} AS block, {p}[own + 1] AS share FROM ranked)
 SELECT doc_id, source, block::BIGINT AS block, ((block // share) * {q} + slot)::BIGINT AS slot, (rank % {block} + {sums})::BIGINT AS position
 FROM blocks JOIN turns ON turns.own = blocks.own AND turns.next[blocks.own + 1] = block % share, totals

@@ -93,7 +93,10 @@ def pack_group(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple
     return windows
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, group_ids: int = 1 << 20, step_ids: int = 1 << 16) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
+    tiers: tuple[int, ...] = TIERS, group_ids: int = 1 << 20, step_ids: int = 1 << 16,
+) -> DataFrame:
     """Pieces of every document. ``group_ids`` bounds the ids held by a task; a step group has ``step_ids`` ids.
 
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier (size of the window), step_group (of the tier), step_full.

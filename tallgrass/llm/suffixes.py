@@ -171,10 +171,12 @@ def repeated_spans(docs: DataFrame, keep: str = "none", length: int = LENGTH) ->
                 some = made[a : a + 256]
                 flat = [np.concatenate(x) for x in zip(*some, strict=True)]
                 owner = pa.array(np.repeat(np.arange(a, a + len(some)), sizes[a : a + 256]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(flat[0].view(np.int64)), pa.array(flat[1].view(np.int64)), pa.array(flat[2]), pa.array(flat[3])], [x.split()[0] for x in CELLS.split(", ")])
+                cells = [pa.array(flat[0].view(np.int64)), pa.array(flat[1].view(np.int64)), pa.array(flat[2]), pa.array(flat[3])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *cells], [x.split()[0] for x in CELLS.split(", ")])
 
     cells = written(arrow(texts, find, CELLS), "cells")
-    anchors = written(cells.groupBy("anchor").agg(F.count("*").alias("n"), F.min("cell").alias("a"), F.max("cell").alias("b")).where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchors")
+    anchors = cells.groupBy("anchor").agg(F.count("*").alias("n"), F.min("cell").alias("a"), F.max("cell").alias("b")).where("n > 1")
+    anchors = written(anchors.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchors")
     seen = written(cells.join(anchors, "anchor"), "seen")
     dropped(cells, anchors)
     place = F.struct("did", "k1", "start", "count")
@@ -182,7 +184,8 @@ def repeated_spans(docs: DataFrame, keep: str = "none", length: int = LENGTH) ->
     sizes = written(distinct.where("mixed").groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > CELLS_HELD).select("anchor", F.lit(True).alias("large")), "large")
 
     # bytes of each distinct cell of a mixed anchor, cut from the first text that has it
-    wanted = distinct.where("mixed").join(sizes, "anchor", "left").select("first.did", "first.k1", F.struct("anchor", "cell", F.col("first.start").alias("start"), F.col("first.count").alias("count"), F.coalesce("large", F.lit(False)).alias("large")).alias("c"))
+    cell = F.struct("anchor", "cell", F.col("first.start").alias("start"), F.col("first.count").alias("count"), F.coalesce("large", F.lit(False)).alias("large"))
+    wanted = distinct.where("mixed").join(sizes, "anchor", "left").select("first.did", "first.k1", cell.alias("c"))
     wanted = wanted.groupBy("did", "k1").agg(F.collect_list("c").alias("cells"))
     cut = texts.alias("t").join(wanted.alias("w"), F.col("t.did").eqNullSafe(F.col("w.did")) & (F.col("t.k1") == F.col("w.k1"))).select("t.did", "t.k1", "text", "cells")
 
@@ -224,7 +227,8 @@ def repeated_spans(docs: DataFrame, keep: str = "none", length: int = LENGTH) ->
             either[source[before]] = True
             ends = np.cumsum(counts)
             found = [(r[0], r[1], _pairs(before[e - c : e]), _pairs(either[e - c : e])) for r, c, e in zip(rows, counts.tolist(), ends.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())], strict=True)], ["anchor", "cell", "before", "either"])
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], ["anchor", "cell", "before", "either"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -249,7 +253,8 @@ def repeated_spans(docs: DataFrame, keep: str = "none", length: int = LENGTH) ->
                     n = len(data) - length + 1
                     same = [pa.repeat(batch.column(c)[r], n) for c in range(4)]
                     windows = pa.array([data[i : i + length] for i in range(n)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n) + batch.column(4)[r].as_py()), pa.array(np.arange(n)), windows], ["anchor", "cell", "did", "k1", "at", "off", "window"])
+                    at = pa.array(np.arange(n) + batch.column(4)[r].as_py())
+                    yield pa.RecordBatch.from_arrays([*same, at, pa.array(np.arange(n)), windows], ["anchor", "cell", "did", "k1", "at", "off", "window"])
 
         def meet(batches):
             """Of rows in suffix order: whether a window equals the one before it, and whether it equals one of its neighbours."""
@@ -385,6 +390,7 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
                 kept = without(data, own)
                 for values, x in zip(out, (len(data), len(data) - len(kept), len(own or []) // 2, hashlib.sha256(kept).hexdigest()), strict=True):
                     values.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(out, [pa.int64()] * 3 + [pa.string()], strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            made = [pa.array(v, k) for v, k in zip(out, [pa.int64()] * 3 + [pa.string()], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return arrow(joined, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -50,7 +50,8 @@ class PieceCounter:
         self.memo = Memo(self.merge)
         #: Plain texts need no normaliser: it only writes the spaces and the first space as such.
         probe = "a b\nc  d,é "
-        self.plain = self.normaliser.normalize(probe) == SPACE + probe.replace(" ", SPACE) and all(self.normaliser.normalize(chr(c)) == SPACE + chr(c) for c in [10, *range(33, 127), *range(0xC0, 0x180)])
+        plain = [10, *range(33, 127), *range(0xC0, 0x180)]
+        self.plain = self.normaliser.normalize(probe) == SPACE + probe.replace(" ", SPACE) and all(self.normaliser.normalize(chr(c)) == SPACE + chr(c) for c in plain)
 
     PLAIN = re.compile(r"[\n -~À-ſ]*\Z")
 

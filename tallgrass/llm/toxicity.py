@@ -207,7 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, terms=IDENTI
                 flat = np.concatenate([*codes, np.zeros(0, np.uint32)])
                 marks = np.repeat(np.array(part.column(1).to_pylist(), np.int64), [len(c) for c in codes])
                 found, at = np.unique(flat, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(np.bincount(at, minlength=len(found))), pa.array(np.bincount(at, weights=marks, minlength=len(found)).astype(np.int64))], ["code", "n", "t"])
+                n, t = np.bincount(at, minlength=len(found)), np.bincount(at, weights=marks, minlength=len(found))
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n), pa.array(t.astype(np.int64))], ["code", "n", "t"])
 
     counts = arrow(rows.select("text", "toxic"), count, "code long, n long, t long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).where(F.col("n") >= LEAST)
     share = positive / n
