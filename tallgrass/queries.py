@@ -430,11 +430,13 @@ def two_phase_reduction(spark, sf_dir):
 # The adaptive engine end to end
 
 
-def _engine(spark, sf_dir):
+def _engine(spark, sf_dir, sql: str):
+    """An engine that samples tables from a thousand rows on, with the tables of a statement."""
     from tallgrass.service import Engine
 
     for t in TABLES:
-        tables.register_parquet(spark, f"{sf_dir}/{t}.parquet", t)
+        if re.search(rf"\b{t}\b", sql):
+            tables.register_parquet(spark, f"{sf_dir}/{t}.parquet", t)
     return Engine(spark, least_rows=1000)
 
 
@@ -448,7 +450,7 @@ def approx_adaptive(spark, sf_dir):
 
 
 def approximate_flagship(spark, sf_dir):
-    return _engine(spark, sf_dir).approximate(FLAGSHIP, "balanced", 90)
+    return _engine(spark, sf_dir, FLAGSHIP).approximate(FLAGSHIP, "balanced", 90)
 
 
 JOINED = "SELECT c.c_mktsegment, SUM(o.o_totalprice) AS s FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment"
@@ -456,7 +458,7 @@ JOINED = "SELECT c.c_mktsegment, SUM(o.o_totalprice) AS s FROM orders o JOIN cus
 
 @query("approx_join")
 def approx_join(spark, sf_dir):
-    return _engine(spark, sf_dir).approximate(JOINED, "balanced", 90, block_rows=64).cells
+    return _engine(spark, sf_dir, JOINED).approximate(JOINED, "balanced", 90, block_rows=64).cells
 
 
 def _within(spark, answer, sql: str, keys: list[str], share: float) -> DataFrame:
@@ -483,7 +485,7 @@ def approx_adaptive_within(spark, sf_dir):
 
 @query("approx_join_within", _truth_sql(JOINED, "c_mktsegment", ["s"]))
 def approx_join_within(spark, sf_dir):
-    return _within(spark, _engine(spark, sf_dir).approximate(JOINED, "balanced", 90, block_rows=64), JOINED, ["c_mktsegment"], 0.2)
+    return _within(spark, _engine(spark, sf_dir, JOINED).approximate(JOINED, "balanced", 90, block_rows=64), JOINED, ["c_mktsegment"], 0.2)
 
 
 DISTINCT = "SELECT l_returnflag, COUNT(DISTINCT l_suppkey) AS suppliers, SUM(DISTINCT l_quantity) AS q, COUNT(*) AS n FROM lineitem GROUP BY l_returnflag"
@@ -492,7 +494,7 @@ DISTINCT = "SELECT l_returnflag, COUNT(DISTINCT l_suppkey) AS suppliers, SUM(DIS
 @query("approx_distinct", DISTINCT)
 def approx_distinct(spark, sf_dir):
     """Aggregates over distinct values in approximate mode: exact, for they do not scale."""
-    return _engine(spark, sf_dir).approximate(DISTINCT, "balanced", 90).wide
+    return _engine(spark, sf_dir, DISTINCT).approximate(DISTINCT, "balanced", 90).wide
 
 
 SUBQUERY = "SELECT COUNT(*) AS n, SUM(l_quantity) AS q FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT') AND l_discount > 0.02"
@@ -501,7 +503,7 @@ SUBQUERY = "SELECT COUNT(*) AS n, SUM(l_quantity) AS q FROM lineitem WHERE l_ord
 @query("approx_subquery", " UNION ALL ".join(f"SELECT '{v}' AS alias, ROUND(CAST({v} AS DOUBLE), 4) AS truth, TRUE AS close FROM ({SUBQUERY})" for v in ("n", "q")))
 def approx_subquery(spark, sf_dir):
     """A predicate with a subquery, sampled; every cell within twice its target of 10 %."""
-    return _within(spark, _engine(spark, sf_dir).approximate(SUBQUERY, "balanced", 90), SUBQUERY, [], 0.2)
+    return _within(spark, _engine(spark, sf_dir, SUBQUERY).approximate(SUBQUERY, "balanced", 90), SUBQUERY, [], 0.2)
 
 
 _STATIC = f"""WITH s AS ({sample_sql(50_000)}), k AS (SELECT CAST((SELECT COUNT(*) FROM s) AS DOUBLE) AS n, CAST(COUNT(*) AS DOUBLE) AS total FROM lineitem),
@@ -517,7 +519,7 @@ def policy_static_ci(spark, sf_dir):
     from tallgrass.policies import static_ci
 
     draw = lambda df: sampling.by_modulus(df, 50_000, MODULUS, PLACE)
-    cells = static_ci(_engine(spark, sf_dir), FLAGSHIP, draw=draw, name="modulus").cells
+    cells = static_ci(_engine(spark, sf_dir, FLAGSHIP), FLAGSHIP, draw=draw, name="modulus").cells
     return cells.select("l_returnflag", "alias", F.round("estimate", 2).alias("estimate"), F.round(F.sqrt("variance"), 2).alias("standard_error"))
 
 
