@@ -307,3 +307,15 @@ def nearest(table: DataFrame, k: int = 20, is_query: str = "vec_id % 20 = 0") ->
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def sql(table: str = "embeddings", k: int = 20, is_query: str = "vec_id % 20 = 0") -> str:
+    """Brute force in DuckDB's SQL. Tables of fewer than ``2 * LIST`` vectors are one list, so that all neighbours are found and the
+    rows are the same; on larger ones the operator finds most of them."""
+    product = "list_reduce(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]), lambda s, x: s + x)"
+    return f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM {table}),
+fine AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: abs(x))) > 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, {product} AS score FROM (SELECT * FROM fine WHERE {is_query}) q JOIN fine c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored QUALIFY rank <= {k}
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallgrass.llm import ego, minhash, mixing, sharding
+from tallgrass.llm import ann, ego, minhash, mixing, sharding
 from tallgrass.llm.ann import op5_nearest
 from tallgrass.llm.ego import op6_linked
 from tallgrass.llm.minhash import op8_minhash
@@ -27,4 +27,10 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.sql(), "op6_linked": ego.sql(), "op7_sharding": sharding.sql(), "op8_minhash": minhash.sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": mixing.sql(),
+    "op5_nearest": ann.sql(),
+    "op6_linked": ego.sql(),
+    "op7_sharding": sharding.sql(),
+    "op8_minhash": minhash.sql(),
+}

@@ -508,6 +508,10 @@ def test_op7_holds_every_document_once(spark):
     assert equals_its_sql("op7_sharding", sharding.op7_sharding(spark, SMALL))
 
 
+def test_op5_equals_its_sql(spark):
+    assert equals_its_sql("op5_nearest", ann.op5_nearest(spark, SMALL))
+
+
 def test_op6_equals_its_sql(spark):
     assert equals_its_sql("op6_linked", ego.op6_linked(spark, SMALL))
 
