@@ -366,11 +366,13 @@ def hll_distinct(spark, sf_dir):
     return both.select("n", (F.abs(F.col("distinct") - F.col("n")) <= 0.02 * F.col("n")).alias("within_2_percent"))
 
 
-@query("join_rate_selection")
+@query("join_rate_selection", "SELECT n AS n_groups, GREATEST(0.07, LEAST(0.60, 200.0 * n / total)) AS rate, TRUE AS close FROM (SELECT COUNT(DISTINCT l_suppkey) AS n, CAST(COUNT(*) AS DOUBLE) AS total FROM lineitem) x")
 def join_rate_selection(spark, sf_dir):
-    fact = read(spark, sf_dir, "lineitem")
-    groups = joins.approximate_groups(fact, [F.col("l_suppkey")])
-    return spark.createDataFrame([(groups, joins.starting_rate(fact.count(), groups, 2))], "n_groups long, rate double")
+    """The rate by the exact number of groups, and whether the sketch leads within 5 % of it."""
+    fact, key = read(spark, sf_dir, "lineitem"), F.col("l_suppkey")
+    n, total = fact.agg(F.count_distinct(key), F.count("*")).first()
+    rate, guess = (joins.starting_rate(total, groups, 2) for groups in (n, joins.approximate_groups(fact, [key])))
+    return spark.createDataFrame([(n, rate, abs(guess - rate) <= 0.05 * rate)], "n_groups long, rate double, close boolean")
 
 
 _HALF = "pmod(o_orderkey * 40503, 1009) < 504"
@@ -389,14 +391,20 @@ def join_cardinality_ndv(spark, sf_dir):
     return a.crossJoin(b).select(joins.distinct_cardinality(F.col("ra"), F.col("rb"), F.col("da"), F.col("db")).alias("n"))  # two single rows
 
 
-@query("join_order_advice")
+@query("join_order_advice", """WITH n AS (SELECT CAST(COUNT(*) AS DOUBLE) AS r, COUNT(DISTINCT n_nationkey) AS k FROM nation),
+ c AS (SELECT CAST(COUNT(*) AS DOUBLE) AS r, COUNT(DISTINCT c_custkey) AS k, COUNT(DISTINCT c_nationkey) AS up FROM customer),
+ o AS (SELECT CAST(COUNT(*) AS DOUBLE) AS r, COUNT(DISTINCT o_orderkey) AS k, COUNT(DISTINCT o_custkey) AS up FROM orders),
+ l AS (SELECT CAST(COUNT(*) AS DOUBLE) AS r, COUNT(DISTINCT l_orderkey) AS up FROM lineitem),
+ two AS (SELECT n.r * c.r / GREATEST(n.k, c.up) AS r FROM n, c), three AS (SELECT two.r * o.r / GREATEST(c.k, o.up) AS r FROM two, c, o)
+SELECT 0 AS step, 'nation' AS name, ROUND(r, 2) AS n_rows FROM n UNION ALL SELECT 1, 'customer', ROUND(r, 2) FROM two UNION ALL SELECT 2, 'orders', ROUND(r, 2) FROM three
+UNION ALL SELECT 3, 'lineitem', ROUND(three.r * l.r / GREATEST(o.k, l.up), 2) FROM three, o, l""")
 def join_order_advice(spark, sf_dir):
     names = {"lineitem": "l_orderkey", "orders": "o_orderkey", "customer": "c_custkey", "nation": "n_nationkey"}
     rows = {t: float(read(spark, sf_dir, t).count()) for t in names}
-    distinct = lambda t, c: float(read(spark, sf_dir, t).agg(F.approx_count_distinct(c)).first()[0])
+    distinct = lambda t, c: float(read(spark, sf_dir, t).agg(F.count_distinct(c)).first()[0])
     edges = {("lineitem", "orders"): (distinct("lineitem", "l_orderkey"), distinct("orders", "o_orderkey")), ("orders", "customer"): (distinct("orders", "o_custkey"), distinct("customer", "c_custkey")), ("customer", "nation"): (distinct("customer", "c_nationkey"), distinct("nation", "n_nationkey"))}
     order = joins.JoinGraph(rows, edges).order()
-    return spark.createDataFrame([(i, t, float(r)) for i, (t, r) in enumerate(order)], "step int, table string, rows double")
+    return spark.createDataFrame([(i, t, round(float(r), 2)) for i, (t, r) in enumerate(order)], "step int, name string, n_rows double")
 
 
 @query("semi_join_reduction", "SELECT COUNT(*) AS n, ROUND(SUM(l_quantity), 2) AS q FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")

@@ -45,7 +45,7 @@ def oracle():
 def test_equal(spark, oracle, name):
     found = queries.QUERIES[name](spark, SMALL)
     columns = sorted(found.columns)
-    wanted = plain(oracle.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE[name]})").fetchall())
+    wanted = plain(oracle.sql(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({queries.ORACLE[name]})").fetchall())
     got = plain(map(tuple, found.select(*columns).collect()))
     assert len(got) == len(wanted)
     for a, b in zip(got, wanted, strict=True):
