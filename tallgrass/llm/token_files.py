@@ -157,8 +157,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             return pa.RecordBatch.from_pydict({"part": [part], "segment": [segment], "first_id": [first], "n_ids": [held], "n_docs": [len(ids)], "data": [pack_segment(doc_ids, ids, first, width)]})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = encode(text) + end
+            for doc_id, got in zip(batch.column(0).to_pylist(), encode.many(batch.column(1)), strict=True):
+                got += end
                 if ids and (held >= segment_ids or len(ids) >= MOST_DOCS or (doc_ids[-1] is not None and doc_id - next(x for x in doc_ids if x is not None) >= SPAN)):
                     yield flush()
                     segment, first, doc_ids, ids, held = segment + 1, first + held, [], [], 0

@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,28 @@ def test_encoders_give_the_library_s_ids():
             assert encoder(text) == array("I", encoder.library.encode(text, add_special_tokens=False).ids).tobytes(), text
 
 
+def test_columns_of_texts_give_the_library_s_ids():
+    encoder = SpaceLedEncoder(BYTES)
+    rng = random.Random(5)
+    parts = ["word", "Word", "été", "naïve", "don't", "x_1", "3rd", "###", "!?", "'", "'s", "_", "×", "–", "中", "\u00a0", "\u0085", "a" * 50, "<|endoftext|>"]
+    made = [rng.choice([" ", "\n", " \n", ""]).join("".join(rng.choices(parts[: rng.choice([15, 19])], k=rng.randint(1, 3))) for _ in range(rng.randint(0, 20))) for _ in range(400)]
+    texts = hard_texts() + made
+    wanted = [array("I", encoder.library.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    for limit in (700_000, 0):  # with and without memory of earlier columns
+        encoder.units.limit = limit
+        for column in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["cut off", *texts]).slice(1)):
+            assert encoder.many(column) == wanted
+    assert [x for t in texts for x in encoder.many(pa.array([t]))] == wanted and encoder.many(pa.array([], pa.string())) == []
+
+
+def test_a_column_s_words_are_looked_up_once():
+    encoder, asked = SpaceLedEncoder(BYTES), []
+    unit = encoder.units.compute
+    encoder.units.compute, encoder.units.limit = lambda key: asked.append(key) or unit(key), 0
+    encoder.many(pa.array([f"first {' '.join('word' + mark for mark in ('', ',', '.', '###', '***,', '%'))} end"] * 50))
+    assert sorted(asked) == ["", "end", "word"]  # the first word stands in the place of an empty one
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1000])
 def test_elias_fano(n):
     values = np.cumsum(np.random.default_rng(n).integers(0, 900, n))
