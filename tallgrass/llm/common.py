@@ -25,6 +25,27 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+READ_BYTES = 8 << 20  #: of the files behind a table, for each partition that ``compact`` leaves at least
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """``df`` in a partition for each core, or for each ``READ_BYTES`` that its statement reads, whichever is more.
+
+    Partitions are put together without a shuffle; where there are no more, nothing changes. A small table would else be a
+    file for each shuffle partition, and every file has its price: on a local disk without Hadoop's native library the JVM
+    starts a process for each (``chmod``, and again for its checksum). Not for rows whose order or partition matters.
+    """
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-read // READ_BYTES))
+    return df.coalesce(parts) if parts < 1 << 20 else df  # more: tables of unknown size
+
+
+def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """``written`` in few files (see ``compact``)."""
+    return written(compact(df), name, codec)
+
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import arrow, written
+from tallgrass.llm.common import arrow, stored
 
 SMALL = 10_000
 
@@ -66,31 +66,31 @@ def forest(mask: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
 
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest reachable node) of every node of the edges ``u``, ``v`` (long)."""
-    edges = written(edges.select("u", "v").where("u <> v").distinct(), "edges")
+    edges = stored(edges.select("u", "v").where("u <> v").distinct(), "edges")
     labels, rounds = None, 0
     while True:
         count = edges.count()
         if count <= SMALL:
-            last = written(arrow(edges.coalesce(1), _union_find, "label long, to long"), "roots") if count else None
+            last = stored(arrow(edges.coalesce(1), _union_find, "label long, to long"), "roots") if count else None
         else:
             order = lambda c: F.struct(F.xxhash64(F.lit(rounds), c).alias("p"), F.col(c).alias("to"))  # noqa: B023, E731
             both = edges.select("u", "v").union(edges.select("v", "u"))
             best = both.groupBy(F.col("u").alias("label")).agg(F.min(order("v")).alias("best"))
             own = F.struct(F.xxhash64(F.lit(rounds), "label").alias("p"), F.col("label").alias("to"))
-            last = written(best.select("label", F.least("best", own)["to"].alias("to")), "roots")
+            last = stored(best.select("label", F.least("best", own)["to"].alias("to")), "roots")
         if last is not None:
             if labels is None:
                 labels = last.select(F.col("label").alias("node"), F.col("to").alias("label"))
             else:
                 labels = labels.join(last, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-            labels = written(labels, "labels")
+            labels = stored(labels, "labels")
         if count <= SMALL:
             break
         for end in ("u", "v"):
             edges = edges.join(last.withColumnRenamed("label", end), end).drop(end).withColumnRenamed("to", end)
-        edges = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+        edges = stored(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "edges")
         rounds += 1
     if labels is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    smallest = written(labels.groupBy("label").agg(F.min("node").alias("component")), "smallest")
+    smallest = stored(labels.groupBy("label").agg(F.min("node").alias("component")), "smallest")
     return labels.join(smallest, "label").select("node", "component")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import arrow, fresh, mix64, text_or_empty, written
+from tallgrass.llm.common import arrow, compact, fresh, mix64, stored, text_or_empty
 from tallgrass.llm.components import components, forest
 from tallgrass.llm.shingles import Shingler
 
@@ -209,11 +209,11 @@ def _peeled(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFram
         outside = members.join(tops, "component").where("label <> top")
         first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("hub"), F.col("label").alias("own")))
         hubs = outside.groupBy("component").agg(first.alias("x")).select("component", "x.hub", "x.own")
-        hubs = written(hubs, "hubs")
+        hubs = stored(hubs, "hubs")
         if hubs.isEmpty():
             break
         pairs = members.join(hubs, "component").where("label <> own").select(F.col("hub").alias("u"), F.col("node").alias("v"))
-        links = written(_confirm(pairs, sets, percent), "peeled")
+        links = stored(_confirm(pairs, sets, percent), "peeled")
         if links.isEmpty():
             break
         more.append(links)
@@ -221,7 +221,7 @@ def _peeled(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFram
         met = links.join(members.select(F.col("node").alias("v"), "component", "label"), "v").select("component", "label")
         met = met.union(links.select(F.col("u").alias("node")).distinct().join(members, "node").select("component", "label")).distinct()
         joined = met.join(met.groupBy("component").agg(F.min("label").alias("to")), "component")
-        members = written(members.join(joined, ["component", "label"], "left").select("component", "node", F.coalesce("to", "label").alias("label")), "members")
+        members = stored(members.join(joined, ["component", "label"], "left").select("component", "node", F.coalesce("to", "label").alias("label")), "members")
     return members, more
 
 
@@ -260,20 +260,20 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, h1, h2 (hashes of the set) and component_id of every row."""
     least = least_matches(percent / 100)
-    made = written(signatures(docs, words), "signatures")
+    made = stored(signatures(docs, words), "signatures")
     some = made.where("n_shingles > 0 and doc_id is not null")
-    classes = written(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
+    classes = stored(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
     reps = some.join(classes.withColumnRenamed("node", "doc_id"), ["h1", "h2", "doc_id"], "left_semi")
-    reps = written(reps.select(F.col("doc_id").alias("node"), "bands", "signature"), "representatives")
+    reps = stored(reps.select(F.col("doc_id").alias("node"), "bands", "signature"), "representatives")
 
     # buckets of two members or more
     rows = reps.select("node", F.posexplode("bands").alias("band", "h"))
-    buckets = written(rows.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "buckets")
-    members = written(rows.join(buckets, ["band", "h"]), "members")
+    buckets = stored(rows.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "buckets")
+    members = stored(rows.join(buckets, ["band", "h"]), "members")
 
     hubs = reps.select(F.col("node").alias("hub"), F.col("signature").alias("su"))
     pairs = members.where("node <> hub").select("hub", "node").distinct().join(hubs, "hub").join(reps.select("node", F.col("signature").alias("sv")), "node")
-    pairs = written(arrow(pairs.select(F.col("hub").alias("u"), F.col("node").alias("v"), "su", "sv"), lambda b: _estimate(b, least), "u long, v long").distinct(), "pairs")
+    pairs = stored(arrow(pairs.select(F.col("hub").alias("u"), F.col("node").alias("v"), "su", "sv"), lambda b: _estimate(b, least), "u long, v long").distinct(), "pairs")
 
     # full sets of every document that may still be compared
     needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(members.where("n > 2").select("node")).distinct()
@@ -287,25 +287,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
                 own = pa.array([raw[8 * x : 8 * y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), own], ["node", "shingles"])
 
-    sets = written(arrow(sets, full, "node long, shingles binary"), "sets", "lz4")
-    links = written(_confirm(pairs, sets, percent), "links")
-    found = written(components(links), "found")
+    sets = stored(arrow(sets, full, "node long, shingles binary"), "sets", "lz4")
+    links = stored(_confirm(pairs, sets, percent), "links")
+    found = stored(components(links), "found")
 
     # buckets whose members are still in different components
     labelled = members.where("n > 2").join(found, "node", "left").select("band", "h", "n", "node", F.coalesce("component", "node").alias("label"))
-    labelled = written(labelled, "labelled")
-    open_ = written(labelled.groupBy("band", "h").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band", "h"), "open")
-    rest = written(labelled.join(open_, ["band", "h"]).join(reps.select("node", "signature"), "node"), "rest")
+    labelled = stored(labelled, "labelled")
+    open_ = stored(labelled.groupBy("band", "h").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band", "h"), "open")
+    rest = stored(labelled.join(open_, ["band", "h"]).join(reps.select("node", "signature"), "node"), "rest")
     hints = arrow(_blocks(rest, ["band", "h"], F.ceil(F.col("n") / BUCKET).cast("int"), "signature"), lambda b: _forests(b, lambda x, y: _alike(x, y, least)), "u long, v long")
-    clusters = written(components(written(hints, "hints")), "clusters")
+    clusters = stored(components(stored(hints, "hints")), "clusters")
     whole = sets.dropDuplicates(["node"])
-    members = written(clusters.join(labelled.select("node", "label").distinct(), "node").select("component", "node", "label"), "members")
+    members = stored(clusters.join(labelled.select("node", "label").distinct(), "node").select("component", "node", "label"), "members")
     members, more = _peeled(members, whole, percent)
-    more.append(written(arrow(_apart(members, whole), lambda b: _forests(b, lambda x, y: _same(x, y, percent)), "u long, v long"), "links"))
+    more.append(stored(arrow(_apart(members, whole), lambda b: _forests(b, lambda x, y: _same(x, y, percent)), "u long, v long"), "links"))
     if any(not m.isEmpty() for m in more):
-        found = written(components(reduce(DataFrame.union, more, links)), "found")
+        found = stored(components(reduce(DataFrame.union, more, links)), "found")
 
-    joined = written(classes.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component")), "joined")
+    joined = stored(classes.join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component")), "joined")
     some = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     every = made.select("doc_id", "n_shingles", F.when(some, F.col("h1")).alias("h1"), "h2").join(joined, ["h1", "h2"], "left")
     return every.select("doc_id", "n_shingles", "h1", "h2", F.coalesce("component", "doc_id").alias("component_id"))
@@ -315,8 +315,8 @@ def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     """The documents of smallest id of each group, with all their columns; rows with a null id stay."""
     found = near_duplicates(docs, words, percent)
     name = fresh(docs, "__away")
-    away = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "away")
-    return docs.join(away, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    away = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "away")
+    return compact(docs.join(away, F.col("doc_id").cast("long") == F.col(name), "left_anti"))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import PolyHash, arrow, bounded, dropped, fresh, mix64, quoted, text_or_empty, written
+from tallgrass.llm.common import PolyHash, arrow, bounded, compact, dropped, fresh, mix64, quoted, stored, text_or_empty
 
 LENGTH, GRAM = 200, 64
 SEGMENT = 1 << 19  #: windows handled at once in a long text
@@ -174,14 +174,14 @@ def repeated_spans(docs: DataFrame, keep: str = "none", length: int = LENGTH) ->
                 cells = [pa.array(flat[0].view(np.int64)), pa.array(flat[1].view(np.int64)), pa.array(flat[2]), pa.array(flat[3])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *cells], [x.split()[0] for x in CELLS.split(", ")])
 
-    cells = written(arrow(texts, find, CELLS), "cells")
+    cells = stored(arrow(texts, find, CELLS), "cells")
     anchors = cells.groupBy("anchor").agg(F.count("*").alias("n"), F.min("cell").alias("a"), F.max("cell").alias("b")).where("n > 1")
-    anchors = written(anchors.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchors")
-    seen = written(cells.join(anchors, "anchor"), "seen")
+    anchors = stored(anchors.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchors")
+    seen = stored(cells.join(anchors, "anchor"), "seen")
     dropped(cells, anchors)
     place = F.struct("did", "k1", "start", "count")
-    distinct = written(seen.groupBy("anchor", "cell").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"), F.min(place).alias("first")), "distinct")
-    sizes = written(distinct.where("mixed").groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > CELLS_HELD).select("anchor", F.lit(True).alias("large")), "large")
+    distinct = stored(seen.groupBy("anchor", "cell").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"), F.min(place).alias("first")), "distinct")
+    sizes = stored(distinct.where("mixed").groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > CELLS_HELD).select("anchor", F.lit(True).alias("large")), "large")
 
     # bytes of each distinct cell of a mixed anchor, cut from the first text that has it
     cell = F.struct("anchor", "cell", F.col("first.start").alias("start"), F.col("first.count").alias("count"), F.coalesce("large", F.lit(False)).alias("large"))
@@ -201,7 +201,7 @@ def repeated_spans(docs: DataFrame, keep: str = "none", length: int = LENGTH) ->
                             values.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["anchor", "cell", "did", "k1", "start", "large", "data"])
 
-    strings = written(arrow(cut, take, "anchor long, cell long, did long, k1 long, start long, large boolean, data binary"), "strings")
+    strings = stored(arrow(cut, take, "anchor long, cell long, did long, k1 long, start long, large boolean, data binary"), "strings")
 
     def sort(batches):
         held, size = [], 0
@@ -241,7 +241,7 @@ def repeated_spans(docs: DataFrame, keep: str = "none", length: int = LENGTH) ->
             yield solve()
 
     small = strings.where("not large").select("anchor", "cell", "did", "k1", "start", "data").repartition("anchor").sortWithinPartitions("anchor", "cell")
-    spans = written(arrow(small, sort, SPANS), "spans")
+    spans = stored(arrow(small, sort, SPANS), "spans")
 
     large = strings.where("large").dropDuplicates(["anchor", "cell"])
     if not strings.where("large").isEmpty():
@@ -300,10 +300,10 @@ def repeated_spans(docs: DataFrame, keep: str = "none", length: int = LENGTH) ->
                     out.append(pa.array(flat, pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *out], ["anchor", "cell", "before", "either"])
 
-        spans = spans.union(written(arrow(met, gather, SPANS), "spans"))
+        spans = spans.union(stored(arrow(met, gather, SPANS), "spans"))
 
     # from cells to their occurrences
-    info = written(distinct.join(spans, ["anchor", "cell"], "left").select("anchor", "cell", "n", "first", "before", "either"), "info")
+    info = stored(distinct.join(spans, ["anchor", "cell"], "left").select("anchor", "cell", "n", "first", "before", "either"), "info")
     dropped(strings, distinct)
     met = seen.drop("mixed").join(info, ["anchor", "cell"])
     whole = F.array(F.lit(0).cast("long"), F.col("count"))
@@ -329,7 +329,7 @@ def repeated_spans(docs: DataFrame, keep: str = "none", length: int = LENGTH) ->
                 out.append(flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["did", "k1", "spans"])
 
-    result = written(arrow(met, join_runs, "did long, k1 long, spans array<long>"), "removed")
+    result = stored(arrow(met, join_runs, "did long, k1 long, spans array<long>"), "removed")
     dropped(seen, info, spans)
     return result
 
@@ -373,7 +373,7 @@ def remove(docs: DataFrame, keep: str = "first", length: int = LENGTH) -> DataFr
     joined = joined.select(*(F.col(f"t.{c}") for c in quoted(docs.columns)), F.col("s.spans").alias(own))
     hit, kind = F.col(own).isNotNull(), docs.schema["text"].dataType
     text = F.when(hit, F.arrow_udf(without_whole_characters, "string")(F.when(hit, F.col("text").cast("string")), F.col(own)).cast(kind)).otherwise(F.col("text"))
-    out = joined.withColumn("text", text).drop(own)
+    out = compact(joined.withColumn("text", text).drop(own))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

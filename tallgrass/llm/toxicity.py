@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import Memo, arrow, bounded, fresh, quoted, text_or_empty, trimmed, written
+from tallgrass.llm.common import Memo, arrow, bounded, compact, fresh, quoted, stored, text_or_empty, trimmed
 
 #: Neutral names of groups, by language; a term is swapped for the others of its line.
 IDENTITY_TERMS = (
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, terms=IDENTI
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(known), "doc_id")
-    rows = written(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "labelled")
+    rows = stored(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "labelled")
     n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < positive < n:
         return constant([1] * positive + [0] * (n - positive))
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, terms=IDENTI
             kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["kind", "toxic", "own", "twin"])
 
-    found = written(arrow(rows.select("text", "toxic"), sparse, "kind int, toxic int, own binary, twin binary"), "codes")
+    found = stored(arrow(rows.select("text", "toxic"), sparse, "kind int, toxic int, own binary, twin binary"), "codes")
     sentences = found.where("kind >= 0").groupBy("kind", "own", "twin").agg(F.count("*").alias("n")).toArrow().to_pydict()
     marked = found.where("kind < 0").select("toxic", "own").toArrow().to_pydict()
     codes = lambda name, of: [np.frombuffer(x, np.uint32) for x in of[name]]
@@ -269,7 +269,7 @@ def score_documents(docs: DataFrame, model: Toxicity, keep: list[str] | None = N
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents whose score is below ``threshold``, with all their columns."""
     name = fresh(docs, "__score")
-    return score_documents(docs, fit(docs, labels), docs.columns, name).where(F.col(name) < threshold).drop(name)
+    return score_documents(compact(docs), fit(docs, labels), docs.columns, name).where(F.col(name) < threshold).drop(name)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,14 @@
 import collections
 import hashlib
 import itertools
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallgrass.llm import minhash, mixing, suffixes, toxicity
+from tallgrass.session import shared_dir
 from tests.conftest import SMALL
 from tests.llm.test_operators import WORDS, SpaceFreeEncoder, brute_spans, docs, sets_of  # noqa: F401
 
@@ -159,3 +161,26 @@ def test_run_gives_the_last_stage(spark, stages):
     got = corpus_pipeline.run(spark, SMALL)
     total = lambda df: sorted((r["doc_id"], r["n"]) for r in df.groupBy("doc_id").agg({"length": "sum"}).toDF("doc_id", "n").collect())
     assert total(got) == total(stages["packing"])
+
+
+def test_small_tables_take_few_files(spark, stages, tmp_path, monkeypatch):
+    """However many partitions inputs and shuffles have, a small table is a file for each core at most."""
+    monkeypatch.setattr(suffixes, "dropped", lambda *tables: None)
+    shared, most = Path(shared_dir(spark).removeprefix("file://")), spark.sparkContext.defaultParallelism
+    conf = {"spark.sql.shuffle.partitions": 40, "spark.sql.adaptive.coalescePartitions.enabled": False, "spark.sql.files.openCostInBytes": 128 << 20}
+    held = {k: spark.conf.get(k, None) for k in conf}
+    before = set(shared.iterdir())
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = stages["documents"]
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+            docs.repartition(40).write.parquet(str(tmp_path / f"in{k}"))
+            stage(spark, spark.read.parquet(str(tmp_path / f"in{k}")), SMALL).write.parquet(str(tmp_path / f"out{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"out{k}"))
+            assert sorted(map(str, docs.collect())) == sorted(map(str, stages[name].collect()))
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    files = {d.name: len(list(d.glob("part-*"))) for d in {*shared.iterdir(), *tmp_path.glob("out*")} - before}
+    assert len(files) > 30 and max(files.values()) <= most, files
